@@ -112,7 +112,7 @@ def sizes(spark, sf):
 _SI = """CASE WHEN v = 0 THEN '0' WHEN abs(v) >= 1e9 THEN concat(format('{:.4g}', v / 1e9), 'G')
   WHEN abs(v) >= 1e6 THEN concat(format('{:.4g}', v / 1e6), 'M') WHEN abs(v) >= 1e3 THEN concat(format('{:.4g}', v / 1e3), 'k')
   WHEN abs(v) >= 1 THEN format('{:.4g}', v) WHEN abs(v) >= 1e-3 THEN concat(format('{:.4g}', v * 1e3), 'm')
-  ELSE concat(format('{:.4g}', v * 1e6), 'u') END"""
+  WHEN abs(v) >= 1e-6 THEN concat(format('{:.4g}', v * 1e6), 'u') ELSE concat(format('{:.4g}', v * 1e9), 'n') END"""
 _HMS = """CASE WHEN s >= 86400 THEN concat(s // 86400, 'd ', (s // 3600) % 24, 'h ', (s // 60) % 60, 'm ', s % 60, 's')
   WHEN s >= 3600 THEN concat(s // 3600, 'h ', (s // 60) % 60, 'm ', s % 60, 's')
   WHEN s >= 60 THEN concat(s // 60, 'm ', s % 60, 's') WHEN s >= 1 THEN concat(format('{:.4g}', d), 's')

@@ -54,13 +54,26 @@ def landed_blocks(spark, sf):
 
 @query(
     "s03_write_partitioned",
-    "SELECT CAST(inserted_at AS DATE) AS p_day, count(*) AS \"rows\", min(number) AS lo, max(number) AS hi FROM "
-    + view_sql("blocks") + " GROUP BY 1",
+    """SELECT CAST(ts AS DATE) AS p_day, count(*) AS "rows", min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1""",
 )
 def written_days(spark, sf):
-    path = files.write_partitioned(load_table(spark, sf, "blocks"), scratch_path(spark, "blocks"), "inserted_at")
+    path = files.write_partitioned(load_table(spark, sf, "events"), scratch_path(spark, "events"), "ts")
     return spark.read.parquet(path).groupBy("p_day").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("number").alias("lo"), F.max("number").alias("hi")
+        F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")
+    )
+
+
+@query(
+    "s03_write_partitioned_wide",
+    """SELECT make_timestamp(epoch_us(inserted_at) - epoch_us(inserted_at) % (180 * 86400000000)) AS lo,
+       count(*) AS "rows", min(number) AS first_number FROM """ + view_sql("blocks") + " GROUP BY 1",
+)
+def written_half_years(spark, sf):
+    blocks = load_table(spark, sf, "blocks")
+    path = files.write_partitioned(blocks, scratch_path(spark, "blocks"), "inserted_at", "180 days")
+    # the folder name is read back as a time; its cast keeps the type of the control column
+    return spark.read.parquet(path).groupBy(F.col("p_day").cast("timestamp_ntz").alias("lo")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("number").alias("first_number")
     )
 
 
@@ -116,13 +129,13 @@ def exported(spark, sf):
 
 @query(
     "s07_tier_split",
-    f"""SELECT CASE WHEN inserted_at >= {now_sql('orders')} - INTERVAL 365 DAY THEN 'hot' ELSE 'cold' END AS tier,
-        CAST(inserted_at AS DATE) AS p_day, count(*) AS "rows" FROM {view_sql('blocks')} GROUP BY 1, 2""",
+    f"""SELECT CASE WHEN ts >= {now_sql('events')} - INTERVAL 7 DAY THEN 'hot' ELSE 'cold' END AS tier,
+        CAST(ts AS DATE) AS p_day, count(*) AS "rows" FROM events GROUP BY 1, 2""",
 )
 def tiers(spark, sf):
-    blocks = load_table(spark, sf, "blocks")
+    events = load_table(spark, sf, "events")
     hot, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
-    files.write_tiers(blocks, "inserted_at", now_of(spark, sf, "orders"), 365, hot, cold)
+    files.write_tiers(events, "ts", now_of(spark, sf, "events"), 7, hot, cold)
     both = spark.read.parquet(hot).unionByName(spark.read.parquet(cold))
     return both.groupBy("tier", "p_day").agg(F.count(F.lit(1)).alias("rows"))
 
