@@ -203,7 +203,7 @@ def route_alerts(alerts: DataFrame, root: Route, label: Callable[[str], Column]
 def notifications(
     intervals: DataFrame, group_by: list[str], wait="10s", interval="10s", repeat="12h", as_of=None
 ) -> DataFrame:
-    """Notification times per alert group: (group.., episode, at, kind, active).
+    """Notification times per alert group: (group.., episode, sent_at, kind, active).
 
     ``intervals`` holds firing stretches (group.., start, end). An episode lasts while
     at least one alert of the group fires. It is announced ``wait`` after its start if
@@ -243,7 +243,7 @@ def notifications(
     ).otherwise(F.array().cast("array<struct<at:bigint,kind:string>>"))
     own = F.array(F.struct(F.col("tick").alias("at"), kind.alias("kind")))
     sent = ticks.select(*group_by, "episode", "active", F.inline(F.concat(own, again)))
-    return sent.select(*group_by, "episode", from_micros(F.col("at")).alias("at"), "kind", "active")
+    return sent.select(*group_by, "episode", from_micros(F.col("at")).alias("sent_at"), "kind", "active")
 
 
 def _instant(metric, eq=None, regex=None):

@@ -1 +1,134 @@
-"""Registered queries."""
+"""Server logs, statements and listings over stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerops.operators import logs
+from ledgerops.plans.inputs import sql_frame
+from ledgerops.plans.registry import query
+from ledgerops.sources.tables import load_table
+
+# One log line per event; the message shape follows the event type.
+_MESSAGE = """CASE event_type
+  WHEN 'click' THEN concat('LOG:  duration: ', CAST(value * 10 AS STRING), ' ms  statement: SELECT * FROM blocks WHERE miner = ''m', CAST(user_id % 3 AS STRING), ''' AND number = ', CAST(user_id AS STRING))
+  WHEN 'view' THEN concat('LOG:  connection authorized: user=u', CAST(user_id AS STRING))
+  WHEN 'signup' THEN 'LOG:  disconnection: session time: 0:00:01.000'
+  WHEN 'error' THEN CASE user_id % 3 WHEN 0 THEN 'LOG:  process 12 still waiting for ShareLock' WHEN 1 THEN 'LOG:  temporary file: path "base/t1", size 42' ELSE 'ERROR:  bad thing' END
+  ELSE CASE user_id % 2 WHEN 0 THEN 'LOG:  checkpoint complete: wrote 1 buffers' ELSE 'LOG:  automatic vacuum of table "chain.public.blocks"' END END"""
+_PREFIX = """concat(' UTC [', CAST(1000 + user_id AS STRING), ']: [', CAST(event_id AS STRING), '-1] user=u', CAST(user_id % 7 AS STRING),
+  ',db=chain,app=', CASE WHEN user_id % 5 = 0 THEN '' ELSE 'web' END, ',client=10.0.0.', CAST(user_id AS STRING), ' ')"""
+
+
+def lines(spark, sf):
+    events = sql_frame(spark, sf, f"SELECT event_id, ts, {_PREFIX} AS prefix, {_MESSAGE} AS message FROM {{events}}", "events")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return events.select("event_id", F.concat(stamp, "prefix", "message").alias("line"))
+
+
+def parsed(spark, sf):
+    return logs.parse_server_log(lines(spark, sf), "line")
+
+
+@query(
+    "g01_parse_server_log",
+    f"""SELECT event_id, ts AS log_time, CAST(1000 + user_id AS INT) AS pid, event_id AS line_no, concat('u', user_id % 7) AS user_name, 'chain' AS db_name,
+        CASE WHEN user_id % 5 <> 0 THEN 'web' END AS app, concat('10.0.0.', user_id) AS client, {_MESSAGE} AS message FROM events""",
+)
+def parse(spark, sf):
+    return parsed(spark, sf)
+
+
+_CLASS = """CASE event_type WHEN 'click' THEN 'duration' WHEN 'view' THEN 'connect' WHEN 'signup' THEN 'disconnect'
+  WHEN 'error' THEN CASE user_id % 3 WHEN 0 THEN 'lock_wait' WHEN 1 THEN 'temp_file' ELSE 'other' END
+  ELSE CASE user_id % 2 WHEN 0 THEN 'checkpoint' ELSE 'autovacuum' END END"""
+
+
+@query("g02_classify_log", f'SELECT {_CLASS} AS "class", count(*) AS lines FROM events GROUP BY 1')
+def classes(spark, sf):
+    return logs.classify_log(parsed(spark, sf))
+
+
+_STATEMENT = "concat('SELECT * FROM blocks WHERE miner = ''m', user_id % 3, ''' AND number = ', user_id)"
+
+
+@query(
+    "g03_slow_statements",
+    f"SELECT event_id, value * 10 AS duration_ms, {_STATEMENT} AS statement FROM events WHERE event_type = 'click' AND value * 10 >= 1000",
+)
+def slow(spark, sf):
+    return logs.slow_statements(parsed(spark, sf), 1000).select("event_id", "duration_ms", "statement")
+
+
+_TEXT = """concat(event_type, ' /* ', CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END, ' */  WHERE id = ', CAST(user_id AS STRING), ' AND name = ''n',
+  CAST(event_id AS STRING), '''')"""
+_NORMAL = "concat(event_type, ' /* ', CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END, ' */ WHERE id = ? AND name = ?')"
+
+
+def statements(spark, sf):
+    rows = sql_frame(spark, sf, f"SELECT {_TEXT} AS text, value AS ms FROM {{events}}", "events")
+    return logs.statement_stats(rows, "text", "ms").withColumns(
+        {"total_ms": F.round("total_ms", 4), "mean_ms": F.round("mean_ms", 6)}
+    )
+
+
+_STATS = f"SELECT {_NORMAL} AS query, count(*) AS calls, round(sum(value), 4) AS total_ms, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1"
+
+
+query("a13_statement_stats", _STATS)(statements)
+
+
+@query("o01_top_n", f"SELECT * FROM ({_STATS}) s ORDER BY mean_ms DESC, query LIMIT 3")
+def slowest(spark, sf):
+    return logs.top_n(statements(spark, sf), "mean_ms", 3, ["query"])
+
+
+@query(
+    "o02_latest_page",
+    "SELECT o_orderdate, o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 25",
+)
+def second_page(spark, sf):
+    orders = load_table(spark, sf, "orders").select("o_orderdate", "o_orderkey", "o_custkey")
+    keys = ["o_orderdate", "o_orderkey"]
+    first = logs.latest_page(orders, keys, 25)
+    end = first.orderBy(*keys).first()
+    after = (F.lit(end[0].isoformat(sep=" ")).cast("timestamp_ntz"), end[1])
+    return logs.latest_page(orders, keys, 25, after)
+
+
+@query("o03_sort_events", "SELECT ts, event_id, event_type FROM events ORDER BY ts, event_id")
+def sorted_events(spark, sf):
+    return logs.sort_events(load_table(spark, sf, "events").select("ts", "event_id", "event_type"), "ts", ["event_id"])
+
+
+def session_log(spark, sf):
+    change = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return load_table(spark, sf, "events").select("user_id", "ts", change.alias("change"))
+
+
+_CHANGE = "CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END"
+
+
+@query(
+    "a20_session_concurrency",
+    f"SELECT ts, CAST(sum({_CHANGE}) OVER (ORDER BY ts) AS BIGINT) AS open FROM events WHERE event_type IN ('signup', 'error')",
+)
+def concurrency(spark, sf):
+    return logs.session_concurrency(session_log(spark, sf), "ts", "change")
+
+
+@query(
+    "a20_peak_by_client",
+    f"""SELECT user_id, max(open) AS peak, arg_max(ts, (open, -epoch_us(ts))) AS peak_at FROM (SELECT user_id, ts, CAST(sum({_CHANGE})
+        OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS open FROM events WHERE event_type IN ('signup', 'error')) x GROUP BY 1""",
+)
+def peaks(spark, sf):
+    return logs.peak_concurrency(session_log(spark, sf), "ts", "change", ["user_id"])
+
+
+@query(
+    "a20_sessions_per_client",
+    "SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS opened, count(*) FILTER (WHERE event_type = 'error') AS closed FROM events GROUP BY 1",
+)
+def sessions(spark, sf):
+    return logs.sessions_per_client(session_log(spark, sf), "user_id", "change")
