@@ -165,24 +165,19 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] |
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = OrderedRows.of(counts, by, [value]).running_sum(upto=F.col("n")).following(nxt=F.col(value)).rows
-    totals = ranked.groupBy(*by).agg(F.sum("n").alias("total"))
-    q = F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("q")
-    targets = totals.select(*by, "total", q).withColumn("pos", F.col("q") * (F.col("total") - 1))
-    targets = targets.withColumn("low", F.floor("pos"))
     if by:
-        hit = ranked.join(targets, by)
+        ranked = ranked.join(ranked.groupBy(*by).agg(F.sum("n").alias("total")), by)
     else:
-        # one row per asked q: a list inside a single row, no pairing of tables
-        packed = targets.agg(F.collect_list(F.struct("q", "pos", "low")).alias("t")).first()[0]
-        wanted = F.array(
-            *[F.struct(F.lit(t["q"]).alias("q"), F.lit(t["pos"]).alias("pos"), F.lit(t["low"]).alias("low")) for t in packed or []]
-        )
-        if not packed:
-            return ranked.select(F.lit(0.0).alias("q"), F.col(value).cast("double").alias("value")).limit(0)
-        inside = F.filter(wanted, lambda t: (t["low"] >= F.col("upto") - F.col("n")) & (t["low"] < F.col("upto")))
-        hit = ranked.select("*", F.inline(inside))
-    low, upto, n = F.col("low"), F.col("upto"), F.col("n")
-    hit = hit.where((low >= upto - n) & (low < upto))
+        ranked = ranked.withColumn("total", F.lit(ranked.agg(F.sum("n")).first()[0]).cast("bigint"))
+    first, upto = F.col("upto") - F.col("n"), F.col("upto")
     here = F.col(value).cast("double")
-    above = F.when(low + 1 < upto, here).otherwise(F.coalesce(F.col("nxt").cast("double"), here))
-    return hit.select(*by, "q", (here + (above - here) * (F.col("pos") - low)).alias("value"))
+
+    def point(q: float) -> Column:
+        pos = F.lit(float(q)) * (F.col("total") - 1)
+        low = F.floor(pos)
+        above = F.when(low + 1 < upto, here).otherwise(F.coalesce(F.col("nxt").cast("double"), here))
+        found = F.struct(F.lit(float(q)).alias("q"), (here + (above - here) * (pos - low)).alias("value"))
+        return F.when((low >= first) & (low < upto), found)
+
+    hits = F.filter(F.array(*[point(q) for q in qs]), lambda x: x.isNotNull())
+    return ranked.select(*by, hits.alias("_hits")).select(*by, F.inline("_hits"))
