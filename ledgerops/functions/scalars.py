@@ -13,7 +13,7 @@ from ledgerops.functions.times import UNIT_SECONDS
 __all__ = [
     "duration_seconds", "safe_ratio", "flag", "qualified", "md5_hash", "md5_bytes",
     "size_pretty", "humanize", "humanize_percentage", "humanize_duration", "significant",
-    "number_text", "render", "hex_to_number", "hex_to_decimal", "lsn_bytes", "lsn_diff",
+    "number_text", "render", "value_formats", "hex_to_number", "hex_to_decimal", "lsn_bytes", "lsn_diff",
     "normalize_address", "to_coin", "parse_quantity", "parse_iso", "json_field",
 ]
 
@@ -197,26 +197,34 @@ def number_text(value: Column | str) -> Column:
 _TEMPLATE = re.compile(r"\{\{\s*\$(value|labels\.\w+)\s*(?:\|\s*(\w+)\s*)?\}\}")
 
 
-def render(template: str, value: Column | str, labels) -> Column:
+def value_formats(value: Column | str) -> dict[str | None, Column]:
+    """The texts a template can show for a value, by format name."""
+    return {
+        None: number_text(value),
+        "humanize": humanize(value),
+        "humanizePercentage": humanize_percentage(value),
+        "humanizeDuration": humanize_duration(value),
+    }
+
+
+def render(template: str, value: Column | str, labels, formats: dict | None = None) -> Column:
     """Fill ``{{ $value | fn }}`` and ``{{ $labels.x }}`` places of a text.
 
     ``labels`` is a map column, or a dict of label name to Column. The template is
-    split once on the driver; rows see a plain ``concat``.
+    split once on the driver; rows see a plain ``concat``. Several templates over one
+    value can share its ``value_formats``.
     """
-    fns = {
-        None: number_text,
-        "humanize": humanize,
-        "humanizePercentage": humanize_percentage,
-        "humanizeDuration": humanize_duration,
-    }
+    formats = formats or value_formats(value)
+
     def label(name):
         found = labels.get(name) if isinstance(labels, dict) else _col(labels)[name]
         return F.lit("") if found is None else F.coalesce(found.cast("string"), F.lit(""))
+
     parts, at = [], 0
     for m in _TEMPLATE.finditer(template):
         parts.append(F.lit(template[at : m.start()]))
         what, fn = m.group(1), m.group(2)
-        parts.append(fns[fn](value) if what == "value" else label(what.split(".", 1)[1]))
+        parts.append(formats[fn] if what == "value" else label(what.split(".", 1)[1]))
         at = m.end()
     parts.append(F.lit(template[at:]))
     return F.concat(*parts)

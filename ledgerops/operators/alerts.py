@@ -10,7 +10,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerops.functions.scalars import render
+from ledgerops.functions.scalars import render, value_formats
 from ledgerops.functions.times import ceil_div, from_micros, micros, ntz, to_micros
 from ledgerops.operators.filters import select_series
 from ledgerops.operators.metrics import (
@@ -102,38 +102,46 @@ def alert_state(evals: DataFrame, keys: list[str], cond: str, for_s: Column | fl
     return out.drop("_on", "_t", "_was")
 
 
-def _labelled(vector: DataFrame, rule: Rule) -> DataFrame:
-    """A rule's rows in the common shape: alert name, labels, texts and duration as columns."""
+def _series(rule: Rule) -> Column:
+    """Labels of a rule's alerts as sorted entries; null labels are left out."""
     fixed = {"severity": rule.severity, **({"component": rule.component} if rule.component else {})}
-    entries = [(F.lit(k), F.col(k)) for k in rule.keys] + [(F.lit(k), F.lit(v)) for k, v in fixed.items()]
-    labels = F.map_filter(
-        F.map_from_arrays(F.array(*[k for k, _ in entries]), F.array(*[v for _, v in entries])),
-        lambda _, v: v.isNotNull(),
-    )
-    texts = {k: F.col(k) for k in rule.keys}
-    return vector.select(
-        F.lit(rule.name).alias("alertname"),
-        series_key(labels).alias("series"),
-        "t",
-        "value",
-        F.lit(rule.hold_for.total_seconds()).alias("for_seconds"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.component).alias("component"),
-        F.lit(rule.summary).alias("summary"),
-        render(rule.description, "value", texts).alias("description"),
-    )
+    values = {**{k: F.col(k) for k in rule.keys}, **{k: F.lit(v) for k, v in fixed.items()}}
+    entries = [F.struct(F.lit(k).alias("key"), values[k].alias("value")) for k in sorted(values)]
+    return F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+
+
+def _by_rule(rules: list[Rule], value: Callable[[Rule], Column]) -> Column:
+    """A value looked up by alert name."""
+    return F.coalesce(*[F.when(F.col("alertname") == r.name, value(r)) for r in rules])
 
 
 def firing_alerts(signals: Signals, rules: Rule | list[Rule]) -> DataFrame:
     """Pending and firing instances of one or more rules, with labels and rendered texts.
 
-    All rules share one ordered pass: the rule name is part of the series key.
+    All rules share one ordered pass: the rule name is part of the series key. Texts
+    are added afterwards, so they are never shuffled.
     """
     rules = [rules] if isinstance(rules, Rule) else rules
-    active = reduce(DataFrame.unionByName, [_labelled(evaluate_rule(signals, r), r) for r in rules])
-    active = active.withColumn("_true", F.lit(True))
-    states = alert_state(active, ["alertname", "series"], "_true", F.col("for_seconds"), signals.grid.step)
-    return states.drop("_true").withColumn("labels", F.map_from_entries("series"))
+    active = reduce(
+        DataFrame.unionByName,
+        [
+            evaluate_rule(signals, r).select(F.lit(r.name).alias("alertname"), _series(r).alias("series"), "t", "value")
+            for r in rules
+        ],
+    )
+    held = _by_rule(rules, lambda r: F.lit(r.hold_for.total_seconds()))
+    states = alert_state(
+        active.withColumn("_true", F.lit(True)), ["alertname", "series"], "_true", held, signals.grid.step
+    )
+    labelled = states.drop("_true").withColumn("labels", F.map_from_entries("series"))
+    formats = value_formats("value")
+    return labelled.select(
+        "*",
+        F.col("labels")["severity"].alias("severity"),
+        F.coalesce(F.col("labels")["component"], F.lit("")).alias("component"),
+        _by_rule(rules, lambda r: F.lit(r.summary)).alias("summary"),
+        _by_rule(rules, lambda r: render(r.description, "value", "labels", formats)).alias("description"),
+    )
 
 
 def run_rules(samples: DataFrame, rules: list[Rule], grid: Grid, lookback="5 minutes") -> DataFrame:

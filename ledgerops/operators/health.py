@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerops.functions.scalars import safe_ratio
 from ledgerops.functions.times import age_seconds, micros, ntz
 from ledgerops.operators.ordered import OrderedRows
+from ledgerops.session import cut
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -153,7 +154,8 @@ def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx:
     else:
         keep = list(dict.fromkeys([*cols, *order_by]))
         one = F.lit(1).cast("bigint")
-        placed = OrderedRows.of(df.select(*keep), [], order_by).running_sum(_pos=one).rows
+        # positions are written once; every column then reads only itself and its position
+        placed = cut(OrderedRows.of(df.select(*keep), [], order_by).running_sum(_pos=one).rows)
         for c in cols:
             per_value = placed.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(
                 F.count(F.lit(1)).alias("n"),

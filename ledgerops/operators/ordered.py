@@ -32,7 +32,7 @@ class OrderedRows:
         spread = [F.col(c) for c in (*keys, *order)]
         ranged = df.repartitionByRange(partitions, *spread) if partitions else df.repartitionByRange(*spread)
         frame = cut(ranged.withColumn(RUN, F.spark_partition_id()))
-        if frame.rdd.getNumPartitions() <= 1:  # one run has no earlier run
+        if len(frame.inputFiles()) <= 1:  # a task writes its run to a file; one run has no earlier run
             return cls(frame, keys, order, None)
         # Only keys on both sides of a cut need values from other runs: the least and
         # greatest key of each run, so at most two rows per run.
@@ -89,7 +89,9 @@ class OrderedRows:
         w = W.partitionBy(KEY).orderBy(RUN)  # at most one row per run
         totals = self._edges.groupBy(KEY, RUN).agg(*[per_run[n].alias(f"_t_{n}") for n in names])
         carry = totals.select(KEY, RUN, *[across(F.col(f"_t_{n}"), w).alias(f"_c_{n}") for n in names])
-        carry = F.broadcast(carry)  # at most two rows per run, whatever the data size
+        # at most two rows per run, whatever the data size; written out, so that the plan
+        # of a later step does not contain all earlier ones twice
+        carry = F.broadcast(cut(carry))
         return OrderedRows(
             extend(self._frame, carry), self._keys, self._order, extend(self._edges, carry)
         )
@@ -146,12 +148,15 @@ class OrderedRows:
 
     def upcoming(self, **cols: Column) -> OrderedRows:
         """First non-null value from the row onward, per key."""
-        w, at = self._window().rowsBetween(W.currentRow, W.unboundedFollowing), F.struct(*self._order)
+        # read backwards: a frame that ends at the last row would be rescanned for every row
+        back = W.partitionBy(RUN, *self._keys).orderBy(*[F.col(c).desc() for c in self._order])
+        w, at = back.rowsBetween(W.unboundedPreceding, W.currentRow), F.struct(*self._order)
+        later = W.partitionBy(KEY).orderBy(F.col(RUN).desc()).rowsBetween(W.unboundedPreceding, -1)
         return self._combine(
             list(cols),
-            {n: F.first(c, ignorenulls=True).over(w) for n, c in cols.items()},
+            {n: F.last(c, ignorenulls=True).over(w) for n, c in cols.items()},
             {n: F.min_by(c, F.when(c.isNotNull(), at)) for n, c in cols.items()},
-            lambda t, cw: F.first(t, ignorenulls=True).over(cw.rowsBetween(1, W.unboundedFollowing)),
+            lambda t, _: F.last(t, ignorenulls=True).over(later),
             lambda a, b: F.coalesce(a, b),
         )
 

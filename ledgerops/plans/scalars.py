@@ -97,7 +97,8 @@ _PRETTY = """CASE WHEN b < 10240 THEN concat(b, ' bytes')
   WHEN floor(b / 1024.0 + 0.5) < 10240 THEN concat(CAST(floor(b / 1024.0 + 0.5) AS BIGINT), ' kB')
   WHEN floor(b / 1048576.0 + 0.5) < 10240 THEN concat(CAST(floor(b / 1048576.0 + 0.5) AS BIGINT), ' MB')
   WHEN floor(b / 1073741824.0 + 0.5) < 10240 THEN concat(CAST(floor(b / 1073741824.0 + 0.5) AS BIGINT), ' GB')
-  ELSE concat(CAST(floor(b / 1099511627776.0 + 0.5) AS BIGINT), ' TB') END"""
+  WHEN floor(b / 1099511627776.0 + 0.5) < 10240 THEN concat(CAST(floor(b / 1099511627776.0 + 0.5) AS BIGINT), ' TB')
+  ELSE concat(CAST(floor(b / 1125899906842624.0 + 0.5) AS BIGINT), ' PB') END"""
 
 
 @query(
