@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerops.functions.scalars import hex_to_decimal
 from ledgerops.functions.times import as_datetime, ntz
 from ledgerops.operators.joins import resolve_signature
-from ledgerops.operators.ordered import OrderedRows, exact_quantiles
+from ledgerops.operators.ordered import OrderedRows, exact_quantiles, unfold
 
 
 def missing_ranges(df: DataFrame, number: str, first: int, last: int) -> DataFrame:
@@ -32,9 +32,8 @@ def missing_ranges(df: DataFrame, number: str, first: int, last: int) -> DataFra
 
 def fetch_batches(ranges: DataFrame, batch_size: int) -> DataFrame:
     """Ranges cut into inclusive batches of at most ``batch_size`` numbers."""
-    starts = F.explode(F.sequence("lo", "hi", F.lit(batch_size).cast("bigint")))
-    return ranges.select(starts.alias("batch_lo"), F.col("hi").alias("_hi")).select(
-        "batch_lo", F.least(F.col("batch_lo") + (batch_size - 1), F.col("_hi")).alias("batch_hi")
+    return unfold(ranges, "lo", "hi", "batch_lo", batch_size).select(
+        "batch_lo", F.least(F.col("batch_lo") + (batch_size - 1), F.col("hi")).alias("batch_hi")
     )
 
 

@@ -140,8 +140,9 @@ def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx:
     """Distinct count and row-order correlation per column, with the index-candidate flag.
 
     Correlation is Pearson's between a row's position in ``order_by`` order and the
-    rank of its value. Both ranks are running counts; the sums of products need only
-    per-value totals, so rows are never joined back to their ranks.
+    rank of its value; rows equal in ``order_by`` are placed by the profiled columns.
+    Copies of a row collapse to one with a count. Both ranks are running counts; the
+    sums of products need only per-value totals, so rows never meet their ranks again.
     """
     frames = []
     if approx:
@@ -152,18 +153,21 @@ def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx:
                 )
             )
     else:
-        keep = list(dict.fromkeys([*cols, *order_by]))
-        one = F.lit(1).cast("bigint")
+        keep = list(dict.fromkeys([*order_by, *cols]))
+        copies = df.groupBy(*keep).agg(F.count(F.lit(1)).alias("_n"))
         # positions are written once; every column then reads only itself and its position
-        placed = cut(OrderedRows.of(df.select(*keep), [], order_by).running_sum(_pos=one).rows)
+        placed = cut(OrderedRows.of(copies, [], keep).running_sum(_upto=F.col("_n")).rows)
+        total = float(placed.agg(F.sum("_n")).first()[0] or 1)
+        middle = (total + 1) / 2  # ranks are centred and scaled, so sums of squares keep their digits
+        many = F.col("_n").cast("double")
+        place = (F.col("_upto") - (many - 1) / 2 - middle) / total  # mean place of a row's copies
+        spread = many * (many * many - 1) / 12 / total**2  # of equally spaced copies around it
         for c in cols:
             per_value = placed.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(
-                F.count(F.lit(1)).alias("n"),
-                F.sum(F.col("_pos").cast("double")).alias("x"),
-                F.sum(F.col("_pos").cast("double") * F.col("_pos")).alias("xx"),
+                F.sum("_n").alias("n"), F.sum(many * place).alias("x"), F.sum(many * place * place + spread).alias("xx")
             )
             ranked = OrderedRows.of(per_value, [], ["v"]).running_sum(_upto=F.col("n")).rows
-            rank = (F.col("_upto") - F.col("n") + 1).cast("double")
+            rank = (F.col("_upto") - F.col("n") + 1 - middle) / total
             s = ranked.agg(
                 F.count(F.lit(1)).alias("n_distinct"),
                 F.sum("n").cast("double").alias("n"),
@@ -173,23 +177,25 @@ def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx:
                 F.sum(rank * rank * F.col("n")).alias("yy"),
                 F.sum(rank * F.col("x")).alias("xy"),
             )
-            n, x, y = F.col("n"), F.col("x"), F.col("y")
-            var = (n * F.col("xx") - x * x) * (n * F.col("yy") - y * y)
-            corr = F.when(var > 0, (n * F.col("xy") - x * y) / F.sqrt(var))
+            rows, x, y = F.col("n"), F.col("x"), F.col("y")
+            var = (F.col("xx") - x * x / rows) * (F.col("yy") - y * y / rows)
+            corr = F.when((F.col("n_distinct") > 1) & (var > 0), (F.col("xy") - x * y / rows) / F.sqrt(var))
             frames.append(s.select(F.lit(c).alias("attname"), "n_distinct", corr.alias("correlation")))
     return _stack(frames).withColumn(
         "candidate", F.coalesce((F.col("n_distinct") > 100) & (F.col("correlation") < 0.1), F.lit(False))
     )
 
 
-def stalls(df: DataFrame, control: str, tie: str, max_gap_s: float, as_of) -> DataFrame:
-    """Gaps between successive rows above the allowed period, and the open gap to ``as_of``."""
-    closing = df.agg(F.max(control).alias("c")).where("c is not null").select(
-        ntz(as_of).alias(control), F.lit(None).cast(df.schema[tie].dataType).alias(tie), F.lit(True).alias("_open")
+def stalls(df: DataFrame, control: str, max_gap_s: float, as_of) -> DataFrame:
+    """Gaps between successive rows above the allowed period, and the open gap to ``as_of``.
+
+    Only distinct times matter, so rows of one time collapse before they are ordered.
+    """
+    times = df.where(F.col(control) <= ntz(as_of)).select(control).distinct().withColumn("_open", F.lit(False))
+    closing = times.agg(F.max(control).alias("c")).where("c is not null").select(
+        ntz(as_of).alias(control), F.lit(True).alias("_open")
     )
-    rows = df.where(F.col(control).isNotNull()).select(control, tie, F.lit(False).alias("_open"))
-    rows = rows.where(F.col(control) <= ntz(as_of)).unionByName(closing)
-    found = OrderedRows.of(rows, [], [control, "_open", tie]).previous(gap_start=F.col(control)).rows
+    found = OrderedRows.of(times.unionByName(closing), [], [control, "_open"]).previous(gap_start=F.col(control)).rows
     gap = (micros(control) - micros("gap_start")) / F.lit(1e6)
     return found.select(
         "gap_start", F.col(control).alias("gap_end"), gap.alias("gap_seconds"), F.col("_open").alias("open")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerops.functions.times import micros, to_micros
 from ledgerops.operators.ordered import OrderedRows
+from ledgerops.session import cut
 
 
 def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
@@ -19,6 +20,16 @@ def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, c
     )
 
 
+def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys as a written table.
+
+    Joined as a table, they are broadcast when their measured size is small; otherwise
+    both join inputs are plain shuffles, which the adaptive planner may split where one
+    key of the other side is hot. An aggregate right below the join would prevent that.
+    """
+    return cut(df.select(*keys).distinct())
+
+
 def missing_rows(src: DataFrame, dst: DataFrame, col: str, null_aware: bool = False) -> DataFrame:
     """Source rows whose value is absent in the target.
 
@@ -26,11 +37,11 @@ def missing_rows(src: DataFrame, dst: DataFrame, col: str, null_aware: bool = Fa
     target leaves everything. It is resolved with two one-row probes, so the join
     stays an equi anti join instead of one broadcast side.
     """
-    seen = dst.select(col).distinct()
+    seen = known_keys(dst, [col])
     if null_aware:
-        if not dst.where(F.col(col).isNull()).isEmpty():
+        if not seen.where(F.col(col).isNull()).isEmpty():
             return src.limit(0)
-        if dst.isEmpty():
+        if seen.isEmpty():
             return src
         src = src.where(F.col(col).isNotNull())
     return src.join(seen, col, "left_anti")
@@ -38,7 +49,7 @@ def missing_rows(src: DataFrame, dst: DataFrame, col: str, null_aware: bool = Fa
 
 def deleted_rows(snapshot: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the snapshot whose key is gone from the live table."""
-    return snapshot.join(live.select(*keys).distinct(), keys, "left_anti")
+    return snapshot.join(known_keys(live, keys), keys, "left_anti")
 
 
 def lag_blocks(head: DataFrame, head_col: str, indexed: DataFrame, indexed_col: str) -> DataFrame:
@@ -65,8 +76,8 @@ def resolve_signature(df: DataFrame, selector: str, sources: list[DataFrame]) ->
     """Signature of each selector from dictionaries in priority order.
 
     Each dictionary has ``selector`` and ``signature``. They are merged to one row per
-    selector first, so the large side is joined once; the planner broadcasts the
-    merged dictionary when its measured size allows.
+    selector and written first, so the large side is joined once: by broadcast when the
+    measured size allows, else with hot selectors split by the adaptive planner.
     """
     tagged = [
         s.select("selector", F.struct(F.lit(i).alias("priority"), F.col("signature")).alias("c"))
@@ -76,7 +87,7 @@ def resolve_signature(df: DataFrame, selector: str, sources: list[DataFrame]) ->
     best = best.select(
         F.col("selector").alias(selector), F.col("c.signature").alias("signature"), F.col("c.priority").alias("source")
     )
-    return df.join(best, selector, "left")
+    return df.join(cut(best), selector, "left")
 
 
 def url_host(url: Column) -> Column:

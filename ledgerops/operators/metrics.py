@@ -100,8 +100,9 @@ def instant_vector(samples: DataFrame, keys: list[str], grid: Grid, lookback="5
 def counter_deltas(samples: DataFrame, keys: list[str], since=None) -> DataFrame:
     """Increase each sample adds to its counter; a drop means the counter restarted at 0.
 
-    With ``since``, older samples matter only through the last one per series: they
-    collapse to one row each before anything is ordered.
+    Copies of a sample collapse first; at equal times the higher value counts. With
+    ``since``, older samples matter only through the last one per series: they collapse
+    to one row each before anything is ordered.
     """
     rows = samples.select(*keys, "ts", "value")
     if since is not None:
@@ -109,7 +110,8 @@ def counter_deltas(samples: DataFrame, keys: list[str], since=None) -> DataFrame
         before = rows.where(F.col("ts") <= ntz(since)).groupBy(*keys).agg(newest)
         before = before.select(*keys, F.col("_v.ts").alias("ts"), F.col("_v.value").alias("value"))
         rows = rows.where(F.col("ts") > ntz(since)).unionByName(before)
-    ordered = OrderedRows.of(rows, keys, ["ts", "value"]).previous(_before=F.col("value")).rows
+    rows = rows.groupBy(*keys, "ts").agg(F.max("value").alias("value"))
+    ordered = OrderedRows.of(rows, keys, ["ts"]).previous(_before=F.col("value")).rows
     v, p = F.col("value"), F.col("_before")
     delta = F.when(p.isNull(), F.lit(0.0)).when(v >= p, v - p).otherwise(v)
     return ordered.withColumn("delta", delta).drop("_before")

@@ -21,6 +21,22 @@ from ledgerops.session import cut
 RUN, KEY = "_run", "_key"
 
 
+_BLOCK = 100_000
+
+
+def unfold(df: DataFrame, lo: str, hi: str, name: str, step: int = 1) -> DataFrame:
+    """One row per number of the inclusive range ``lo..hi``: adds ``name``.
+
+    Long ranges first split into blocks that spread over the cluster, so neither an
+    array nor a task ever holds a whole range.
+    """
+    width = F.lit(_BLOCK * step).cast("bigint")
+    blocks = df.where(F.col(hi) >= F.col(lo)).withColumn("_block", F.explode(F.sequence(lo, hi, width)))
+    blocks = blocks.hint("rebalance", F.col("_block"))
+    last = F.least(F.col("_block") + (width - 1), F.col(hi))
+    return blocks.withColumn(name, F.explode(F.sequence("_block", last, F.lit(step).cast("bigint")))).drop("_block")
+
+
 class OrderedRows:
     """Rows in (keys, order) order. ``order`` must end in a tie-breaker."""
 
@@ -171,7 +187,10 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] |
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = OrderedRows.of(counts, by, [value]).running_sum(upto=F.col("n")).following(nxt=F.col(value)).rows
     if by:
-        ranked = ranked.join(ranked.groupBy(*by).agg(F.sum("n").alias("total")), by)
+        # the totals are one row per group; as a written table they are broadcast when
+        # small, and otherwise leave the planner free to split a group of many values
+        totals = cut(counts.groupBy(*by).agg(F.sum("n").alias("total")))
+        ranked = ranked.join(totals, by)
     else:
         ranked = ranked.withColumn("total", F.lit(ranked.agg(F.sum("n")).first()[0]).cast("bigint"))
     first, upto = F.col("upto") - F.col("n"), F.col("upto")

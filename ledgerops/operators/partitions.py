@@ -13,7 +13,7 @@ from ledgerops.functions.scalars import duration_seconds, flag
 from ledgerops.functions.times import (
     age_seconds, as_datetime, from_micros, micros, ntz, to_micros, to_timedelta,
 )
-from ledgerops.operators.ordered import OrderedRows
+from ledgerops.operators.ordered import OrderedRows, unfold
 from ledgerops.sources.files import DAY, interval_start, with_partition, write_partitioned
 
 _EPOCH = datetime(1970, 1, 1)
@@ -131,7 +131,7 @@ def migration_plan(
     b = F.col("b")
     moved = F.least(b * batch_rows, F.col("rows"))
     return (
-        days.withColumn("b", F.explode(F.sequence(F.lit(1).cast("bigint"), "batches")))
+        unfold(days.withColumn("first", F.lit(1).cast("bigint")), "first", "batches", "b")
         .select(
             "table_ord",
             "table_name",

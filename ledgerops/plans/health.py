@@ -177,7 +177,7 @@ def totals(spark, sf):
         WHERE (epoch_us(gap_end) - epoch_us(gap_start)) / 1e6 > 600""",
 )
 def stalls(spark, sf):
-    return health.stalls(load_table(spark, sf, "events"), "ts", "event_id", 600, now_of(spark, sf, "events"))
+    return health.stalls(load_table(spark, sf, "events"), "ts", 600, now_of(spark, sf, "events"))
 
 
 _CHECKS = [

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerops.operators.ordered import unfold
 from ledgerops.operators.partitions import Calendar
 from ledgerops.sources.files import DAY, with_partition
 
@@ -75,8 +76,7 @@ def catch_up(source: DataFrame, number: str, ranges: DataFrame) -> DataFrame:
     Ranges unfold to the missing numbers, spread over the cluster, and meet the source
     in an equi semi join.
     """
-    wanted = ranges.select(F.explode(F.sequence("lo", "hi")).alias(number))
-    return source.join(wanted, number, "left_semi")
+    return source.join(unfold(ranges, "lo", "hi", number).select(number), number, "left_semi")
 
 
 def partitioned_sink(df: DataFrame, control: str, calendar: Calendar, path: str, checkpoint: str) -> StreamingQuery:
