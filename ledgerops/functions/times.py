@@ -41,7 +41,8 @@ def to_timedelta(value: timedelta | str) -> timedelta:
     if isinstance(value, timedelta):
         return value
     parts = re.findall(r"(\d+)\s*([a-z]+)", value.lower())
-    if not parts or re.sub(r"\d+\s*[a-z]+|\s", "", value.lower()):
+    unknown = any(unit not in UNIT_SECONDS for _, unit in parts)
+    if not parts or unknown or re.sub(r"\d+\s*[a-z]+|\s", "", value.lower()):
         raise ValueError(f"not a duration: {value!r}")
     return timedelta(seconds=sum(int(n) * UNIT_SECONDS[u] for n, u in parts))
 

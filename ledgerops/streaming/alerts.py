@@ -44,7 +44,7 @@ class AlertMachine(StatefulProcessor):
             return "inactive"
         return "firing" if t - since >= self.for_us else "pending"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         since, last, was = self.state.get() if self.state.exists() else (None, None, 0)
         batch = pd.concat(rows).sort_values("t_us")
         out = []
@@ -66,7 +66,7 @@ class AlertMachine(StatefulProcessor):
                 self.handle.registerTimer(-(-(last + self.resolve_us) // 1000))
         yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields]).astype({"since_us": "Int64"})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         since, last, was = self.state.get()
         self.state.update((None, last, 0))
         row = (key[0], last + self.resolve_us, "resolved", since)
