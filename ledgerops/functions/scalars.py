@@ -233,20 +233,30 @@ def render(template: str, value: Column | str, labels, formats: dict | None = No
 def _bare_hex(col: Column | str) -> Column:
     """Lower-case hex digits without 0x and leading zeros; null when malformed."""
     text = F.lower(_col(col))
-    digits = F.regexp_replace(F.regexp_replace(text, r"^0x", ""), r"^0+(?=[0-9a-f])", "")
-    return F.when(text.rlike(r"^(0x)?[0-9a-f]+$"), digits)
+
+    def digits(body):
+        valid = (F.length(body) > 0) & (F.translate(body, "0123456789abcdef", "") == "")
+        return F.when(valid, F.coalesce(F.nullif(F.ltrim(body, F.lit("0")), F.lit("")), F.lit("0")))
+
+    return _let(F.when(text.startswith("0x"), F.substr(text, F.lit(3))).otherwise(text), digits)
 
 
 def hex_to_decimal(col: Column | str) -> Column:
     """Hex quantity as DECIMAL(38,0); null beyond 38 digits."""
-    digits = _bare_hex(col)
-    padded = F.lpad(digits, 45, "0")
-    def part(i):  # 15 digits = 60 bits, always inside a signed long
-        return F.conv(F.substring(padded, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
     wide = lambda n: F.lit(str(n)).cast("decimal(38,0)")
-    high = F.try_multiply(part(0), wide(2**120))
-    mid = F.try_multiply(part(1), wide(2**60))
-    return F.when(F.length(digits) <= 32, F.try_add(F.try_add(high, mid), part(2))).cast("decimal(38,0)")
+
+    def number(digits):
+        def part(i):  # 15 digits = 60 bits, always inside a signed long
+            return F.conv(F.substring(F.lpad(digits, 45, "0"), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+
+        high = F.try_multiply(part(0), wide(2**120))
+        mid = F.try_multiply(part(1), wide(2**60))
+        return (
+            F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).cast("bigint").cast("decimal(38,0)"))
+            .when(F.length(digits) <= 32, F.try_add(F.try_add(high, mid), part(2)).cast("decimal(38,0)"))
+        )
+
+    return _let(_bare_hex(col), number)
 
 
 def hex_to_number(col: Column | str) -> Column:

@@ -157,7 +157,8 @@ def fee_percentiles(
 
 def _words(data: Column) -> Column:
     """Hex payload without 0x, for cutting into 32-byte words."""
-    return F.regexp_replace(F.lower(data), "^0x", "")
+    text = F.lower(data)
+    return F.when(text.startswith("0x"), F.substr(text, F.lit(3))).otherwise(text)
 
 
 def _typed_word(word: Column, kind: str) -> Column:

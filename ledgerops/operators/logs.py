@@ -15,23 +15,38 @@ LINE = (
 _PARTS = ["log_time", "zone", "pid", "line_no", "user_name", "db_name", "app", "client", "message"]
 
 
+_MARK = "\x01"
+
+
+def _prefix_parts(line: Column) -> Column:
+    """The nine parts of a line as an array, from one pass of the pattern.
+
+    Lines that already hold the mark take the slower way, part by part.
+    """
+    groups = range(1, len(_PARTS) + 1)
+    marked = F.regexp_replace(line, LINE, _MARK.join(f"${i}" for i in groups))
+    apart = F.when(line.rlike(LINE), F.array(*[F.regexp_extract(line, LINE, i) for i in groups]))
+    return F.when(line.contains(_MARK), apart).otherwise(F.split(marked, _MARK))
+
+
 def parse_server_log(df: DataFrame, col: str) -> DataFrame:
     """Prefix fields and message of each line; a line without the prefix keeps only its message."""
-    line = F.col(col)
-    part = {n: F.regexp_extract(line, LINE, i) for i, n in enumerate(_PARTS, start=1)}
-    ok = line.rlike(LINE)
     types = {"log_time": "timestamp_ntz", "pid": "int", "line_no": "bigint"}
+    ok = F.size("_parts") == len(_PARTS)
     out = []
-    for name in _PARTS:
+    for i, name in enumerate(_PARTS):
+        value = F.when(ok, F.get("_parts", F.lit(i)))
         if name == "zone":
             continue
-        value = F.when(ok, F.nullif(part[name], F.lit("")))
+        if name == "message":
+            value = F.coalesce(value, F.col(col))
+        else:
+            value = F.nullif(value, F.lit(""))
         if name in types:
             value = value.try_cast(types[name])
-        if name == "message":
-            value = F.when(ok, part[name]).otherwise(line)
         out.append(value.alias(name))
-    return df.select(*[c for c in df.columns if c != col], *out)
+    kept = [c for c in df.columns if c != col]
+    return df.withColumn("_parts", _prefix_parts(F.col(col))).select(*kept, *out)
 
 
 # Message shapes, tested in order.
