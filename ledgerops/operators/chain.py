@@ -181,13 +181,16 @@ def decode_event(
     hits = logs.where(F.col("first_topic") == topic0)
     if contract is not None:
         hits = hits.where(F.col("address_hash") == contract)
+    # payload, words and values are separate steps, so each is computed once per row
+    cut_up = hits.withColumn("_payload", _words(F.col(data)))
+    words = {f"_w{i}": F.substring("_payload", 1 + 64 * i, 64) for i in range(len(fields))}
     out = {}
     for i, (name, kind) in enumerate(fields):
-        word = F.substring(_words(F.col(data)), 1 + 64 * i, 64)
+        word = F.col(f"_w{i}")
         out[name] = _typed_word(F.when(F.length(word) == 64, word), kind)
         if kind == "uint256":
             out[f"{name}_hex"] = word
-    return hits.withColumns(out)
+    return cut_up.withColumns(words).withColumns(out).drop("_payload", *words)
 
 
 def decode_calls(txs: DataFrame, signatures: list[DataFrame], data: str = "input") -> DataFrame:
