@@ -300,6 +300,13 @@ KPIS = [
     Kpi("packet_drop_rate", "rate", "drop_count_total"),
     Kpi("policy_deny_rate", "rate", "policy_denied_total"),
     Kpi("ready_endpoints", "instant", "endpoints_ready"),
+    Kpi("indexing_lag_seconds", "instant", "indexing_lag_seconds"),
+    Kpi("connection_count", "instant", "database_backends"),
+    Kpi("replication_lag_seconds", "instant", "replication_lag_seconds"),
+    Kpi("transactions_per_second", "rate", "xact_commit_total", span="1 minute"),
+    Kpi("db_cache_hit_share", "share", "blks_hit_total", "blks_read_total"),
+    Kpi("connected_clients", "instant", "cache_connected_clients"),
+    Kpi("map_pressure", "instant", "bpf_map_pressure"),
 ]
 
 

@@ -155,9 +155,12 @@ def migrate(df: DataFrame, path: str, control: str, calendar: Calendar, batch_ro
     """Write all rows into their partitions, and return the progress rows.
 
     Rows outside the calendar go to the null partition folder, the default partition.
+    A null control fails the job.
     """
     inside = with_partition(df, control, calendar.interval)
-    inside = inside.withColumn(DAY, F.when(calendar.covers(control), F.col(DAY)))
+    null = F.raise_error(F.lit(f"{control} is null"))
+    place = F.when(F.col(control).isNull(), null).when(calendar.covers(control), F.col(DAY))
+    inside = inside.withColumn(DAY, place)
     rows = inside.hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY, control)
     rows.write.mode("overwrite").partitionBy(DAY).parquet(path)
     return migration_plan([(calendar.parent, df, control)], calendar.interval, batch_rows)

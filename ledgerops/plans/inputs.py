@@ -65,8 +65,6 @@ FROM (SELECT 'blocks' AS parent_table, CAST(o_orderdate AS DATE) AS d FROM {orde
       SELECT 'samples', CAST(ts AS DATE) FROM {events} GROUP BY 2) q
 """
 
-PARENTS = {"blocks": "orders", "transactions": "lineitem", "samples": "events"}
-
 
 def partitions_frame(spark: SparkSession, sf: str) -> DataFrame:
     text = PARTITIONS_SQL.replace("TIMESTAMP{ntz}", "TIMESTAMP_NTZ")

@@ -1,7 +1,7 @@
 """Stream operators: streaming DataFrame in, streaming DataFrame out.
 
 Event time is TIMESTAMP here, because watermarks are not defined on TIMESTAMP_NTZ;
-``event_time`` converts at the edge.
+``event_time`` converts at the edge. The session time zone is UTC, as for all operators.
 """
 
 from __future__ import annotations

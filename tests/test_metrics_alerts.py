@@ -153,3 +153,27 @@ def test_sample_retention_keeps_newest_days(spark):
     day_bytes = 2 * (16 + 1 + 2)
     kept = m.retain_samples(s, T0 + timedelta(days=5), "4 days", 2 * day_bytes + 1)
     assert {r["ts"].day for r in kept.collect()} == {4, 5}
+
+
+def test_kpi_kinds(spark):
+    def sample(metric, minute, value, **labels):
+        return (metric, {"i": "0", **labels}, t(minute), float(value))
+
+    s = spark.createDataFrame(
+        [sample("c", 1, 10), sample("c", 4, 70), sample("d", 1, 0), sample("d", 4, 20), sample("g", 4, 3), sample("h", 4, 4),
+         sample("b", 1, 0, le="1"), sample("b", 4, 30, le="1"), sample("b", 1, 0, le="+Inf"), sample("b", 4, 60, le="+Inf")],
+        "metric string, labels map<string,string>, ts timestamp_ntz, value double",
+    )
+    kpis = [
+        m.Kpi("rate", "rate", "c", scale=60.0), m.Kpi("mix", "rate_ratio", "c", "d"), m.Kpi("now", "instant", "g"),
+        m.Kpi("part", "ratio", "g", "h"), m.Kpi("share", "share", "g", "h"), m.Kpi("p25", "quantile", "b", scale=0.25),
+        m.Kpi("none", "instant", "missing"),
+    ]
+    got = {r["kpi"]: r["value"] for r in m.kpi_report(s, t(5), kpis).collect()}
+    assert got["rate"] == pytest.approx(12.0) and got["mix"] == pytest.approx(0.75) and got["now"] == 3
+    assert got["part"] == 0.75 and got["share"] == pytest.approx(3 / 7) and got["p25"] == pytest.approx(0.5) and got["none"] is None
+
+
+def test_down_targets(spark):
+    up = spark.createDataFrame([("a", T0, 1.0), ("a", T0, 0.0), ("b", T0, 1.0)], "job string, t timestamp_ntz, value double")
+    assert rows(m.down_targets(up, ["job"], 0.6)) == [("a", T0, 1, 2, 0.5, True)]

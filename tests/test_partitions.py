@@ -151,3 +151,18 @@ def test_backups(spark):
 
 def test_day_type(spark, blocks):
     assert files.with_partition(blocks, "inserted_at").where("number = 7").first()["p_day"] == date(2025, 3, 12)
+
+
+def test_migrate_rejects_null_control(spark, blocks, calendar):
+    holed = blocks.withColumn("inserted_at", F.when(F.col("number") > 1, F.col("inserted_at")))
+    with pytest.raises(PySparkException):
+        p.migrate(holed, scratch_path(spark, "t-null"), "inserted_at", calendar)
+
+
+def test_check_default_uses_each_config(spark, blocks):
+    config = spark.createDataFrame(
+        [("a", "1 day", 0, "2 days"), ("b", "1 day", 0, "30 days"), ("unused", "1 day", 0, "1 day")],
+        "parent_table string, partition_interval string, premake int, retention string",
+    )
+    got = p.check_default({"a": (blocks, "inserted_at"), "b": (blocks, "inserted_at")}, config, EVENING)
+    assert rows(got) == [("a", 4000), ("b", 0)]
