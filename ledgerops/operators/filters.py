@@ -37,12 +37,10 @@ def select_series(
     samples: DataFrame, metric: str, eq: dict[str, str] | None = None, regex: dict[str, str] | None = None
 ) -> DataFrame:
     """Samples of one metric; a missing label counts as empty, a regex must match the whole value."""
-    out = samples.where(F.col("metric") == metric)
-    for name, value in (eq or {}).items():
-        out = out.where(label(name) == value)
-    for name, pattern in (regex or {}).items():
-        out = out.where(label(name).rlike(f"^(?:{pattern})$"))
-    return out
+    conds = [F.col("metric") == metric]
+    conds += [label(name) == value for name, value in (eq or {}).items()]
+    conds += [label(name).rlike(f"^(?:{pattern})$") for name, pattern in (regex or {}).items()]
+    return samples.where(reduce(lambda a, b: a & b, conds))
 
 
 def filter_logs(df: DataFrame, address: str | None = None, tx=None, topics: list | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerops.functions.times import as_datetime, ceil_div, micros, ntz, to_micros, to_timedelta
 from ledgerops.operators.ordered import OrderedRows
+from ledgerops.session import cut
 
 SECOND = 1_000_000
 
@@ -313,32 +314,33 @@ KPIS = [
 def kpi_report(samples: DataFrame, at, kpis: list[Kpi] | None = None, lookback="5 minutes", span=None) -> DataFrame:
     """All key figures at one time: (kpi, value). Series of a metric are summed.
 
-    Every metric is read once for its instant value and once for its increase; the
-    figures are then expressions over one row of totals.
+    Gauges take one pass, counters one pass per span; the figures are then expressions
+    over one row of totals.
     """
     kpis = kpis or KPIS
     grid = Grid.at(at)
-    kinds = lambda *ks: sorted({m for k in kpis if k.kind in ks for m in (k.a, k.b) if m})
-    gauges, counters = kinds("instant", "ratio", "share"), kinds("rate", "rate_ratio")
     keyed = samples.withColumn("series", series_key())
     totals = []
+    gauges = sorted({x for k in kpis if k.kind in ("instant", "ratio", "share") for x in (k.a, k.b) if x})
     if gauges:
         now = instant_vector(keyed.where(F.col("metric").isin(*gauges)), ["metric", "series"], grid, lookback)
         totals.append(now.groupBy("metric").agg(F.sum("value").alias("v")).withColumn("kind", F.lit("i")))
-    spans = sorted({span or k.span for k in kpis if k.kind in ("rate", "rate_ratio")})
-    for s in spans:
-        wanted = [m for k in kpis if k.kind in ("rate", "rate_ratio") and (span or k.span) == s for m in (k.a, k.b) if m]
-        per = rate(keyed.where(F.col("metric").isin(*wanted)), ["metric", "series"], grid, s)
-        totals.append(per.groupBy("metric").agg(F.sum("value").alias("v")).withColumn("kind", F.lit(s)))
-    quantiles = [k for k in kpis if k.kind == "quantile"]
-    for k in quantiles:
-        s = span or k.span
-        buckets = samples.where(F.col("metric") == k.a).withColumn(
-            "le", F.when(F.col("labels")["le"] == "+Inf", F.lit(float("inf"))).otherwise(F.col("labels")["le"].try_cast("double"))
-        ).withColumn("series", series_key())
-        grown = increase(buckets, ["le", "series"], grid, s)
-        value = histogram_quantile(k.scale, grown.withColumnRenamed("value", "count"))
-        totals.append(value.select(F.lit(k.name).alias("metric"), F.col("value").alias("v"), F.lit("q").alias("kind")))
+    counted = [k for k in kpis if k.kind in ("rate", "rate_ratio", "quantile")]
+    for s in sorted({span or k.span for k in counted}):
+        here = [k for k in counted if (span or k.span) == s]
+        wanted = sorted({x for k in here for x in (k.a, k.b) if x})
+        # one ordered pass for all counters of a span; the result has a row per series
+        grown = cut(increase(keyed.where(F.col("metric").isin(*wanted)), ["metric", "series"], grid, s))
+        seconds = to_micros(s) / SECOND
+        per_metric = grown.groupBy("metric").agg((F.sum("value") / F.lit(seconds)).alias("v"))
+        totals.append(per_metric.withColumn("kind", F.lit(s)))
+        for k in here:
+            if k.kind == "quantile":
+                le = F.map_from_entries("series")["le"]
+                bound = F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.try_cast("double"))
+                buckets = grown.where(F.col("metric") == k.a).select(bound.alias("le"), F.col("value").alias("count"))
+                value = histogram_quantile(k.scale, buckets)
+                totals.append(value.select(F.lit(k.name).alias("metric"), F.col("value").alias("v"), F.lit("q").alias("kind")))
     stacked = reduce(DataFrame.unionByName, totals)
 
     def total(metric, kind):
