@@ -105,9 +105,9 @@ def alert_state(evals: DataFrame, keys: list[str], cond: str, for_s: Column | fl
 def _series(rule: Rule) -> Column:
     """Labels of a rule's alerts as sorted entries; null labels are left out."""
     fixed = {"severity": rule.severity, **({"component": rule.component} if rule.component else {})}
-    values = {**{k: F.col(k) for k in rule.keys}, **{k: F.lit(v) for k, v in fixed.items()}}
-    entries = [F.struct(F.lit(k).alias("key"), values[k].alias("value")) for k in sorted(values)]
-    return F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    values = {**{k: f"`{k}`" for k in rule.keys}, **{k: f"'{v}'" for k, v in fixed.items()}}
+    entries = ", ".join(f"named_struct('key', '{k}', 'value', {values[k]})" for k in sorted(values))
+    return F.expr(f"filter(array({entries}), e -> e.value IS NOT NULL)")
 
 
 def _by_rule(rules: list[Rule], value: Callable[[Rule], Column]) -> Column:
