@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerops.llm.ngram_join import jaccard_groups
+from ledgerops.llm import decontaminate, fingerprints, html_text, langid, licenses, mixing, ngram_join, secrets, toxicity, warc
+from ledgerops.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,4 +29,78 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf, "documents").select("doc_id", "text"))
+    return ngram_join.jaccard_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic"))
+
+
+@query("op3_license_scan", licenses.oracle_sql())
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf, "pages"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op6_benchmark_decontamination",
+    f"""
+    WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS span, w[p : p + least(len(w), 10) - 1] AS gram
+           FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+    spans AS (SELECT DISTINCT span FROM iw),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+    dw AS (SELECT r, p, span, w[p : p + span - 1] AS gram FROM (SELECT r, w, span, unnest(range(1, len(w) - span + 2)) AS p FROM d, spans WHERE len(w) >= span)),
+    m AS (SELECT r, p, dw.span, item_id FROM dw JOIN iw ON dw.span = iw.span AND dw.gram = iw.gram),
+    h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + span)) AS q FROM m) GROUP BY r),
+    n AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)""",
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.taken(table(spark, sf, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > first THEN first END AS refers_to
+    FROM d LEFT JOIN f USING (payload_digest)""",
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf, "documents").select("doc_id", "text"))
