@@ -32,9 +32,9 @@ WIDTH, PERCENT = 5, 75
 #: Part of the hash space that the first filter looks at, in 64ths; more than 1 - PERCENT is needed, any such value is exact.
 _SAMPLE = 24
 #: Documents in one batch of the first pass, and of a block of step 3.
-_BATCH, _BLOCK = 4096, 1024
+_BATCH, _BLOCK = 4096, 512
 #: Hashes that one task of a counting step takes, about.
-_TOKENS = 2_000_000
+_TOKENS = 1_000_000
 _FAN = 8
 _MANY = 0xFFFF
 
@@ -45,10 +45,13 @@ def least_overlap(size, percent: int):
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
-    raw, bounds = W.text_bytes(batch.column(1))
-    start, end, first = W.word_spans(raw, bounds)
-    hashes = W.word_hashes(raw, start, end)
-    return [W.row_shingles(hashes[a:b], width) for a, b in zip(first[:-1], first[1:])]
+    out: list[np.ndarray] = []
+    for piece in slices(iter([batch]), _BATCH, 1 << 20):  # word arrays are several times the text
+        raw, bounds = W.text_bytes(piece.column(1))
+        start, end, first = W.word_spans(raw, bounds)
+        hashes = W.word_hashes(raw, start, end)
+        out += [W.row_shingles(hashes[a:b], width) for a, b in zip(first[:-1], first[1:])]
+    return out
 
 
 def _batch_id(ids: np.ndarray) -> int:
@@ -283,7 +286,7 @@ def _walk(x: _Tree, y: _Tree, same: bool, percent: int) -> Iterator[tuple[np.nda
         i, j = i[apart], j[apart]
         if not len(i):
             continue
-        step = max(1, (4 << 20) // bx.shape[1])
+        step = max(1, (1 << 20) // bx.shape[1])
         fits = np.zeros(len(i), dtype=bool)
         for at in range(0, len(i), step):
             a, b = i[at : at + step], j[at : at + step]
