@@ -391,9 +391,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInPandas(_members(percent), _MEMBERS), "members"
     )
 
-    per_leader = members.groupBy("leader").agg(F.count("*").alias("met")).where("met > 1")
+    per_leader = written(members.groupBy("leader").agg(F.count("*").alias("met")).where("met > 1"), "leaders")
     blocks = F.ceil(F.col("met") / _BLOCK).cast("int")
-    met = members.join(per_leader.withColumn("blocks", blocks).drop("met"), "leader")
+    met = members.join(small(per_leader.withColumn("blocks", blocks).drop("met"), per_leader.count()), "leader")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     met = met.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(
