@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerops.functions.scalars import render, value_formats
 from ledgerops.functions.times import ceil_div, from_micros, micros, ntz, to_micros
-from ledgerops.operators.filters import select_series
+from ledgerops.operators.filters import label, select_series
 from ledgerops.operators.metrics import (
     Grid, agg_vector, growth_per_day, instant_vector, rate, series_key, vector_op,
 )
@@ -44,7 +44,7 @@ class Signals:
 
     def _pick(self, vector, metric, keys, eq, regex) -> DataFrame:
         found = select_series(vector, metric, eq, regex)
-        return found.select(*[F.col("labels")[k].alias(k) for k in keys], "t", "value")
+        return found.select(*[label(k).alias(k) for k in keys], "t", "value")
 
     def instant(self, metric: str, keys: list[str], eq=None, regex=None) -> DataFrame:
         return self._pick(self._instant, metric, keys, eq, regex)
@@ -289,8 +289,8 @@ def _age(metric, eq=None, regex=None):
 def _storage(s, r):
     """Database size over volume capacity. The two metrics share no label but the
     instance, so the match key is stated."""
-    size = s.instant("database_size_bytes", ["datname", "instance"])
-    volume = s.instant("volume_capacity_bytes", ["instance"])
+    size = s.instant("pg_database_size_bytes", ["datname", "instance"])
+    volume = s.instant("kubelet_volume_stats_capacity_bytes", ["instance"])
     return vector_op(size, volume, "/", ["instance"], group_left=["datname"])
 
 
@@ -300,62 +300,62 @@ _GIB = 2.0**30
 # Rule names, thresholds, durations and texts.
 RULES = [
     Rule("BlockchainIndexingLag", _pair("latest_block_number", "-", "indexed_block_number"), lambda v: v > 100,
-         10 * _M, "warning", ("instance",), "backend", "Chain indexer is lagging",
+         10 * _M, "warning", ("instance",), "backend", "Blockchain indexer is lagging",
          "Indexer is {{ $value }} blocks behind chain head"),
-    Rule("BackendPodsDown", _instant("deployment_replicas_available"), lambda v: v < 1,
+    Rule("BackendPodsDown", _instant("kube_deployment_status_replicas_available"), lambda v: v < 1,
          5 * _M, "critical", ("instance",), "backend", "Backend pods are down",
          "Only {{ $value }} backend pods available"),
     Rule("BackendHighCPU", _rate("container_cpu_usage_seconds_total"), lambda v: v > 0.8,
          10 * _M, "warning", ("instance",), "backend", "Backend high CPU usage",
          "Backend CPU usage is {{ $value | humanizePercentage }}"),
-    Rule("BackendHighMemory", _pair("container_memory_usage_bytes", "/", "container_memory_limit_bytes"),
+    Rule("BackendHighMemory", _pair("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes"),
          lambda v: v > 0.85, 5 * _M, "warning", ("instance",), "backend", "Backend high memory usage",
          "Backend memory usage is {{ $value | humanizePercentage }}"),
     Rule("PostgreSQLDown", _instant("up"), lambda v: v == 0, 1 * _M, "critical", ("instance",), "postgresql",
          "PostgreSQL instance down", "PostgreSQL instance {{ $labels.instance }} is down"),
-    Rule("PostgreSQLReplicationLag", _instant("replication_lag_seconds"), lambda v: v > 300,
+    Rule("PostgreSQLReplicationLag", _instant("pg_replication_lag_seconds"), lambda v: v > 300,
          5 * _M, "warning", ("instance",), "postgresql", "PostgreSQL replication lag high",
          "Replication lag is {{ $value }} seconds"),
     Rule("RedisDown", _instant("redis_up"), lambda v: v == 0, 1 * _M, "critical", ("instance",), "redis",
          "Redis instance down", "Redis instance {{ $labels.instance }} is down"),
     Rule("DatabaseGrowthRateHigh",
-         lambda s, r: s.growth("database_size_bytes", list(r.keys), r.span), lambda v: v > 100 * _GIB,
+         lambda s, r: s.growth("pg_database_size_bytes", list(r.keys), r.span), lambda v: v > 100 * _GIB,
          2 * _H, "info", ("instance", "datname"), "database", "Database growing faster than expected (>100GB/day)",
          "Database {{ $labels.datname }} grows by {{ $value | humanize }} bytes per day", span="24 hours"),
     Rule("DatabaseStorageHigh", _storage, lambda v: v > 0.8, 30 * _M, "warning", ("instance", "datname"), "database",
          "Database storage usage above 80%", "Current: {{ $value | humanizePercentage }}"),
     Rule("DatabaseVacuumDelayed",
-         _age("last_autovacuum_time_seconds", None, {"relname": "blocks|transactions|logs"}), lambda v: v > 86400,
+         _age("pg_stat_user_tables_last_autovacuum", None, {"relname": "blocks|transactions|logs"}), lambda v: v > 86400,
          6 * _H, "info", ("instance", "relname"), "database",
          "Database vacuum hasn't run in 24 hours on critical table",
          "Table {{ $labels.relname }} was vacuumed {{ $value | humanizeDuration }} ago"),
     Rule("PartmanMaintenanceNotRunning",
-         lambda s, r: agg_vector(s.instant("maintenance_last_run_seconds_since_maintenance", []), "max"),
-         lambda v: v > 7200, 30 * _M, "warning", (), "partitions", "Partition maintenance hasn't run in 2 hours",
+         lambda s, r: agg_vector(s.instant("pg_partman_maintenance_last_run_seconds_since_maintenance", []), "max"),
+         lambda v: v > 7200, 30 * _M, "warning", (), "pg-partman", "pg_partman maintenance hasn't run in 2 hours",
          "Last run {{ $value | humanizeDuration }} ago"),
-    Rule("PartmanDefaultPartitionDataAccumulating", _instant("default_partition_rows_default_rows"),
-         lambda v: v > 10000, 1 * _H, "warning", ("parent_table",), "partitions", "Default partition accumulating data",
+    Rule("PartmanDefaultPartitionDataAccumulating", _instant("pg_partman_default_partition_rows_default_rows"),
+         lambda v: v > 10000, 1 * _H, "warning", ("parent_table",), "pg-partman", "Default partition accumulating data",
          "Table {{ $labels.parent_table }} has {{ $value }} rows in default partition."),
-    Rule("PartmanLowPartitionCount", _instant("partition_count_partition_count"), lambda v: v < 30,
-         1 * _H, "warning", ("parent_table",), "partitions", "Unusually low partition count",
+    Rule("PartmanLowPartitionCount", _instant("pg_partman_partition_count"), lambda v: v < 30,
+         1 * _H, "warning", ("parent_table",), "pg-partman", "Unusually low partition count",
          "Table {{ $labels.parent_table }} has only {{ $value }} partitions."),
-    Rule("IndexerLagHigh", _instant("indexing_lag_blocks"), lambda v: v > 100, 5 * _M, "warning", ("instance",), "",
+    Rule("IndexerLagHigh", _instant("blockscout_indexing_lag_blocks"), lambda v: v > 100, 5 * _M, "warning", ("instance",), "",
          "Indexer is lagging behind", "Indexer is {{ $value }} blocks behind"),
-    Rule("IndexerStalled", _rate("indexed_blocks_total"), lambda v: v == 0, 10 * _M, "critical", ("instance",), "",
+    Rule("IndexerStalled", _rate("blockscout_indexed_blocks_total"), lambda v: v == 0, 10 * _M, "critical", ("instance",), "",
          "Indexer has stalled", "No blocks indexed in the last 10 minutes"),
-    Rule("DatabaseConnectionsHigh", _pair("db_connections_active", "/", "db_connections_total"), lambda v: v > 0.8,
+    Rule("DatabaseConnectionsHigh", _pair("blockscout_db_connections_active", "/", "blockscout_db_connections_total"), lambda v: v > 0.8,
          5 * _M, "warning", ("instance",), "", "Database connection pool nearly exhausted",
          "Connection pool usage: {{ $value | humanizePercentage }}"),
-    Rule("RedisCacheHitRatioLow", _rate_share("keyspace_hits_total", "keyspace_misses_total"), lambda v: v < 0.7,
+    Rule("RedisCacheHitRatioLow", _rate_share("redis_keyspace_hits_total", "redis_keyspace_misses_total"), lambda v: v < 0.7,
          10 * _M, "warning", ("instance",), "", "Redis cache hit ratio is low",
          "Cache hit ratio: {{ $value | humanizePercentage }}"),
-    Rule("PostgreSQLNoRecentBackup", _age("last_backup_timestamp"), lambda v: v > 90000, 1 * _H, "warning",
+    Rule("PostgreSQLNoRecentBackup", _age("cnpg_pg_cluster_last_backup_timestamp"), lambda v: v > 90000, 1 * _H, "warning",
          ("instance",), "", "No recent PostgreSQL backup", "Last backup was {{ $value | humanizeDuration }} ago"),
-    Rule("PostgreSQLBackupFailed", _instant("last_backup_succeeded"), lambda v: v == 0, 5 * _M, "critical",
+    Rule("PostgreSQLBackupFailed", _instant("cnpg_pg_cluster_last_backup_succeeded"), lambda v: v == 0, 5 * _M, "critical",
          ("instance",), "", "PostgreSQL backup failed", ""),
-    Rule("ScaleOnLag", _instant("indexing_lag_blocks"), lambda v: v > 100, 0 * _M, "info", ("instance",), "scaling"),
+    Rule("ScaleOnLag", _instant("blockscout_indexing_lag_blocks"), lambda v: v > 100, 0 * _M, "info", ("instance",), "scaling"),
     Rule("ScaleOnCPU", _instant("cpu_utilization"), lambda v: v > 0.8, 5 * _M, "info", ("instance",), "scaling"),
-    Rule("ScaleOnMemory", _pair("container_memory_usage_bytes", "/", "container_memory_limit_bytes"),
+    Rule("ScaleOnMemory", _pair("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes"),
          lambda v: v > 0.85, 0 * _M, "info", ("instance",), "scaling"),
     Rule("ScaleOnResponseTime", _instant("response_seconds"), lambda v: v > 1, 0 * _M, "info", ("instance",), "scaling"),
     Rule("ScaleOnPodLag",
@@ -373,14 +373,14 @@ STRICT_REPLICATION = replace(
 )
 
 # Metrics the rules read.
-COUNTERS = ["container_cpu_usage_seconds_total", "indexed_blocks_total", "keyspace_hits_total", "keyspace_misses_total"]
+COUNTERS = ["container_cpu_usage_seconds_total", "blockscout_indexed_blocks_total", "redis_keyspace_hits_total", "redis_keyspace_misses_total"]
 METRICS = [
-    "latest_block_number", "indexed_block_number", "deployment_replicas_available",
-    "container_cpu_usage_seconds_total", "container_memory_usage_bytes", "container_memory_limit_bytes",
-    "up", "replication_lag_seconds", "redis_up", "database_size_bytes", "volume_capacity_bytes",
-    "last_autovacuum_time_seconds", "maintenance_last_run_seconds_since_maintenance",
-    "default_partition_rows_default_rows", "partition_count_partition_count", "indexing_lag_blocks",
-    "indexed_blocks_total", "db_connections_active", "db_connections_total", "keyspace_hits_total",
-    "keyspace_misses_total", "last_backup_timestamp", "last_backup_succeeded", "cpu_utilization",
+    "latest_block_number", "indexed_block_number", "kube_deployment_status_replicas_available",
+    "container_cpu_usage_seconds_total", "container_memory_usage_bytes", "container_spec_memory_limit_bytes",
+    "up", "pg_replication_lag_seconds", "redis_up", "pg_database_size_bytes", "kubelet_volume_stats_capacity_bytes",
+    "pg_stat_user_tables_last_autovacuum", "pg_partman_maintenance_last_run_seconds_since_maintenance",
+    "pg_partman_default_partition_rows_default_rows", "pg_partman_partition_count", "blockscout_indexing_lag_blocks",
+    "blockscout_indexed_blocks_total", "blockscout_db_connections_active", "blockscout_db_connections_total", "redis_keyspace_hits_total",
+    "redis_keyspace_misses_total", "cnpg_pg_cluster_last_backup_timestamp", "cnpg_pg_cluster_last_backup_succeeded", "cpu_utilization",
     "response_seconds", "indexing_lag_seconds", "http_requests_per_second",
 ]

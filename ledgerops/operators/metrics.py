@@ -157,8 +157,13 @@ def vector_op(left: DataFrame, right: DataFrame, op: str, on: list[str], group_l
     """Combine two vectors label by label: (on.., [group_left..,] t, value).
 
     Plain form: both sides have one row per (on, t). With ``group_left`` the left side
-    may have more rows, told apart by those columns. A zero divisor gives null.
+    may have more rows, told apart by those columns. A zero divisor gives null. A missing
+    label counts as empty text, so series without it meet each other.
     """
+    left, right = (
+        side.withColumns({c: F.coalesce(c, F.lit("")) for c in on if side.schema[c].dataType.simpleString() == "string"})
+        for side in (left, right)
+    )
     keep = [*on, *(group_left or []), "t"]
     r = right.select(*on, "t", F.col("value").alias("_right"))
     joined = left.select(*keep, "value").join(r, [*on, "t"])
@@ -284,30 +289,30 @@ class Kpi:
 
 # The report's key figures.
 KPIS = [
-    Kpi("blocks_per_second", "rate", "indexed_blocks_total"),
-    Kpi("blocks_per_minute", "rate", "indexed_blocks_total", scale=60.0),
-    Kpi("indexing_lag", "instant", "indexing_lag_blocks"),
-    Kpi("pool_usage", "ratio", "db_connections_active", "db_connections_total"),
+    Kpi("blocks_per_second", "rate", "blockscout_indexed_blocks_total"),
+    Kpi("blocks_per_minute", "rate", "blockscout_indexed_blocks_total", scale=60.0),
+    Kpi("indexing_lag", "instant", "blockscout_indexing_lag_blocks"),
+    Kpi("pool_usage", "ratio", "blockscout_db_connections_active", "blockscout_db_connections_total"),
     Kpi("response_p95", "quantile", "http_request_duration_seconds_bucket", scale=0.95),
     Kpi("response_p99", "quantile", "http_request_duration_seconds_bucket", scale=0.99),
     Kpi("request_rate", "rate", "http_requests_total"),
     Kpi("error_rate", "rate", "http_requests_failed_total"),
-    Kpi("commit_rate", "rate", "xact_commit_total"),
-    Kpi("db_cache_hit_ratio", "rate_ratio", "blks_hit_total", "blks_read_total"),
-    Kpi("cache_memory_use", "ratio", "cache_memory_used_bytes", "cache_memory_max_bytes"),
-    Kpi("cache_commands_rate", "rate", "cache_commands_total"),
-    Kpi("cache_hit_ratio", "rate_ratio", "keyspace_hits_total", "keyspace_misses_total"),
-    Kpi("packet_forward_rate", "rate", "forward_count_total"),
-    Kpi("packet_drop_rate", "rate", "drop_count_total"),
+    Kpi("commit_rate", "rate", "pg_stat_database_xact_commit"),
+    Kpi("db_cache_hit_ratio", "rate_ratio", "pg_stat_database_blks_hit", "pg_stat_database_blks_read"),
+    Kpi("cache_memory_use", "ratio", "redis_memory_used_bytes", "redis_memory_max_bytes"),
+    Kpi("cache_commands_rate", "rate", "redis_commands_processed_total"),
+    Kpi("cache_hit_ratio", "rate_ratio", "redis_keyspace_hits_total", "redis_keyspace_misses_total"),
+    Kpi("packet_forward_rate", "rate", "cilium_forward_count_total"),
+    Kpi("packet_drop_rate", "rate", "cilium_drop_count_total"),
     Kpi("policy_deny_rate", "rate", "policy_denied_total"),
     Kpi("ready_endpoints", "instant", "endpoints_ready"),
     Kpi("indexing_lag_seconds", "instant", "indexing_lag_seconds"),
-    Kpi("connection_count", "instant", "database_backends"),
-    Kpi("replication_lag_seconds", "instant", "replication_lag_seconds"),
-    Kpi("transactions_per_second", "rate", "xact_commit_total", span="1 minute"),
-    Kpi("db_cache_hit_share", "share", "blks_hit_total", "blks_read_total"),
-    Kpi("connected_clients", "instant", "cache_connected_clients"),
-    Kpi("map_pressure", "instant", "bpf_map_pressure"),
+    Kpi("connection_count", "instant", "pg_stat_database_numbackends"),
+    Kpi("pg_replication_lag_seconds", "instant", "pg_replication_lag_seconds"),
+    Kpi("transactions_per_second", "rate", "pg_stat_database_xact_commit", span="1 minute"),
+    Kpi("db_cache_hit_share", "share", "pg_stat_database_blks_hit", "pg_stat_database_blks_read"),
+    Kpi("connected_clients", "instant", "redis_connected_clients"),
+    Kpi("map_pressure", "instant", "cilium_bpf_map_pressure"),
 ]
 
 

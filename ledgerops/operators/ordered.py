@@ -12,6 +12,8 @@ executor is lost.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -190,7 +192,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] |
         # the totals are one row per group; as a written table they are broadcast when
         # small, and otherwise leave the planner free to split a group of many values
         totals = cut(counts.groupBy(*by).agg(F.sum("n").alias("total")))
-        ranked = ranked.join(totals, by)
+        names = {c: f"_of_{c}" for c in by}  # null is a group of its own
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+        ranked = ranked.join(totals.withColumnsRenamed(names), same).drop(*names.values())
     else:
         ranked = ranked.withColumn("total", F.lit(ranked.agg(F.sum("n")).first()[0]).cast("bigint"))
     first, upto = F.col("upto") - F.col("n"), F.col("upto")

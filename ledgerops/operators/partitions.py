@@ -245,15 +245,24 @@ def first_kept(as_of, retention, interval="1 day") -> datetime:
     return _floor(cutoff(as_of, retention), to_timedelta(interval))
 
 
-def apply_retention(df: DataFrame, control: str, as_of, retention, interval="1 day") -> DataFrame:
-    """Rows of the intervals that stay; one range predicate, pushed to the scan."""
+def apply_retention(
+    df: DataFrame, control: str, as_of, retention, interval="1 day", calendar: Calendar | None = None
+) -> DataFrame:
+    """Rows of the intervals that stay; one range predicate, pushed to the scan.
+
+    Rows outside ``calendar`` are the default partition, which retention never drops; without a
+    calendar every row counts as inside one. In a table read with its folder column, the null
+    folder is the default partition too, and whole folders are pruned. A null control stays with a
+    calendar, as it lies in no interval.
+    """
     edge = first_kept(as_of, retention, interval)
-    kept = df.where(F.col(control) >= ntz(edge))
-    if DAY in df.columns:  # prune whole folders; the null folder is the default partition
-        kept = df.where(
-            F.col(DAY).isNull() | ((F.col(DAY) >= F.to_date(ntz(edge))) & (F.col(control) >= ntz(edge)))
-        )
-    return kept
+    keep = F.col(control) >= ntz(edge)
+    if calendar is not None:
+        keep = keep | ~F.coalesce(calendar.covers(control), F.lit(False))
+    if DAY in df.columns:
+        edge_day = ntz(edge).cast(df.schema[DAY].dataType)
+        keep = F.col(DAY).isNull() | ((F.col(DAY) >= edge_day) & keep) if calendar is None else F.col(DAY).isNull() | keep
+    return df.where(keep)
 
 
 def drop_partitions(spark: SparkSession, table: str, as_of, retention) -> list[str]:

@@ -48,11 +48,11 @@ def states(spark, sf):
 
 # Rule samples: each event is a sample of one rule metric, scaled to straddle its threshold.
 _RULE_VALUE = {
-    "up": "(event_id // 27) % 2", "redis_up": "(event_id // 27) % 2", "last_backup_succeeded": "(event_id // 27) % 2",
-    "deployment_replicas_available": "(event_id // 27) % 3", "database_size_bytes": "value * 1e10",
-    "volume_capacity_bytes": "value * 1e10", "last_autovacuum_time_seconds": "1704067200 + value * 20000",
-    "last_backup_timestamp": "1704067200 + value * 20000", "maintenance_last_run_seconds_since_maintenance": "value * 100",
-    "default_partition_rows_default_rows": "value * 200", "http_requests_per_second": "value * 20",
+    "up": "(event_id // 27) % 2", "redis_up": "(event_id // 27) % 2", "cnpg_pg_cluster_last_backup_succeeded": "(event_id // 27) % 2",
+    "kube_deployment_status_replicas_available": "(event_id // 27) % 3", "pg_database_size_bytes": "value * 1e10",
+    "kubelet_volume_stats_capacity_bytes": "value * 1e10", "pg_stat_user_tables_last_autovacuum": "1704067200 + value * 20000",
+    "cnpg_pg_cluster_last_backup_timestamp": "1704067200 + value * 20000", "pg_partman_maintenance_last_run_seconds_since_maintenance": "value * 100",
+    "pg_partman_default_partition_rows_default_rows": "value * 200", "http_requests_per_second": "value * 20",
     "cpu_utilization": "value / 50", "response_seconds": "value / 50",
 }
 
@@ -113,30 +113,30 @@ def _avg(metric, cond, fn="avg"):
 
 _AGE = "epoch_us(t) / 1e6 - value"
 _SHARE = """SELECT instance, t, a.value / (a.value + b.value) AS value FROM rates a JOIN rates b USING (instance, t)
-  WHERE a.metric = 'keyspace_hits_total' AND b.metric = 'keyspace_misses_total' AND a.value / (a.value + b.value) < 0.7"""
+  WHERE a.metric = 'redis_keyspace_hits_total' AND b.metric = 'redis_keyspace_misses_total' AND a.value / (a.value + b.value) < 0.7"""
 _RULE_SQL = {
     "BlockchainIndexingLag": _two("latest_block_number", "-", "indexed_block_number", "> 100"),
-    "BackendPodsDown": _one("deployment_replicas_available", "< 1"),
+    "BackendPodsDown": _one("kube_deployment_status_replicas_available", "< 1"),
     "BackendHighCPU": _one("container_cpu_usage_seconds_total", "> 0.8", "rates"),
-    "BackendHighMemory": _two("container_memory_usage_bytes", "/", "container_memory_limit_bytes", "> 0.85"),
+    "BackendHighMemory": _two("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes", "> 0.85"),
     "PostgreSQLDown": _one("up", "= 0"),
-    "PostgreSQLReplicationLag": _one("replication_lag_seconds", "> 300"),
+    "PostgreSQLReplicationLag": _one("pg_replication_lag_seconds", "> 300"),
     "RedisDown": _one("redis_up", "= 0"),
-    "DatabaseGrowthRateHigh": _one("database_size_bytes", "> 107374182400", "growth"),
-    "DatabaseStorageHigh": _two("database_size_bytes", "/", "volume_capacity_bytes", "> 0.8"),
-    "DatabaseVacuumDelayed": _one("last_autovacuum_time_seconds", "> 86400", value=_AGE),
-    "PartmanMaintenanceNotRunning": _avg("maintenance_last_run_seconds_since_maintenance", "> 7200", "max"),
-    "PartmanDefaultPartitionDataAccumulating": _one("default_partition_rows_default_rows", "> 10000"),
-    "PartmanLowPartitionCount": _one("partition_count_partition_count", "< 30"),
-    "IndexerLagHigh": _one("indexing_lag_blocks", "> 100"),
-    "IndexerStalled": _one("indexed_blocks_total", "= 0", "rates"),
-    "DatabaseConnectionsHigh": _two("db_connections_active", "/", "db_connections_total", "> 0.8"),
+    "DatabaseGrowthRateHigh": _one("pg_database_size_bytes", "> 107374182400", "growth"),
+    "DatabaseStorageHigh": _two("pg_database_size_bytes", "/", "kubelet_volume_stats_capacity_bytes", "> 0.8"),
+    "DatabaseVacuumDelayed": _one("pg_stat_user_tables_last_autovacuum", "> 86400", value=_AGE),
+    "PartmanMaintenanceNotRunning": _avg("pg_partman_maintenance_last_run_seconds_since_maintenance", "> 7200", "max"),
+    "PartmanDefaultPartitionDataAccumulating": _one("pg_partman_default_partition_rows_default_rows", "> 10000"),
+    "PartmanLowPartitionCount": _one("pg_partman_partition_count", "< 30"),
+    "IndexerLagHigh": _one("blockscout_indexing_lag_blocks", "> 100"),
+    "IndexerStalled": _one("blockscout_indexed_blocks_total", "= 0", "rates"),
+    "DatabaseConnectionsHigh": _two("blockscout_db_connections_active", "/", "blockscout_db_connections_total", "> 0.8"),
     "RedisCacheHitRatioLow": _SHARE,
-    "PostgreSQLNoRecentBackup": _one("last_backup_timestamp", "> 90000", value=_AGE),
-    "PostgreSQLBackupFailed": _one("last_backup_succeeded", "= 0"),
-    "ScaleOnLag": _one("indexing_lag_blocks", "> 100"),
+    "PostgreSQLNoRecentBackup": _one("cnpg_pg_cluster_last_backup_timestamp", "> 90000", value=_AGE),
+    "PostgreSQLBackupFailed": _one("cnpg_pg_cluster_last_backup_succeeded", "= 0"),
+    "ScaleOnLag": _one("blockscout_indexing_lag_blocks", "> 100"),
     "ScaleOnCPU": _one("cpu_utilization", "> 0.8"),
-    "ScaleOnMemory": _two("container_memory_usage_bytes", "/", "container_memory_limit_bytes", "> 0.85"),
+    "ScaleOnMemory": _two("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes", "> 0.85"),
     "ScaleOnResponseTime": _one("response_seconds", "> 1"),
     "ScaleOnPodLag": _avg("indexing_lag_seconds", "> 30"),
     "ScaleOnPodRequests": _avg("http_requests_per_second", "> 1000"),

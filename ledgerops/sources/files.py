@@ -90,17 +90,34 @@ def write_tiers(df: DataFrame, control: str, as_of, hot_days: int, hot_path: str
         write_partitioned(marked.where(F.col("tier") == tier), path, control)
 
 
-def read_range(spark: SparkSession, path: str, control: str, lo=None, hi=None) -> DataFrame:
-    """Rows with ``lo <= control < hi`` of a daily partitioned table.
+def day_bound(df: DataFrame, at) -> Column:
+    """A time as a value of the partition column: a date in daily tables, else a time."""
+    return ntz(at).cast(df.schema[DAY].dataType)
 
-    The date bounds on ``p_day`` are implied by the time bounds; stating them lets
-    the scan skip whole folders before it opens a file.
+
+def read_range(spark: SparkSession, path: str, control: str, lo=None, hi=None, interval=None) -> DataFrame:
+    """Rows with ``lo <= control < hi`` of a partitioned table, whatever its interval.
+
+    The bounds on ``p_day`` are implied by the time bounds; stating them lets the scan skip
+    whole folders before it opens a file. The folder that holds ``lo`` starts at or before it: its start follows
+    from ``interval``, or is looked up among the folders. The null folder is the default
+    partition, whose rows lie anywhere, so it is always read.
     """
     df = spark.read.parquet(path)
+    day, default = F.col(DAY), F.col(DAY).isNull()
     if lo is not None:
-        df = df.where((F.col(DAY) >= F.to_date(ntz(lo))) & (F.col(control) >= ntz(lo)))
+        if isinstance(df.schema[DAY].dataType, T.DateType):
+            first = day_bound(df, lo)
+        elif interval is not None:
+            first = interval_start(ntz(lo), interval).cast(df.schema[DAY].dataType)
+        else:
+            first = df.where(day <= day_bound(df, lo)).agg(F.max(day).cast("string")).first()[0]
+            first = F.lit(first).cast(df.schema[DAY].dataType) if first else None
+        if first is not None:
+            df = df.where(default | (day >= first))
+        df = df.where(F.col(control) >= ntz(lo))
     if hi is not None:
-        df = df.where((F.col(DAY) <= F.to_date(ntz(hi))) & (F.col(control) < ntz(hi)))
+        df = df.where(default | (day <= day_bound(df, hi))).where(F.col(control) < ntz(hi))
     return df
 
 

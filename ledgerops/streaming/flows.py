@@ -78,5 +78,6 @@ def stream_match_pending(
     p = pending.withWatermark(ts, _interval(watermark)).alias("p")
     m = mined.select(F.col(key).alias("_key"), F.col(ts).alias("mined_ts"))
     m = m.withWatermark("mined_ts", _interval(watermark)).alias("m")
-    in_time = F.expr(f"mined_ts >= p.{ts} AND mined_ts <= p.{ts} + INTERVAL {to_micros(bound) // 1_000_000} SECONDS")
+    seconds = "%d.%06d" % divmod(to_micros(bound), 1_000_000)
+    in_time = F.expr(f"mined_ts >= p.{ts} AND mined_ts <= p.{ts} + INTERVAL '{seconds}' SECOND")
     return p.join(m, (F.col(f"p.{key}") == F.col("_key")) & in_time, "leftOuter").drop("_key")

@@ -50,7 +50,12 @@ def ingest_batch(rows: DataFrame, batch_id: int, path: str, keys: list[str], con
     batch wrote do not count as present, so a repeated batch gives the same table.
     """
     spark = rows.sparkSession
-    fresh = with_partition(rows, control).dropDuplicates(keys)
+    null = F.raise_error(F.lit(f"{control} is null"))
+    rows = rows.withColumn(control, F.when(F.col(control).isNull(), null).otherwise(F.col(control)))
+    # of copies, the one with the least values stays, whatever order they come in
+    rest = [f.name for f in rows.schema if f.name != control and "map" not in f.dataType.simpleString()]
+    copies = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(F.struct(*rows.columns), F.struct(control, *rest)).alias("row"))
+    fresh = with_partition(copies.select("row.*"), control)
     if _table_exists(spark, path):
         days = [r[0] for r in fresh.select(DAY).distinct().collect()]  # days of one micro-batch
         # files of the pinned folders only: the schema is known, nothing is inferred

@@ -177,3 +177,9 @@ def test_kpi_kinds(spark):
 def test_down_targets(spark):
     up = spark.createDataFrame([("a", T0, 1.0), ("a", T0, 0.0), ("b", T0, 1.0)], "job string, t timestamp_ntz, value double")
     assert rows(m.down_targets(up, ["job"], 0.6)) == [("a", T0, 1, 2, 0.5, True)]
+
+
+def test_series_without_the_label_meet(spark):
+    side = lambda v: spark.createDataFrame([(None, 1, v), ("x", 1, v)], "job string, t int, value double")
+    got = m.vector_op(side(6.0), side(2.0), "/", ["job"]).collect()
+    assert sorted((r["job"], r["value"]) for r in got) == [("", 3.0), ("x", 3.0)]

@@ -63,3 +63,9 @@ def test_unfold_covers_the_range(spark):
     assert got.where("hi = 250001").select("n").distinct().count() == 250_001
     stepped = unfold(df.where("hi = 7"), "lo", "hi", "n", 3)
     assert [r["n"] for r in stepped.collect()] == [7]
+
+
+def test_quantiles_keep_the_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    got = {r["g"]: r["value"] for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert got == {None: 2.0, "a": 2.0}

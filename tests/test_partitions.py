@@ -78,7 +78,7 @@ def test_migrate_reconcile_and_prune(spark, blocks, calendar):
     recent = files.read_range(spark, path, "inserted_at", EVENING - timedelta(days=2), EVENING + timedelta(seconds=1))
     assert recent.count() == 3000
     plan = recent._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(p_day" in plan and "PushedFilters: [IsNotNull(inserted_at)" in plan
+    assert "PartitionFilters: [(isnull(p_day" in plan and "PushedFilters: [IsNotNull(inserted_at)" in plan
     assert len(files.read_range(spark, path, "inserted_at", EVENING - timedelta(days=2)).inputFiles()) > 0
     sizes = p.partition_sizes(moved, 3).collect()
     assert [r["rows"] for r in sizes] == [1000] * 3 and all(r["bytes"] > 0 for r in sizes)
@@ -166,3 +166,39 @@ def test_check_default_uses_each_config(spark, blocks):
     )
     got = p.check_default({"a": (blocks, "inserted_at"), "b": (blocks, "inserted_at")}, config, EVENING)
     assert rows(got) == [("a", 4000), ("b", 0)]
+
+
+def _events(spark, n=96, hours=1):
+    return spark.sql(f"SELECT id, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id * {hours} AS INT)) AS ts FROM range({n})")
+
+
+@pytest.mark.parametrize("interval", ["1 day", "6 hours", "7 days"])
+def test_range_reads_every_layout(spark, tmp_path, interval):
+    path = files.write_partitioned(_events(spark, 400), str(tmp_path / "t"), "ts", interval)
+    lo, hi = "2024-01-03 05:00:00", "2024-01-11 03:00:00"
+    want = _events(spark, 400).where(f"ts >= '{lo}' and ts < '{hi}'").count()
+    assert files.read_range(spark, path, "ts", lo, hi).count() == want
+    assert files.read_range(spark, path, "ts", lo, hi, interval=interval).count() == want
+
+
+def test_range_reads_default_rows_and_prunes(spark, tmp_path):
+    df = _events(spark)
+    cal = p.partition_calendar("t", "2024-01-02 00:00:00", "2024-01-02 12:00:00", premake=0)
+    p.migrate(df, str(tmp_path / "t"), "ts", cal)
+    found = files.read_range(spark, str(tmp_path / "t"), "ts", "2024-01-01 12:00:00", "2024-01-04 00:00:00")
+    assert found.count() == 60
+    assert "PartitionFilters: [" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_retention_keeps_default_rows_with_and_without_folders(spark, tmp_path):
+    df = _events(spark)
+    cal = p.partition_calendar("t", "2024-01-02 00:00:00", "2024-01-03 12:00:00", premake=0)
+    p.migrate(df, str(tmp_path / "t"), "ts", cal)
+    args = ("ts", "2024-01-04 00:00:00", "1 day")
+    plain = p.apply_retention(df, *args, calendar=cal)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    with_folders = p.apply_retention(stored, *args)
+    both = p.apply_retention(stored, *args, calendar=cal)
+    ids = lambda x: sorted(r[0] for r in x.select("id").collect())
+    assert ids(plain) == ids(with_folders) == ids(both)
+    assert len(ids(plain)) == 72
