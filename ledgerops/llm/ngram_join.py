@@ -54,6 +54,11 @@ def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return out
 
 
+def _key(hashes: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two numbers that, with the size, stand for a set."""
+    return hashes.sum(dtype=np.uint64).astype(np.int64), W.mix(hashes ^ W._M1).sum(dtype=np.uint64).astype(np.int64)
+
+
 def _batch_id(ids: np.ndarray) -> int:
     """A number for a batch, from its rows alone, so that a repeated task gives the same one."""
     return int(W.mix(W.mix(ids.astype(np.uint64) + np.arange(len(ids), dtype=np.uint64) * W._BASE).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
@@ -92,8 +97,7 @@ def _first_pass(width: int, buckets: int):
             for i, s in enumerate(sets):
                 low = s[: np.searchsorted(s, top)]
                 digest["n"][i], digest["made"][i] = len(s), len(low)
-                digest["k1"][i] = s.sum(dtype=np.uint64).astype(np.int64)
-                digest["k2"][i] = W.mix(s ^ W._M1).sum(dtype=np.uint64).astype(np.int64)
+                digest["k1"][i], digest["k2"][i] = _key(s)
                 part.append(low)
                 row.append(np.full(len(low), i, dtype=np.uint16))
             tokens, rows = np.concatenate(part), np.concatenate(row)
@@ -162,8 +166,13 @@ def _set_rows(width: int):
 
     def run(batches):
         for piece in slices(batches, 1024, 2 << 20):
-            ids, weights = np.asarray(piece.column(0), dtype=np.int64), np.asarray(piece.column(2), dtype=np.int64)
+            ids, weights, k1, k2 = (np.asarray(piece.column(i), dtype=np.int64) for i in (0, 2, 3, 4))
             sets = _sets(piece, width)
+            # an id that several rows have brings texts of other classes along
+            own = [i for i, s in enumerate(sets) if _key(s) == (k1[i], k2[i])]
+            if not own:
+                continue
+            ids, weights, sets = ids[own], weights[own], [sets[i] for i in own]
             row = (_batch_id(ids), ids.tobytes(), weights.tobytes(), np.array([len(s) for s in sets], dtype=np.int64).tobytes(), np.concatenate(sets).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([c], type=pa.int64() if not i else pa.binary()) for i, c in enumerate(row)], names=["batch", "ids", "weights", "sizes", "tokens"])
 
@@ -313,7 +322,8 @@ def _link_block(percent: int):
     """All links of one block or pair of blocks, as one row per linked document."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "id"], ignore_index=True)
+        # rows equal in id and text have come as one class each
+        group = group.drop_duplicates(["side", "id"]).sort_values(["side", "id"], ignore_index=True)
         n, ids, weights, side = (group[c].to_numpy() for c in ("n", "id", "weight", "side"))
         parts = [np.frombuffer(t, dtype="<u8") for t in group.tokens]
         which = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -381,11 +391,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all_docs = written(counted.groupBy("batch").applyInPandas(_decide(percent), _DOCS), "digests")
 
     alive = all_docs.where("alive")
-    classes = written(alive.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
+    # classes of equal sets go by numbers of their own, as an id may stand for several
+    classes = alive.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     total = classes.agg(F.count("*"), F.sum("n")).first()
     buckets = 1 + (total[1] or 0) // _TOKENS
-    texts = source.join(small(classes.select(F.col("rep").alias("id"), "k1", "k2", "n", "weight"), total[0]), "id")
-    sets = written(texts.select("id", "text", "weight").mapInArrow(_set_rows(width), _SETS), "sets")
+    texts = source.join(small(classes.select(F.col("rep").alias("id"), "node", "k1", "k2", "weight"), total[0]), "id")
+    sets = written(texts.select("node", "text", "weight", "k1", "k2").mapInArrow(_set_rows(width), _SETS), "sets")
     answers = sets.mapInArrow(_deal(buckets), _BLOBS).groupBy("bucket").applyInPandas(_lead, "batch long, found binary, counts binary, least binary")
     members = written(
         sets.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInPandas(_members(percent), _MEMBERS), "members"
@@ -403,9 +415,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = written(met.groupBy("leader", "lo", "hi").applyInPandas(_link_block(percent), "id long, links long, root long"), "links")
 
     groups = components(linked, "id", "root")
-    links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    reps = classes.join(groups, classes["rep"] == groups["node"], "left").join(links, classes["rep"] == links["id"], "left")
-    reps = reps.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    ranked = groups.join(small(classes.select("node", "rep"), total[0]), "node")
+    least = ranked.groupBy("component").agg(F.min("rep").alias("least"))
+    groups = written(groups.join(least, "component").select("node", "least"), "groups")
+    links = linked.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    reps = classes.join(groups, "node", "left").join(links, "node", "left")
+    reps = reps.select("k1", "k2", "n", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     found = all_docs.join(small(reps, total[0]), ["k1", "k2", "n"], "left")
     out = found.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
