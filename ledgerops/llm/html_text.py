@@ -475,7 +475,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names[1:])])
 
     def run(batches):
-        for piece in slices(batches, 256, 4 << 20):
+        for piece in slices(batches, 256, 2 << 20):
             cut = [blocks_of(h or "") for h in piece.column(1).to_pylist()]
             text = ["\n".join(b[0] for b, y in zip(p, marks) if y) for p, marks in zip(cut, label(cut, weights))]
             columns = [piece.column(0), *[piece.column(2 + i) for i in range(len(keep))], pa.array(text, type=pa.string()), pa.array([len(t) for t in text], type=pa.int64())]

@@ -78,7 +78,7 @@ def _counts(bits: int):
 
     def run(batches):
         totals: dict[str, np.ndarray] = {}
-        for piece in slices(batches, 2048, 4 << 20):
+        for piece in slices(batches, 2048):
             languages = piece.column(0).to_pylist()
             for lang, text in zip(languages, piece.column(1).to_pylist()):
                 s = slots(text or "", bits)
@@ -120,7 +120,7 @@ def train(learnt: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
 
 def _predict(languages: list[str], table: np.ndarray, bits: int):
     def run(batches):
-        for piece in slices(batches, 256, 4 << 20):
+        for piece in slices(batches, 256):
             texts = piece.column(1).to_pylist()
             counts = np.zeros((len(texts), 1 << bits), dtype=np.float32)
             known = np.zeros(len(texts), dtype=bool)
@@ -170,7 +170,7 @@ def with_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     predict, at = _predict(languages, table, BITS), docs.columns.index(text_col)
 
     def run(batches):
-        for piece in slices(batches, 256, 4 << 20, at):
+        for piece in slices(batches, 256, text=at):
             text = piece.column(at)
             for got in predict(iter([pa.RecordBatch.from_arrays([pa.array(range(piece.num_rows)), text], names=["id", "text"])])):
                 sure = pa.compute.and_(pa.compute.not_equal(got.column(1), UNKNOWN), pa.compute.greater_equal(got.column(2), least))

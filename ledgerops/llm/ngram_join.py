@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerops.llm import words as W
 from ledgerops.llm.components import components
-from ledgerops.llm.tables import fresh, slices, small, written
+from ledgerops.llm.tables import fresh, give_back, slices, small, written
 
 WIDTH, PERCENT = 5, 75
 #: Part of the hash space that the first filter looks at, in 64ths; more than 1 - PERCENT is needed, any such value is exact.
@@ -46,7 +46,7 @@ def least_overlap(size, percent: int):
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for piece in slices(iter([batch]), _BATCH, 1 << 20):  # word arrays are several times the text
+    for piece in slices(iter([batch]), _BATCH, 1 << 19):  # word arrays are several times the text
         raw, bounds = W.text_bytes(piece.column(1))
         start, end, first = W.word_spans(raw, bounds)
         hashes = W.word_hashes(raw, start, end)
@@ -87,7 +87,7 @@ def _first_pass(width: int, buckets: int):
     """Rows of (bucket, batch, digest of its documents) and of (bucket, batch, hashes, row of each in the batch)."""
 
     def run(batches):
-        for piece in slices(batches, _BATCH):
+        for piece in slices(batches, _BATCH, 4 << 20):
             ids = np.asarray(piece.column(0), dtype=np.int64)
             digest = np.zeros(len(ids), dtype=_DIGEST)
             digest["id"] = ids
@@ -130,6 +130,8 @@ def _count_shared(group: pd.DataFrame) -> pd.DataFrame:
     hit = hit[rows[hit] != _MANY]
     pairs, counts = np.unique(batch[hit] * 65536 + rows[hit], return_counts=True)
     ids, out = blobs.batch.to_numpy(), []
+    del tokens, order
+    give_back()
     where, row = pairs >> 16, (pairs & 0xFFFF).astype(np.uint16)
     for start, length in zip(*_runs(where)):
         cut = slice(start, start + length)
@@ -363,6 +365,8 @@ def _link_block(percent: int):
                     while (root[root] != root).any():
                         root = root[root]
         hit = links > 0
+        del bits, early, trees, parts, group
+        give_back()
         return pd.DataFrame({"id": ids[hit], "links": links[hit], "root": ids[root[hit]]})
 
     return run

@@ -166,18 +166,16 @@ def _postings(column: pa.Array, trigrams: list[str]) -> dict[str, np.ndarray]:
     n = len(column)
     if len(raw) < 3:
         return {t: np.zeros(n, dtype=bool) for t in trigrams}
-    folded = W._LOWER[raw].astype(np.uint32)
-    code = folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:]
+    folded = W._LOWER[raw]
     wanted = np.array([int.from_bytes(t.encode("latin-1"), "big") for t in trigrams], dtype=np.uint32)
-    table = np.zeros(1 << 24, dtype=bool) if len(raw) > 1 << 20 else None
-    if table is not None:
-        table[wanted] = True
-        at = np.flatnonzero(table[code])
-    else:
-        at = np.flatnonzero(np.isin(code, wanted))
+    begins = np.zeros(1 << 16, dtype=bool)
+    begins[wanted >> 8] = True
+    pair = folded[:-2].astype(np.uint16) << np.uint16(8) | folded[1:-1]
+    at = np.flatnonzero(begins[pair])
+    code = pair[at].astype(np.uint32) << np.uint32(8) | folded[at + 2]
     row = np.searchsorted(bounds, at, side="right") - 1
-    inside = at + 3 <= bounds[row + 1]
-    found, row = code[at[inside]], row[inside]
+    inside = (at + 3 <= bounds[row + 1]) & np.isin(code, wanted)
+    found, row = code[inside], row[inside]
     out = {}
     for t, c in zip(trigrams, wanted):
         hit = np.zeros(n, dtype=bool)
@@ -196,7 +194,7 @@ def _scan(rules: tuple[Rule, ...]):
     trigrams = sorted(set().union(*(_trigrams(q) for q in queries)))
 
     def run(batches):
-        for piece in slices(batches, 4096, 4 << 20):
+        for piece in slices(batches, 4096):
             postings = _postings(piece.column(1), trigrams)
             found: list[list[tuple[int, int, int]]] = [[] for _ in range(piece.num_rows)]
             candidates = [np.flatnonzero(_answer(q, postings, piece.num_rows)) for q in queries]
@@ -262,7 +260,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     at, counted = docs.columns.index(text_col), docs.columns.index(count_col) if count_col else -1
 
     def run(batches):
-        for piece in slices(batches, 4096, 4 << 20, at):
+        for piece in slices(batches, 4096, text=at):
             column = piece.column(at)
             postings = _postings(column, trigrams)
             rows = np.logical_or.reduce([_answer(q, postings, piece.num_rows) for q in queries])

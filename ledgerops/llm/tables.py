@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,16 @@ def fresh(prefix: str, taken: list[str]) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 8 << 20, text: int = 1) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the machine: workers are kept for later tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 20, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of at most ``rows`` rows and about ``size`` bytes in the string column ``text``."""
     for batch in batches:
         at, n = 0, batch.num_rows
@@ -54,6 +64,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 8 << 20, te
             to = min(max(to, at + 1), at + rows, n)
             yield batch.slice(at, to - at)
             at = to
+        del batch, column
+        give_back()
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
