@@ -1,6 +1,6 @@
 """WARC archives: written with an index of every record, and read back by byte ranges.
 
-Records are staged with archive number and text, so the index (archive, offset, length, URL, digest) exists before any archive is read. Archives are
+The index (archive, offset, length, URL, digest) is made from the records' lengths and stored before any archive is written. Archives are
 written by Spark's text writer, whose line separator is the record separator of the format; any file system Spark writes to will do. Readers take index
 rows, sort them by archive and offset, and join ranges that lie close together into one read.
 """
@@ -20,6 +20,8 @@ from ledgerops.llm.tables import written
 
 #: Bytes of one archive, about; least payload that may be stored as a revisit; ranges with smaller gaps are read at once, up to a most.
 ARCHIVE_BYTES, LEAST_REVISIT, GAP, READ = 64 << 20, 100, 64 << 10, 4 << 20
+#: Bytes of a record besides its payload, about; order of the records of an archive.
+_HEAD_BYTES, _ORDER = 512, ["page_id", "digest", "url"]
 _END = "\r\n\r\n"
 _DATE = "2001-01-01T00:00:00Z"
 
@@ -30,7 +32,10 @@ def _clean(column):
 
 
 def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """One row per record, written: id, url, digest, sizes, type, the record's text, and its archive, offset and length there."""
+    """One row per record: id, url, digest, sizes, type, its archive and its text.
+
+    The texts are not stored: ``index`` and ``write`` make them anew from ``pages``, which should be a stored table. Only digests that occur twice are.
+    """
     raw = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
@@ -49,25 +54,27 @@ def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(_END),
     )
-    rows = rows.withColumn("record", F.concat(head, body)).withColumn("length", F.octet_length("record").cast("long"))
-    total = pages.agg(F.sum(F.octet_length(raw))).first()[0] or 0
-    archives = 1 + total // ARCHIVE_BYTES
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)))
-    order = ["page_id", "digest", "url"]
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.col("length") + len(_END)).over(before), F.lit(0)).cast("long")
-    return written(rows.withColumn("offset", offset).select("archive", "offset", "length", "page_id", "url", "digest", "payload_bytes", "record_type", "refers_to", "record"), "warc-stage")
+    total = pages.agg(F.sum(F.octet_length(raw) + _HEAD_BYTES)).first()[0] or 0
+    archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 + total // ARCHIVE_BYTES))
+    return rows.select(archive.alias("archive"), *_ORDER, "payload_bytes", "record_type", "refers_to", F.concat(head, body).alias("record"))
+
 
+def index(staged: DataFrame) -> DataFrame:
+    """(archive, offset, length, url, digest, page_id) of every record, written before any archive is.
 
-def write(staged: DataFrame, path: str) -> None:
-    """One file per archive below ``path``, records in the order of their offsets."""
-    archives = (staged.agg(F.max("archive")).first()[0] or 0) + 1
-    rows = staged.select("archive", "offset", "record").repartition(archives, "archive").sortWithinPartitions("archive", "offset").select("archive", F.col("record").alias("value"))
-    rows.write.option("lineSep", _END).partitionBy("archive").text(path)
+    Only lengths are ordered and summed, no texts. Rows that tie in the order have equal records, so either order gives the same offsets.
+    """
+    rows = staged.select("archive", *_ORDER, F.octet_length("record").cast("long").alias("length"))
+    before = Window.partitionBy("archive").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("length") + len(_END)).over(before), F.lit(0)).cast("long")
+    return written(rows.select("archive", offset.alias("offset"), "length", "url", "digest", "page_id"), "warc-index")
 
 
-def index(staged: DataFrame) -> DataFrame:
-    return staged.select("archive", "offset", "length", "url", "digest", "page_id")
+def write(staged: DataFrame, indexed: DataFrame, path: str) -> None:
+    """One file per archive below ``path``, records in the order of their offsets; texts are shuffled once."""
+    archives = (indexed.agg(F.max("archive")).first()[0] or 0) + 1
+    rows = staged.select("archive", *_ORDER, "record").repartition(archives, "archive").sortWithinPartitions("archive", *_ORDER)
+    rows.select("archive", F.col("record").alias("value")).write.option("lineSep", _END).partitionBy("archive").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -156,5 +163,6 @@ def round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisits of it; rows that repeat the least id are responses each. A row without an id is a response.
     """
     staged = stage(pages, id_col, url_col, payload_col)
-    write(staged, path)
-    return read(pages.sparkSession, path, index(staged))
+    indexed = index(staged)
+    write(staged, indexed, path)
+    return read(pages.sparkSession, path, indexed)
