@@ -8,6 +8,7 @@ rows, sort them by archive and offset, and join ranges that lie close together i
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerops.llm.tables import written
+from ledgerops.llm.tables import slices, written
 
 #: Bytes of one archive, about; least payload that may be stored as a revisit; ranges with smaller gaps are read at once, up to a most.
 ARCHIVE_BYTES, LEAST_REVISIT, GAP, READ = 64 << 20, 100, 64 << 10, 4 << 20
+#: Bytes of text that are packed at once.
+_PIECE = 4 << 20
 #: Bytes of a record besides its payload, about; order of the records of an archive.
 _HEAD_BYTES, _ORDER = 512, ["page_id", "digest", "url"]
 _END = "\r\n\r\n"
@@ -70,10 +73,32 @@ def index(staged: DataFrame) -> DataFrame:
     return written(rows.select("archive", offset.alias("offset"), "length", "url", "digest", "page_id"), "warc-index")
 
 
+def _packed(batches):
+    for batch in batches:
+        for piece in slices([batch], 64, _PIECE, text=batch.num_columns - 1):
+            packed = pa.array([zlib.compress(text.as_buffer(), 6) for text in piece.column(piece.num_columns - 1)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], packed], names=[*piece.schema.names[:-1], "packed"])
+
+
+def _unpacked(batches):
+    for batch in batches:
+        texts, size, at = [], 0, 0
+        for i in range(batch.num_rows):
+            texts.append(zlib.decompress(batch.column(batch.num_columns - 1)[i].as_buffer()))
+            size += len(texts[-1])
+            if size >= _PIECE or len(texts) == 64 or i == batch.num_rows - 1:
+                text = pa.array(texts, type=pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), text], names=[*batch.schema.names[:-1], "record"])
+                texts, size, at = [], 0, i + 1
+
+
 def write(staged: DataFrame, indexed: DataFrame, path: str) -> None:
-    """One file per archive below ``path``, records in the order of their offsets; texts are shuffled once."""
+    """One file per archive below ``path``, records in the order of their offsets; texts are shuffled once, and packed while they are."""
     archives = (indexed.agg(F.max("archive")).first()[0] or 0) + 1
-    rows = staged.select("archive", *_ORDER, "record").repartition(archives, "archive").sortWithinPartitions("archive", *_ORDER)
+    rows = staged.select("archive", *_ORDER, "record")
+    keys = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[:-1])
+    rows = rows.mapInArrow(_packed, f"{keys}, packed binary").repartition(archives, "archive").mapInArrow(_unpacked, f"{keys}, record string")
+    rows = rows.sortWithinPartitions("archive", *_ORDER)
     rows.select("archive", F.col("record").alias("value")).write.option("lineSep", _END).partitionBy("archive").text(path)
 
 
