@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ledgerops.functions.scalars import QUANTITY_SUFFIX
+from ledgerops.functions.times import UNIT_SECONDS
+
 
 @pandas_udf(StringType())
 def uint256_text(hex_digits: pd.Series) -> pd.Series:
@@ -14,6 +17,17 @@ def uint256_text(hex_digits: pd.Series) -> pd.Series:
     return hex_digits.map(lambda h: None if h is None else str(int(h, 16)))
 
 
+def _cases(key: str, table: dict, kind: str) -> str:
+    """A CASE over a fixed table; null for unknown keys."""
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN CAST({v!r} AS {kind})" for k, v in table.items()) + " END"
+
+
+def _size_text() -> str:
+    scaled = {unit: f"CAST(round(size / {1024.0**i!r}D) AS BIGINT)" for i, unit in enumerate(["kB", "MB", "GB", "TB", "PB"], start=1)}
+    steps = " ".join(f"WHEN abs({n}) < 10240 THEN concat({n}, ' {unit}')" for unit, n in list(scaled.items())[:-1])
+    return f"CASE WHEN abs(size) < 10240 THEN concat(size, ' bytes') {steps} ELSE concat({scaled['PB']}, ' PB') END"
+
+
 # name -> (parameters, result type, body); SQL functions inline into the caller's plan.
 SQL_FUNCTIONS = {
     "age_seconds": (
@@ -33,11 +47,34 @@ SQL_FUNCTIONS = {
         "a STRING", "STRING",
         "CASE WHEN lower(trim(a)) RLIKE '^0x[0-9a-f]{40}$' THEN lower(trim(a)) END",
     ),
+    "qualified_name": ("s STRING, t STRING", "STRING", "concat(s, '.', t)"),
+    "md5_hash": ("v STRING", "STRING", "md5(v)"),
+    "size_pretty": ("size BIGINT", "STRING", _size_text()),
+    "duration_seconds": (
+        "v STRING", "BIGINT",
+        r"CASE WHEN lower(trim(v)) RLIKE r'^([0-9]+\s*[a-z]+\s*)+$' THEN aggregate("
+        r"regexp_extract_all(lower(trim(v)), r'([0-9]+\s*[a-z]+)', 1), 0L, (total, p) -> total + "
+        r"CAST(regexp_extract(p, '^([0-9]+)', 1) AS BIGINT) * "
+        + _cases("regexp_extract(p, '([a-z]+)$', 1)", UNIT_SECONDS, "BIGINT") + ") END",
+    ),
+    "parse_quantity": (
+        "v STRING", "DOUBLE",
+        r"try_cast(regexp_extract(trim(v), r'^([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]{0,2})$', 1) AS DOUBLE) * "
+        + _cases(r"regexp_extract(trim(v), r'^([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]{0,2})$', 2)", QUANTITY_SUFFIX, "DOUBLE"),
+    ),
+    "parse_iso": ("v STRING", "TIMESTAMP_NTZ", "try_cast(regexp_replace(v, '[zZ]$', '') AS TIMESTAMP_NTZ)"),
+    "json_field": ("v STRING, path STRING", "STRING", "get_json_object(v, path)"),
 }
 
+_LSN = SQL_FUNCTIONS["lsn_bytes"][2]
+SQL_FUNCTIONS["lsn_diff"] = (
+    "a STRING, b STRING", "DECIMAL(20,0)",
+    f"CAST({_LSN.replace('split_part(p,', 'split_part(a,')} - {_LSN.replace('split_part(p,', 'split_part(b,')} AS DECIMAL(20,0))",
+)
+
 
 def register_functions(spark: SparkSession) -> list[str]:
-    """Register every helper for this session and return the names."""
+    """Register the helpers that have a SQL form for this session and return the names."""
     for name, (params, result, body) in SQL_FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}"

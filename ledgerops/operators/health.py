@@ -50,6 +50,8 @@ def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         frames.append(
             files.agg(
                 F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"),
+                F.coalesce(F.max("bytes"), F.lit(0)).alias("largest_bytes"),
+                F.coalesce(F.sum("bytes") - F.max("bytes"), F.lit(0)).alias("rest_bytes"),
                 F.count("file").alias("files"),
                 F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
             ).withColumn("table_name", F.lit(name))
@@ -146,12 +148,9 @@ def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx:
     """
     frames = []
     if approx:
-        for c in cols:
-            frames.append(
-                df.agg(F.approx_count_distinct(c).alias("n_distinct")).select(
-                    F.lit(c).alias("attname"), "n_distinct", F.lit(None).cast("double").alias("correlation")
-                )
-            )
+        counts = df.agg(*[F.approx_count_distinct(c).alias(f"_{i}") for i, c in enumerate(cols)])  # one scan
+        rows = [F.struct(F.lit(c).alias("attname"), F.col(f"_{i}").alias("n_distinct")) for i, c in enumerate(cols)]
+        frames.append(counts.select(F.inline(F.array(*rows))).withColumn("correlation", F.lit(None).cast("double")))
     else:
         keep = list(dict.fromkeys([*order_by, *cols]))
         copies = df.groupBy(*keep).agg(F.count(F.lit(1)).alias("_n"))

@@ -24,6 +24,10 @@ def _floor(at: datetime, width: timedelta) -> datetime:
     return at - (at - _EPOCH) % width
 
 
+#: Microseconds of a day.
+DAY_US = 86_400_000_000
+
+
 @dataclass(frozen=True)
 class Calendar:
     """Half-open intervals ``[lo, hi)`` of one parent; arithmetic, so no join assigns a row."""
@@ -313,8 +317,13 @@ def maintenance_age(config: DataFrame, as_of, limit_s: float = 7200, null_as_zer
 
 
 def maintained_partitions(config: DataFrame, partitions: DataFrame, as_of) -> DataFrame:
-    """Every partition with what maintenance does to it: ``kept``, ``created`` or ``dropped``."""
+    """Every partition with what maintenance does to it: ``kept``, ``created`` or ``dropped``.
+
+    Where the configuration has ``automatic_maintenance``, parents without ``on`` keep their partitions as they are.
+    """
     now = ntz(as_of)
+    if "automatic_maintenance" in config.columns:
+        config = config.where("automatic_maintenance = 'on'")
     cfg = config.select(
         "parent_table",
         (duration_seconds("partition_interval") * 1_000_000).alias("width"),
@@ -329,9 +338,8 @@ def maintained_partitions(config: DataFrame, partitions: DataFrame, as_of) -> Da
         F.explode(F.sequence(first, first + F.col("premake") * F.col("width"), F.col("width"))).alias("lo_us"),
     ).select(
         "parent_table",
-        F.concat("parent_table", F.lit("_p"), F.date_format(from_micros(F.col("lo_us")), "yyyyMMdd")).alias(
-            "partition_name"
-        ),
+        F.concat("parent_table", F.lit("_p"), F.date_format(from_micros(F.col("lo_us")), "yyyyMMdd"), F.when(
+            F.col("width") % DAY_US != 0, F.date_format(from_micros(F.col("lo_us")), "_HHmmss")).otherwise("")).alias("partition_name"),
         from_micros(F.col("lo_us")).alias("lo"),
         from_micros(F.col("lo_us") + F.col("width")).alias("hi"),
     )
@@ -363,35 +371,51 @@ def maintenance_report(config: DataFrame, partitions: DataFrame, default_rows: D
 
 
 def run_maintenance(spark: SparkSession, config: DataFrame, tables: dict[str, str], as_of) -> DataFrame:
-    """Maintain catalog tables: premake and drop partitions, then report.
+    """Maintain catalog tables: premake and drop partitions, then report what changed.
 
-    ``tables`` maps the parent name to its catalog table. Running it twice changes nothing more.
+    ``tables`` maps the parent name to its catalog table, whose folders are days: intervals are whole days, others are an
+    error. One statement adds and one drops the folders of a parent; they are listed again afterwards, so running it twice
+    reports nothing more. Where ``automatic_maintenance`` is a column, parents without ``on`` are left alone.
     """
-    parents = list(tables)
-    config = config.where(F.col("parent_table").isin(*parents))
-    listed = [
-        (parent, r[0].split("=", 1)[1])
-        for parent, table in tables.items()
-        for r in spark.sql(f"SHOW PARTITIONS {table}").collect()
-    ]
-    present = spark.createDataFrame(
-        [x for x in listed if x[1][:4].isdigit()], "parent_table string, d string"
-    ).select(
+    config = config.where(F.col("parent_table").isin(*tables))
+    seconds = duration_seconds("partition_interval")
+    uneven = config.where(seconds.isNull() | (seconds * 1_000_000 % DAY_US != 0)).select("parent_table").first()
+    if uneven:
+        raise ValueError(f"{uneven[0]}: folders are days, so the interval must be whole days")
+
+    def folders() -> dict[str, set[str]]:
+        found = {p: (r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {t}").collect()) for p, t in tables.items()}
+        return {p: {d for d in days if d[:4].isdigit()} for p, days in found.items()}
+
+    before = folders()
+    lo = F.col("d").cast("timestamp_ntz")
+    present = spark.createDataFrame([(p, d) for p, days in before.items() for d in days], "parent_table string, d string")
+    present = present.join(config.select("parent_table", (seconds * 1_000_000).alias("width")), "parent_table").select(
         "parent_table",
         F.concat("parent_table", F.lit("_p"), F.replace("d", F.lit("-"), F.lit(""))).alias("partition_name"),
-        F.col("d").cast("timestamp_ntz").alias("lo"),
-        F.timestamp_add("DAY", F.lit(1), F.col("d").cast("timestamp_ntz")).alias("hi"),
+        lo.alias("lo"),
+        from_micros(micros(lo) + F.col("width")).alias("hi"),
     )
     actions = maintained_partitions(config, present, as_of).where("action <> 'kept'")
+    todo: dict[tuple[str, str], list[str]] = {}
     for r in actions.select("parent_table", F.to_date("lo").alias("d"), "action").collect():
-        verb = "ADD IF NOT EXISTS" if r["action"] == "created" else "DROP IF EXISTS"
-        spark.sql(f"ALTER TABLE {tables[r['parent_table']]} {verb} PARTITION ({DAY} = DATE '{r['d']}')")
+        todo.setdefault((r["parent_table"], r["action"]), []).append(f"PARTITION ({DAY} = DATE '{r['d']}')")
+    for (parent, action), days in todo.items():
+        verb, between = ("ADD IF NOT EXISTS", " ") if action == "created" else ("DROP IF EXISTS", ", ")
+        spark.sql(f"ALTER TABLE {tables[parent]} {verb} {between.join(days)}")
+    after = folders()
     defaults = None
     for parent, table in tables.items():
         part = spark.table(table).where(F.col(DAY).isNull()).agg(F.count(F.lit(1)).alias("default_rows"))
         part = part.select(F.lit(parent).alias("parent_table"), "default_rows")
         defaults = part if defaults is None else defaults.unionByName(part)
-    return maintenance_report(config, present, defaults, as_of)
+    done = spark.createDataFrame(
+        [(p, len(after[p] - before[p]), len(before[p] - after[p]), len(after[p])) for p in tables],
+        "parent_table string, created bigint, dropped bigint, partition_count bigint",
+    )
+    return config.select("parent_table").join(done, "parent_table").join(defaults, "parent_table").select(
+        "parent_table", "created", "dropped", "partition_count", "default_rows"
+    )
 
 
 def partition_sizes(df: DataFrame, limit: int | None = None) -> DataFrame:

@@ -273,10 +273,10 @@ def maintained(spark, sf):
 )
 def maintained_table(spark, sf):
     name, _ = daily_table(spark, sf)
-    config = load_table(spark, sf, "events").select(
-        F.lit("events").alias("parent_table"), F.lit("1 day").alias("partition_interval"),
-        F.lit(3).alias("premake"), F.lit("10 days").alias("retention"),
-    ).distinct()
+    config = spark.createDataFrame(
+        [("events", "1 day", 3, "10 days", "on")],
+        "parent_table string, partition_interval string, premake int, retention string, automatic_maintenance string",
+    )
     return parts.run_maintenance(spark, config, {"events": name}, now_of(spark, sf, "events"))
 
 

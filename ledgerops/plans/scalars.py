@@ -229,13 +229,15 @@ def json_value(spark, sf):
 @query(
     "y01_register_functions",
     """SELECT event_id, CASE WHEN user_id > 0 THEN value / user_id ELSE 0 END AS ratio,
-       CASE WHEN event_type = 'on' THEN 1 ELSE 0 END AS flag, CAST(user_id + 1 AS VARCHAR) AS number FROM events""",
+       CASE WHEN event_type = 'on' THEN 1 ELSE 0 END AS flag, CAST(user_id + 1 AS VARCHAR) AS number,
+       md5(CAST(event_id AS VARCHAR)) AS hash, user_id * 86400 AS seconds, CAST(user_id * 1024 AS DOUBLE) AS quantity, event_type || '.' || user_id AS name FROM events""",
 )
 def registered(spark, sf):
     register_functions(spark)
     return spark.sql(
         """SELECT event_id, safe_ratio(value, CAST(user_id AS DOUBLE)) AS ratio, on_flag(event_type) AS flag,
-           uint256_text(hex(user_id + 1)) AS number FROM {events}""",
+           uint256_text(hex(user_id + 1)) AS number, md5_hash(CAST(event_id AS STRING)) AS hash, duration_seconds(concat(user_id, ' days')) AS seconds,
+           parse_quantity(concat(user_id, 'Ki')) AS quantity, qualified_name(event_type, CAST(user_id AS STRING)) AS name FROM {events}""",
         events=load_table(spark, sf, "events"),
     )
 

@@ -107,10 +107,22 @@ def test_physical_maintenance(spark, blocks):
     assert spark.table(name).count() == 2003  # the default partition stays
     again = p.run_maintenance(spark, config, {"blocks": name}, EVENING).first()
     assert (again["created"], again["dropped"], again["partition_count"]) == (0, 0, 5)
+    off = config.withColumns({"automatic_maintenance": F.lit("off"), "premake": F.lit(9)})
+    idle = p.run_maintenance(spark, off, {"blocks": name}, EVENING).first()
+    assert (idle["created"], idle["dropped"], idle["partition_count"]) == (0, 0, 5)
+    with pytest.raises(ValueError, match="whole days"):
+        p.run_maintenance(spark, config.withColumn("partition_interval", F.lit("12 hours")), {"blocks": name}, EVENING)
     assert p.drop_partitions(spark, name, MIDNIGHT, "1 day") == ["2025-03-11"]
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_half_day_partitions_have_own_names(spark):
+    config = spark.createDataFrame([("b", "12 hours", 3, "1 day")], "parent_table string, partition_interval string, premake int, retention string")
+    none = spark.createDataFrame([], "parent_table string, partition_name string, lo timestamp_ntz, hi timestamp_ntz")
+    names = [r["partition_name"] for r in p.maintained_partitions(config, none, EVENING).collect()]
+    assert len(names) == len(set(names)) == 4
+
+
 def test_register_config_twice(spark):
     one = spark.createDataFrame([("a", "90 days")], "parent_table string, retention string")
     two = spark.createDataFrame([("a", "1 day"), ("b", "2 days")], "parent_table string, retention string")

@@ -105,3 +105,14 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT safe_ratio(1D, 0D) a, on_flag('on') b, lsn_bytes('1/0') c, uint256_text(repeat('f', 64)) d").first()
     assert (r["a"], r["b"], int(r["c"]), int(r["d"])) == (0.0, 1, 2**32, 2**256 - 1)
     assert spark.range(1).select(F.expr("normal_address('0x12')")).first()[0] is None
+
+
+def test_sql_names_equal_columns(spark):
+    register_functions(spark)
+    df = spark.createDataFrame(
+        [("1 day 12 hours", "4Gi", 123456789, "2001-01-01T00:00:01Z", "16/B374D848", "16/0"), ("30d", "2000m", 10239, "x", "0/10", "0/1"), ("soon", "8 XY", -7 * 10**16, None, None, "0/1")],
+        "d string, q string, n bigint, iso string, a string, b string",
+    )
+    by_column = df.select(fn.duration_seconds("d"), fn.parse_quantity("q"), fn.size_pretty("n"), fn.parse_iso("iso"), fn.lsn_diff("a", "b"), fn.md5_hash("d"), fn.qualified("d", "q"))
+    by_name = df.selectExpr("duration_seconds(d)", "parse_quantity(q)", "size_pretty(n)", "parse_iso(iso)", "lsn_diff(a, b)", "md5_hash(d)", "qualified_name(d, q)")
+    assert [tuple(r) for r in by_name.collect()] == [tuple(r) for r in by_column.collect()]
