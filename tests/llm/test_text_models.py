@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -115,6 +116,32 @@ def test_licences(spark):
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
+GPL_HEADER = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+BSD_TOP = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met"""
+ISC_TOP = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted"""
+
+
+def test_licences_do_not_depend_on_line_breaks(spark):
+    long = "some other words of a longer document\n" * 30
+    gpl = (Path(licenses.__file__).parent / "licence_texts" / "GPL-3.txt").read_text()
+    rows = [
+        (1, long + GPL_HEADER + "\n" + long), (2, long + BSD_TOP + ":\n" + long), (3, long + ISC_TOP + ".\n" + long), (4, "This project is released under the MIT License. See the file for details."),
+        (5, "The tool, licensed under the Apache License, Version 2.0, is kept by a few people who like it."), (6, long + gpl + long), (7, long), (8, f"{ISC_TOP}. {long} {ISC_TOP}."),
+        (9, long.replace("\n", " ") + dict(licenses.MORE)["MIT-text"]), (10, "Released under the MIT License.\nx released\nunder the MIT license y"),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, unit string").repartition(2)
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.licenses(docs).collect()}
+    assert "GPL-3.0-header" in got[1][0] and "BSD-3-Clause" in got[2][0] and got[3] == ("ISC", 1) and got[4] == ("MIT", 1) and got[5] == ("Apache-2.0", 1)
+    assert {"GPL-3-text", "GPL-3.0-header", "GPL-3.0-notice"} <= set(got[6][0].split(",")) and 7 not in got
+    assert got[8] == ("ISC", 2) and {"MIT-header", "MIT-text"} == set(got[9][0].split(",")) and got[10] == ("MIT", 2)
+    assert {(r["unit_no"], r["dice"]) for r in licenses.scan(docs).where("doc_id = 4").collect()} == {(-2 - 3, 1.0)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News &amp; more</a></li></ul></nav><!-- x --><div class="ad">Buy now, cheap offer.</div>
 <article><h1>A longer title of the page</h1><p><b>First   paragraph of the text, with &lt;tags&gt; and
