@@ -30,10 +30,19 @@ _WORD = re.compile("[a-z]+|[0-9]+")
 _DIGIT = re.compile("[0-9]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-_HIDDEN = frozenset("head noscript template svg math object select option datalist button canvas audio video map".split())
+_HIDDEN = frozenset("head noscript template select option datalist button canvas audio video map".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var object param".split()
 )
+#: Names inside drawings and formulas: they do not end a block, and a slash closes them.
+_FOREIGN = frozenset(
+    "svg circle clippath defs desc ellipse filter g image line lineargradient marker mask metadata path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+_INLINE |= _FOREIGN
+#: Start tags that leave an open head open; any other, or text, ends it.
+_IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
+_BLANK = " \t\n\r\f"
 #: Block-level tags that end an open paragraph.
 _ENDS_P = frozenset(
     "address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
@@ -49,6 +58,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], float,
     """(text, names on the tag path, share of linked characters, given label) of each block with text, in page order.
 
     Character references are decoded, and white space inside a block is one space. Script, style, title, hidden and form-control text is left out.
+    The end tag of a head and the start tag of a body may be missing: what may not stand in a head ends it. Text of formulas, drawings, objects and xmp is text.
     """
     out: list[tuple[str, tuple, float, str]] = []
     stack: list[tuple[str, tuple[str, ...], str]] = []
@@ -73,10 +83,16 @@ def blocks_of(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], float,
             hidden -= name in _HIDDEN
         del stack[to:]
 
-    def add(text: str) -> None:
+    def end_head() -> None:
+        while stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+
+    def add(text: str, raw: bool = False) -> None:
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and text.strip(_BLANK):
+            end_head()
         if text and not hidden:
-            text = html.unescape(text)
+            text = text if raw else html.unescape(text)
             parts.append(text)
             if links:
                 linked += len(text)
@@ -105,12 +121,20 @@ def blocks_of(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], float,
                 if name in _INLINE and stack[k][0] not in _INLINE:
                     break
             continue
+        if name not in _IN_HEAD:
+            end_head()
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
             continue
         if name in _RAW:
+            if attrs.endswith("/") and any(s[0] in ("svg", "math") for s in stack):
+                continue
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
-            at = close.start() if close else n
+            inside, at = at, close.start() if close else n
+            if name == "xmp":
+                flush()
+                add(page[inside:at], raw=True)
+                flush()
             if close:
                 end = page.find(">", at)
                 at = n if end < 0 else end + 1
@@ -134,7 +158,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], float,
                         break
                     if stack[k][0] in stop:
                         break
-        if name in _VOID or attrs.endswith("/") and name not in _INLINE and name not in _ENDS_P:
+        if name in _VOID or attrs.endswith("/") and (name in _FOREIGN or name not in _INLINE and name not in _ENDS_P):
             continue
         tokens, label = [name], ""
         if attrs and name not in _INLINE:

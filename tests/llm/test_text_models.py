@@ -161,6 +161,27 @@ def test_main_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_head_without_end_tag(spark):
+    long = "This long paragraph says what the page is about, and goes on with more words until it is long enough to be told from a menu."
+    texts = lambda page: [b[0] for b in html_text.blocks_of(page)]
+    top = "<html><head><title>t</title>\n<meta charset=x><link rel=y><script>var a</script><style>b</style><noscript><img src=c>hid</noscript><template><p>hid</p></template> "
+    assert texts(f"{top}<article><p>{long}</article>") == [long]
+    assert texts(f"{top}{long}<p>two") == [long, "two"]
+    assert texts(f"{top}<head><body><p>{long}") == [long] and texts(f"{top}</head><body><p>{long}") == [long]
+    assert texts(f"<head><!-- x -->&lt;{long}") == ["<" + long] and texts("<head> \n <title>x</title>") == []
+    pages = spark.createDataFrame([(1, "u", f"<html><head><title>t</title><article><h1>A longer title of the page</h1><p>{long}</p><p>{long}</p></article>")], "page_id long, url string, html string")
+    assert html_text.main_text(pages).first()["text"].endswith(f"{long}\n{long}")
+
+
+def test_text_of_formulas_drawings_and_objects():
+    texts = lambda page: [b[0] for b in html_text.blocks_of(page)]
+    assert texts("<p>so <math><mrow><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></mrow></math> holds") == ["so x=2 holds"]
+    assert texts('<p>see <svg viewBox="0"><title/><path d="m"/><g><text>Figure 1</text></g><title>no</title></svg> here<p>next') == ["see Figure 1 here", "next"]
+    assert texts("<p>a <object data=x><param name=y>instead</object> b") == ["a instead b"]
+    assert texts("<p>a</p><xmp>1 < 2 &amp; <b>3</b></xmp><p>b") == ["a", "1 < 2 &amp; <b>3</b>", "b"]
+    assert texts("<p>a <select><option>no</select><button>no</button><textarea>no</textarea> b") == ["a", "b"]
+
+
 def test_network_on_unseen_layouts():
     made = html_text._Pages(4242)
     pages = [html_text.blocks_of(made.page()) for _ in range(200)]
