@@ -59,9 +59,12 @@ def _key(hashes: np.ndarray) -> tuple[np.int64, np.int64]:
     return hashes.sum(dtype=np.uint64).astype(np.int64), W.mix(hashes ^ W._M1).sum(dtype=np.uint64).astype(np.int64)
 
 
-def _batch_id(ids: np.ndarray) -> int:
-    """A number for a batch, from its rows alone, so that a repeated task gives the same one."""
-    return int(W.mix(W.mix(ids.astype(np.uint64) + np.arange(len(ids), dtype=np.uint64) * W._BASE).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
+def _batch_id(ids: np.ndarray, *keys: np.ndarray) -> int:
+    """A number for a batch, from its rows' ids and the keys of their sets alone, so that a repeated task gives the same one."""
+    rows = W.mix(ids.astype(np.uint64) + np.arange(len(ids), dtype=np.uint64) * W._BASE)
+    for key in keys:
+        rows = W.mix(rows ^ key.astype(np.uint64))
+    return int(W.mix(rows.sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
 
 
 def _by_bucket(tokens: np.ndarray, payload: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,7 +82,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate([at, [len(values)]]))
 
 
-_DIGEST = np.dtype([("id", "<i8"), ("n", "<i4"), ("made", "<i4"), ("shared", "<i4"), ("k1", "<i8"), ("k2", "<i8")])
+_DIGEST = np.dtype([("id", "<i8"), ("n", "<i4"), ("made", "<i4"), ("shared", "<i4"), ("k1", "<i8"), ("k2", "<i8"), ("hash", "<i8")])
 _FIRST = "bucket long, batch long, digest binary, tokens binary, rows binary"
 
 
@@ -90,7 +93,7 @@ def _first_pass(width: int, buckets: int):
         for piece in slices(batches, _BATCH, 4 << 20):
             ids = np.asarray(piece.column(0), dtype=np.int64)
             digest = np.zeros(len(ids), dtype=_DIGEST)
-            digest["id"] = ids
+            digest["id"], digest["hash"] = ids, np.asarray(piece.column(2), dtype=np.int64)
             sets = _sets(piece, width)
             top = np.uint64(_SAMPLE) << np.uint64(58)
             part, row = [], []
@@ -107,7 +110,7 @@ def _first_pass(width: int, buckets: int):
             here = np.repeat(count > 1, count)
             digest["shared"] = np.bincount(rows[here], minlength=len(ids))
             once, rows = tokens[at], np.where(count > 1, _MANY, rows[at]).astype(np.uint16) if len(at) else rows
-            batch = _batch_id(ids)
+            batch = _batch_id(ids, digest["k1"], digest["k2"])
             out = [(batch % buckets, batch, digest.tobytes(), None, None)]
             out += [(b, batch, None, t.tobytes(), r.tobytes()) for b, t, r in _by_bucket(once, rows, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "batch", "digest", "tokens", "rows"])
@@ -139,7 +142,7 @@ def _count_shared(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([keep, pd.DataFrame(out, columns=["batch", "digest", "rows", "counts"])]) if out else keep
 
 
-_DOCS = "id long, n int, k1 long, k2 long, alive boolean"
+_DOCS = "id long, n int, k1 long, k2 long, hash long, alive boolean"
 
 
 def _decide(percent: int):
@@ -154,7 +157,7 @@ def _decide(percent: int):
             digest["shared"][np.frombuffer(rows, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32).astype(np.int32)
         can_miss = digest["n"] - least_overlap(digest["n"], percent)
         alive = (digest["n"] > 0) & (digest["shared"] >= digest["made"] - can_miss)
-        out = pd.DataFrame({k: digest[k] for k in ("id", "n", "k1", "k2")}).assign(alive=alive)
+        out = pd.DataFrame({k: digest[k] for k in ("id", "n", "k1", "k2", "hash")}).assign(alive=alive)
         return pd.concat([out] * len(digests)) if len(digests) > 1 else out  # equal batches of repeated rows
 
     return run
@@ -170,7 +173,7 @@ def _set_rows(width: int):
         for piece in slices(batches, 1024, 2 << 20):
             ids, weights, k1, k2 = (np.asarray(piece.column(i), dtype=np.int64) for i in (0, 2, 3, 4))
             sets = _sets(piece, width)
-            # an id that several rows have brings texts of other classes along
+            # equal hashes of other texts with the same id
             own = [i for i, s in enumerate(sets) if _key(s) == (k1[i], k2[i])]
             if not own:
                 continue
@@ -390,17 +393,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = source.where("id is not null")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + size * _SAMPLE // (64 * 5 * _TOKENS)
+    source = source.withColumn("hash", F.xxhash64("text"))
     made = source.mapInArrow(_first_pass(width, buckets), _FIRST)
     counted = made.groupBy("bucket").applyInPandas(_count_shared, "batch long, digest binary, rows binary, counts binary")
     all_docs = written(counted.groupBy("batch").applyInPandas(_decide(percent), _DOCS), "digests")
 
     alive = all_docs.where("alive")
     # classes of equal sets go by numbers of their own, as an id may stand for several
-    classes = alive.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = alive.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "hash")).alias("least"), F.count("*").alias("weight"))
+    classes = classes.select("k1", "k2", "n", F.col("least.id").alias("rep"), F.col("least.hash").alias("hash"), "weight")
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     total = classes.agg(F.count("*"), F.sum("n")).first()
     buckets = 1 + (total[1] or 0) // _TOKENS
-    texts = source.join(small(classes.select(F.col("rep").alias("id"), "node", "k1", "k2", "weight"), total[0]), "id")
+    texts = source.join(small(classes.select(F.col("rep").alias("id"), "hash", "node", "k1", "k2", "weight"), total[0]), ["id", "hash"])
     sets = written(texts.select("node", "text", "weight", "k1", "k2").mapInArrow(_set_rows(width), _SETS), "sets")
     answers = sets.mapInArrow(_deal(buckets), _BLOBS).groupBy("bucket").applyInPandas(_lead, "batch long, found binary, counts binary, least binary")
     members = written(

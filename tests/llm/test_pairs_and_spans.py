@@ -81,6 +81,19 @@ def test_join_is_exact(docs, texts, monkeypatch):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
+def test_join_of_one_id_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_BATCH", 8)
+    rows = [(7, f"a{i} b{i} c{i} d{i} e{i} f{i}" if i % 8 else f"w{i}") for i in range(24)] + [(9, "a13 b13 c13 d13 e13 f13"), (9, "w16"), (9, "w16 x"), (9, "a2 b2 c2 d2 e2 f2")]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = []
+    for k, ((i, _), a) in enumerate(zip(rows, sets)):
+        met = [rows[j][0] for j, b in enumerate(sets) if j != k and linked(a, b)]
+        want.append((i, len(a), min([i, *met]), len(met)))
+    assert sorted(tuple(r) for r in got) == sorted(want) and sum(w[3] for w in want) == 6
+
+
 def test_one_of_each_group_stays(docs):
     kept = ngram_join.one_of_each_group(docs)
     assert kept.columns == docs.columns
