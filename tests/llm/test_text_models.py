@@ -89,6 +89,20 @@ def test_secrets_equal_a_full_scan(spark):
     assert base[3] == (1, 0, 0) and base[4] == (1, 0, 1) and base[7] == (0, 1, 0) and base[8] == (0, 0, 2) and base[20] == (1, 0, 0)
 
 
+def test_long_logins_and_keys_with_header_lines(spark):
+    body = "\n".join("MIIEab+/" * 8 for _ in range(5)) + "=="
+    texts = [
+        f"see https://{'u' * 65}:secretpw@example.org/x", f"see https://user:{'eyJ.' * 100}@example.org/x", f"see redis://{'n' * 5000}:{'t' * 5000}@h",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PRIVATE KEY-----\r\n  Comment: rsa-key-2020 of x@y\r\n  {body}\n-----END PRIVATE KEY----- https://user:abc@h",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in ("url_login", "private_key")] for r in secrets.scan(docs).collect()}
+    assert got[0] == [("url_login", 4, texts[0].index("@") + 1)] and got[1] == [("url_login", 4, texts[1].index("@") + 1)] and got[2] == [("url_login", 4, texts[2].index("@") + 1)]
+    assert got[3] == [("private_key", 0, len(texts[3]))] and got[4] == [("private_key", 0, texts[4].index(" https"))]
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {0: "see [secret]example.org/x", 1: "see [secret]example.org/x", 2: "see [secret]h", 3: "[secret]", 4: "[secret] https://user:abc@h"}
+
+
 def test_trigram_queries():
     q = lambda p: secrets.trigram_query(p)
     assert q("[0-9a-f]{24,}") is True and q("ab") is True and q("(abc)?x*") is True
