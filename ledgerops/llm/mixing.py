@@ -136,8 +136,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Of rows that are equal in id, text and source, one stands for all, and comes as often as the mix takes them together.
     """
     rows, places = mix(docs, id_col, text_col, source_col, **options)
-    wanted = places.join(rows.select("row", "id", "source", "text_hash"), "row")
-    wanted = written(wanted.groupBy("id", "source", "text_hash").agg(F.collect_list(F.struct("shard", "place")).alias("places"), F.countDistinct("row").alias("n")), "wanted")
+    # rows that are not taken count too: the mix may take some of several equal rows
+    each = rows.select("row", "id", "source", "text_hash").join(places, "row", "left")
+    place = F.when(F.col("place").isNotNull(), F.struct("shard", "place"))
+    each = each.groupBy("id", "source", "text_hash").agg(F.collect_list(place).alias("places"), F.countDistinct("row").alias("n"))
+    wanted = written(each.where(F.size("places") > 0), "wanted")
     mark = fresh("mix", docs.columns)
     names = {c: f"{mark}_{c}" for c in wanted.columns}
     own = {"id": F.col(f"`{id_col}`"), "source": F.col(f"`{source_col}`").cast("string"), "text_hash": F.xxhash64(F.col(f"`{text_col}`"))}

@@ -190,6 +190,15 @@ def test_mix_meets_targets(docs, texts):
     assert sum(len(words(x["text"])) for x in out.collect()) == sum(r["taken"] for r in rows)
 
 
+def test_mix_of_some_of_equal_rows(spark):
+    # targets 22.5, 9 and 4.5 words: one of the five equal rows of c is taken
+    rows = [(1, "a b c d e f g h i j", "a"), (2, "k l m n s t", "b")] + [(3, "o p q r", "c")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["source"]: r["t"] for r in mixing.taken(docs).groupBy("source").agg(mixing.F.sum("taken").alias("t")).collect()}
+    got = {s: sum(len(words(r["text"])) for r in mixing.mixed(docs).where(f"source = '{s}'").collect()) for s in "abc"}
+    assert got == taken and taken["c"] == 4
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 500), ("c", 90), (None, 0), ("d", 400)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
