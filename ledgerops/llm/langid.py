@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed letter n-grams (1 to 3 code points, over words with one space around) are added up per language over all learnt rows, in map
-tasks first; the table of log-probabilities has one row per language and a fixed number of slots, and goes to every task. Texts are scored in batches,
-as sparse counts times that table.
+tasks first; the table of log-probabilities has one row per language and a fixed number of slots, and goes to every task. Texts are scored in batches
+of 256, as a dense array of counts times that table.
 """
 
 from __future__ import annotations
