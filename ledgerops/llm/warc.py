@@ -1,8 +1,12 @@
 """WARC archives: written with an index of every record, and read back by byte ranges.
 
-The index (archive, offset, length, URL, digest) is made from the records' lengths and stored before any archive is written. Archives are
-written by Spark's text writer, whose line separator is the record separator of the format; any file system Spark writes to will do. Readers take index
-rows, sort them by archive and offset, and join ranges that lie close together into one read.
+Each record is a gzip member of its own, as the format allows, so that it can be read alone. The index (archive, offset, length, URL, digest) is made from the
+members' lengths and stored before any archive is written. Archives are written by Spark's text writer, so any file system Spark writes to will do and lost
+executors do no harm: a member ends in the highest byte of its size, which is zero below 16 MB, and that zero is the writer's line separator. A longer record is
+followed by an empty member, which ends in zero too and adds nothing. Members depend on their records alone (no time, one level), so both passes make the same.
+
+Which records are revisits is decided from ids and digests. Texts are shuffled once, to their archives, however many copies there are.
+Readers take index rows, sort them by archive and offset, and join ranges that lie close together into one read.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerops.llm.tables import slices, written
@@ -25,8 +29,9 @@ ARCHIVE_BYTES, LEAST_REVISIT, GAP, READ = 64 << 20, 100, 64 << 10, 4 << 20
 _PIECE = 4 << 20
 #: Bytes of a record besides its payload, about; order of the records of an archive.
 _HEAD_BYTES, _ORDER = 512, ["page_id", "digest", "url"]
-_END = "\r\n\r\n"
+_BLANK, _END = "\r\n\r\n", "\0"
 _DATE = "2001-01-01T00:00:00Z"
+_EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 
 
 def _clean(column):
@@ -34,72 +39,80 @@ def _clean(column):
     return F.regexp_replace(F.coalesce(column, F.lit("")), "[\r\n]+", " ")
 
 
-def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """One row per record: id, url, digest, sizes, type, its archive and its text.
+def _name(column):
+    return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("")), F.lit(">"))
+
+
+def _record(kind: str, payload: Column, refers_to: Column | None = None) -> Column:
+    """The text of a record, from the columns of its row."""
+    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), payload)
+    profile = "\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "
+    return F.concat(
+        F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), _name(F.col("page_id")),
+        F.lit(f"\r\nWARC-Date: {_DATE}\r\nWARC-Target-URI: "), _clean(F.col("url")),
+        F.lit("") if refers_to is None else F.concat(F.lit(profile), _name(refers_to)),
+        F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(_BLANK), body, F.lit(_BLANK),
+    )
+
+
+def _member(text: pa.Buffer) -> bytes:
+    """A record as a gzip member without its last byte, which is zero."""
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = made.compress(text) + made.flush()
+    return (out + _EMPTY if out[-1] else out)[:-1]
+
+
+def _members(batches):
+    for piece in slices(batches, 64, _PIECE, text=4):
+        packed = pa.array([_member(text.as_buffer()) for text in piece.column(4)], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([*piece.columns[:4], packed], names=[*piece.schema.names[:4], "member"])
+
+
+def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, int]:
+    """(page_id, digest, url, again, member, archive) of every page as a response and of every revisit, and the number of archives.
 
-    The texts are not stored: ``index`` and ``write`` make them anew from ``pages``, which should be a stored table. Only digests that occur twice are.
+    Members are not stored: ``index`` and ``write`` make them anew from ``pages``, which should be a stored table. Only ids and digests of revisits are.
     """
     raw = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    copies = rows.where((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    copies = written(copies.where("n > 1").select("digest", "first"), "copies")
-    rows = rows.join(copies, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id") > F.col("first"))
-    rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first")))
-    http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
-    name = lambda id_: F.concat(F.lit("<urn:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">"))
-    body = F.when(revisit, http).otherwise(F.concat(http, "payload"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
-        F.lit(f"\r\nWARC-Date: {_DATE}\r\nWARC-Target-URI: "), _clean(F.col("url")),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("refers_to")))).otherwise(""),
-        F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(_END),
-    )
+    light = rows.where((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).drop("payload")
+    copies = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
+    again = light.join(written(copies, "copies"), F.col("digest") == F.col("_digest")).where("page_id > first").drop("_digest")
+    again = written(again, "revisits")
+    kind = dict(rows.dtypes)["page_id"]
+    columns = lambda text, flag: ["page_id", "digest", "url", F.lit(flag).alias("again"), text.alias("record")]
+    texts = rows.select(*columns(_record("response", F.col("payload")), 0)).unionByName(again.select(*columns(_record("revisit", F.lit(""), F.col("first")), 1)))
     total = pages.agg(F.sum(F.octet_length(raw) + _HEAD_BYTES)).first()[0] or 0
-    archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 + total // ARCHIVE_BYTES))
-    return rows.select(archive.alias("archive"), *_ORDER, "payload_bytes", "record_type", "refers_to", F.concat(head, body).alias("record"))
+    archives = 1 + total // ARCHIVE_BYTES
+    members = texts.mapInArrow(_members, f"page_id {kind}, digest string, url string, again int, member binary")
+    return members.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives))), archives
 
 
-def index(staged: DataFrame) -> DataFrame:
+def _told(rows: DataFrame, archives: int) -> DataFrame:
+    """``rows`` dealt to their archives, and of a page that is a revisit only that record."""
+    same = Window.partitionBy("archive", "page_id", "digest")
+    return rows.repartition(archives, "archive").withColumn("_again", F.max("again").over(same)).where("again = _again").drop("_again")
+
+
+def index(staged: tuple[DataFrame, int]) -> DataFrame:
     """(archive, offset, length, url, digest, page_id) of every record, written before any archive is.
 
-    Only lengths are ordered and summed, no texts. Rows that tie in the order have equal records, so either order gives the same offsets.
+    Only lengths are shuffled and summed, no texts. Rows that tie in the order have equal records, so either order gives the same offsets.
     """
-    rows = staged.select("archive", *_ORDER, F.octet_length("record").cast("long").alias("length"))
+    rows, archives = staged
+    rows = _told(rows.select("archive", *_ORDER, "again", (F.octet_length("member") + len(_END)).cast("long").alias("length")), archives)
     before = Window.partitionBy("archive").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.col("length") + len(_END)).over(before), F.lit(0)).cast("long")
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
     return written(rows.select("archive", offset.alias("offset"), "length", "url", "digest", "page_id"), "warc-index")
 
 
-def _packed(batches):
-    for batch in batches:
-        for piece in slices([batch], 64, _PIECE, text=batch.num_columns - 1):
-            packed = pa.array([zlib.compress(text.as_buffer(), 6) for text in piece.column(piece.num_columns - 1)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], packed], names=[*piece.schema.names[:-1], "packed"])
-
-
-def _unpacked(batches):
-    for batch in batches:
-        texts, size, at = [], 0, 0
-        for i in range(batch.num_rows):
-            texts.append(zlib.decompress(batch.column(batch.num_columns - 1)[i].as_buffer()))
-            size += len(texts[-1])
-            if size >= _PIECE or len(texts) == 64 or i == batch.num_rows - 1:
-                text = pa.array(texts, type=pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), text], names=[*batch.schema.names[:-1], "record"])
-                texts, size, at = [], 0, i + 1
-
-
-def write(staged: DataFrame, indexed: DataFrame, path: str) -> None:
-    """One file per archive below ``path``, records in the order of their offsets; texts are shuffled once, and packed while they are."""
-    archives = (indexed.agg(F.max("archive")).first()[0] or 0) + 1
-    rows = staged.select("archive", *_ORDER, "record")
-    keys = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[:-1])
-    rows = rows.mapInArrow(_packed, f"{keys}, packed binary").repartition(archives, "archive").mapInArrow(_unpacked, f"{keys}, record string")
-    rows = rows.sortWithinPartitions("archive", *_ORDER)
-    rows.select("archive", F.col("record").alias("value")).write.option("lineSep", _END).partitionBy("archive").text(path)
+def write(staged: tuple[DataFrame, int], path: str) -> None:
+    """One file per archive below ``path``, records in the order of their offsets."""
+    rows = _told(staged[0], staged[1]).sortWithinPartitions("archive", *_ORDER)
+    # the bytes of a member as they are; the writer does not look at them
+    rows.select("archive", F.col("member").cast("string").alias("value")).write.option("lineSep", _END).partitionBy("archive").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -125,6 +138,21 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _opened(data: bytes) -> bytes:
+    """The content of the gzip members that ``data`` holds; empty if it holds none."""
+    out = b""
+    try:
+        while data:
+            member = zlib.decompressobj(31)
+            out += member.decompress(data)
+            if not member.eof:
+                return b""
+            data = member.unused_data
+    except zlib.error:
+        return b""
+    return out
+
+
 _READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload string"
 
 
@@ -150,10 +178,11 @@ def _read_records(batches):
                     raise EOFError(f"{files[lo]}: {len(data)} of {size} bytes at {start}")
                 out = []
                 for i in range(lo + a, lo + b):
-                    record = data[int(offsets[i]) - start : int(offsets[i] + lengths[i]) - start]
+                    record = _opened(data[int(offsets[i]) - start : int(offsets[i] + lengths[i]) - start])
                     head, _, block = record.partition(b"\r\n\r\n")
-                    h = _headers(head)
-                    if not head.startswith(b"WARC/") or len(block) != int(h["content-length"]):
+                    h = _headers(head) if head.startswith(b"WARC/") else {}
+                    block, end = block[:-4], block[-4:]
+                    if not h or end != b"\r\n\r\n" or len(block) != int(h["content-length"]):
                         raise ValueError(f"{files[lo]}: no record of {lengths[i]} bytes at {offsets[i]}")
                     _, _, payload = block.partition(b"\r\n\r\n")
                     number = lambda v: int(v[len("<urn:page:") : -1]) if v and v != "<urn:page:>" else None
@@ -189,5 +218,5 @@ def round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     staged = stage(pages, id_col, url_col, payload_col)
     indexed = index(staged)
-    write(staged, indexed, path)
+    write(staged, path)
     return read(pages.sparkSession, path, indexed)

@@ -1,5 +1,6 @@
 """Classifiers, scans, extraction and archives: held-out accuracy, brute force, exact round trips, odd rows."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -210,10 +211,13 @@ def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
     monkeypatch.setattr(warc, "READ", 5_000)
     same = "<p>é \r\n\r\nWARC/1.1 " + "x" * 200
-    rows = [(5, "u5", same), (2, "u2", same), (9, None, same), (2, "u2", same), (None, "n", same), (3, "a\r\nb", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "y" * 70_000)]
+    rows = [(5, "u5", same), (2, "u2", same), (9, None, same), (2, "u2", same), (None, "n", same), (3, "a\r\nb", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "y" * 70_000), (10, "u", "z" * (1 << 24))]
     rows += [(100 + i, "u", f"{i} " * 60) for i in range(200)]
     pages = spark.createDataFrame([(i, u, h, 1) for i, u, h in rows], "page_id long, url string, html string, digest int")
-    got = warc.round_trip(pages, scratch_path(spark, "warc-test")).collect()
+    path = scratch_path(spark, "warc-test")
+    got = warc.round_trip(pages, path).collect()
+    archives = [f for f in Path(path).rglob("*.txt") if f.stat().st_size]
+    assert len(archives) > 1 and sum(gzip.decompress(f.read_bytes()).count(b"WARC-Record-ID") for f in archives) == len(rows)  # any reader can open them
     digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     want = []
     for i, u, h in rows:
@@ -222,5 +226,6 @@ def test_archives_round_trip(spark, monkeypatch):
     key = lambda r: (-1 if r["page_id"] is None else r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"])
     assert sorted(map(key, got)) == sorted(want)
     texts = {r["page_id"]: r["payload"] for r in got if r["record_type"] == "response"}
+    assert texts[10] == "z" * (1 << 24)  # its size needs the highest byte
     assert texts[2] == same and texts[8] == "y" * 70_000 and texts[3] == ""
     assert warc.round_trip(pages.limit(0), scratch_path(spark, "warc-none")).count() == 0
