@@ -1,9 +1,9 @@
 """Metric samples: instant vectors, rates, growth, histograms, label work.
 
-Everything evaluated on a time grid is a merge of per-cell partial results: a sample
-first collapses into its grid cell, and only the collapsed cells are copied to the
-later grid points they reach. Aggregation starts map-side, so a series holding a third
-of all samples is reduced before it is shuffled.
+Everything evaluated on a time grid is a merge of per-cell partial results: samples
+first collapse into the cells between window edges, map-side, so a series holding a third
+of all samples is reduced before it is shuffled. Windows are then differences of running
+sums and carried first and last samples; nothing is copied to the points it reaches.
 """
 
 from __future__ import annotations
@@ -73,19 +73,50 @@ def series_key(labels: Column | str = "labels") -> Column:
     return F.array_sort(F.map_entries(labels))
 
 
-def _on_grid(df: DataFrame, keys: list[str], grid: Grid, ts: str, span, partial: dict, merge: dict) -> DataFrame:
-    """Aggregate rows into cells, copy cells to the grid points they reach, merge there."""
+def _trailing(df: DataFrame, keys: list[str], grid: Grid, ts: str, span, total: str | None = None) -> DataFrame:
+    """What the window ``(t - span, t]`` holds at each grid time t: (keys.., t, total, oldest, newest).
+
+    Rows first collapse into the cells between the times where some window begins or ends, of which a series has at most
+    two per grid point. In order of cells, a window is a stretch of consecutive ones: its total is a difference of two running sums of one sequence (so a window
+    of zeros is exactly zero), its newest row that of the last cell entered, its oldest that of the first cell not yet left. Those change only where a cell
+    enters or leaves; each stretch of points between two changes unfolds once, into result rows. Nothing is copied to the points it reaches.
+    """
     first, last = grid.reach(ts, span)
+    at = F.struct(ts, "value")
     cells = (
         grid.touching(df, ts, span)
         .withColumns({"_first": first, "_last": last})
         .where("_first <= _last")
         .groupBy(*keys, "_first", "_last")
-        .agg(*[c.alias(n) for n, c in partial.items()])
+        .agg(F.sum(total or F.lit(0.0)).alias("_sum"), F.min(at).alias("_a"), F.max(at).alias("_b"))
+    )
+    # a window's group is a series' cells or changes, which the grid bounds
+    order = W.partitionBy(*keys).orderBy("_first", "_last")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.withColumns({"_k": F.row_number().over(order), "_upto": F.sum("_sum").over(upto), "_next": F.lead("_a").over(order)})
+    nothing = F.lit(None)
+    enters = F.struct(
+        F.col("_first").alias("_i"), F.struct("_k", "_upto", "_b").alias("_in"), nothing.cast("struct<_k:int,_upto:double>").alias("_out"),
+        F.when(F.col("_k") == 1, F.col("_a")).alias("_old"),
+    )
+    leaves = F.struct(
+        (F.col("_last") + 1).alias("_i"), F.when(F.lit(False), F.struct("_k", "_upto", "_b")).alias("_in"),
+        F.struct("_k", F.col("_upto").cast("double").alias("_upto")).alias("_out"), F.col("_next").alias("_old"),
     )
-    points = cells.withColumn("_i", F.explode(F.sequence("_first", "_last")))
-    out = points.groupBy(*keys, "_i").agg(*[c.alias(n) for n, c in merge.items()])
-    return out.withColumn("t", grid.time(F.col("_i"))).drop("_i")
+    changes = cells.select(*keys, F.inline(F.array(enters, leaves))).where(F.col("_i") <= grid.last)
+    # of changes at one point the last cell's stand; it leads the others in every field
+    changes = changes.groupBy(*keys, "_i").agg(F.max("_in").alias("_in"), F.max("_out").alias("_out"), F.max("_old").alias("_old"))
+    order = W.partitionBy(*keys).orderBy("_i")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    stretches = changes.select(
+        *keys, "_i", F.coalesce(F.lead("_i").over(order) - 1, F.lit(grid.last).cast("bigint")).alias("_to"),
+        *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("_in", "_out", "_old")],
+    ).where(F.col("_in._k") > F.coalesce(F.col("_out._k"), F.lit(0)))
+    points = stretches.select(
+        *keys, F.explode(F.sequence("_i", "_to")).alias("_at"), (F.col("_in._upto") - F.coalesce(F.col("_out._upto"), F.lit(0.0))).alias("total"),
+        F.col("_old").alias("oldest"), F.col("_in._b").alias("newest"),
+    )
+    return points.withColumn("t", grid.time(F.col("_at"))).drop("_at")
 
 
 def instant_vector(samples: DataFrame, keys: list[str], grid: Grid, lookback="5 minutes") -> DataFrame:
@@ -93,24 +124,26 @@ def instant_vector(samples: DataFrame, keys: list[str], grid: Grid, lookback="5
 
     Result (keys.., t, value). At equal times the higher value wins.
     """
-    newest = F.struct("ts", "value")
-    out = _on_grid(samples, keys, grid, "ts", lookback, {"_v": F.max(newest)}, {"_v": F.max("_v")})
-    return out.select(*keys, "t", F.col("_v.value").alias("value"))
+    return _trailing(samples, keys, grid, "ts", lookback).select(*keys, "t", F.col("newest.value").alias("value"))
 
 
-def counter_deltas(samples: DataFrame, keys: list[str], since=None) -> DataFrame:
+def counter_deltas(samples: DataFrame, keys: list[str], since=None, before=None) -> DataFrame:
     """Increase each sample adds to its counter; a drop means the counter restarted at 0.
 
     Copies of a sample collapse first; at equal times the higher value counts. With
     ``since``, older samples matter only through the last one per series: they collapse
-    to one row each before anything is ordered.
+    to one row each before anything is ordered. ``before`` says how far back that one is
+    looked for; the scan then has a lower bound in time, else it reads all history.
     """
     rows = samples.select(*keys, "ts", "value")
     if since is not None:
-        newest = F.max(F.struct("ts", "value")).alias("_v")
-        before = rows.where(F.col("ts") <= ntz(since)).groupBy(*keys).agg(newest)
-        before = before.select(*keys, F.col("_v.ts").alias("ts"), F.col("_v.value").alias("value"))
-        rows = rows.where(F.col("ts") > ntz(since)).unionByName(before)
+        since = as_datetime(since)
+        older = rows.where(F.col("ts") <= ntz(since))
+        if before is not None:
+            older = older.where(F.col("ts") > ntz(since - to_timedelta(before)))
+        older = older.groupBy(*keys).agg(F.max(F.struct("ts", "value")).alias("_v"))
+        older = older.select(*keys, F.col("_v.ts").alias("ts"), F.col("_v.value").alias("value"))
+        rows = rows.where(F.col("ts") > ntz(since)).unionByName(older)
     rows = rows.groupBy(*keys, "ts").agg(F.max("value").alias("value"))
     ordered = OrderedRows.of(rows, keys, ["ts"]).previous(_before=F.col("value")).rows
     v, p = F.col("value"), F.col("_before")
@@ -118,31 +151,28 @@ def counter_deltas(samples: DataFrame, keys: list[str], since=None) -> DataFrame
     return ordered.withColumn("delta", delta).drop("_before")
 
 
-def increase(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes") -> DataFrame:
-    """Counter increase over the trailing ``span`` at each grid time: (keys.., t, value)."""
+def increase(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes", before=None) -> DataFrame:
+    """Counter increase over the trailing ``span`` at each grid time: (keys.., t, value).
+
+    ``before`` as in ``counter_deltas``.
+    """
     known = samples.where(F.col("ts") <= ntz(grid.end))
-    deltas = counter_deltas(known, keys, grid.start - to_timedelta(span))
-    return _on_grid(
-        deltas, keys, grid, "ts", span, {"value": F.sum("delta")}, {"value": F.sum("value")}
-    ).select(*keys, "t", "value")
+    deltas = counter_deltas(known, keys, grid.start - to_timedelta(span), before)
+    return _trailing(deltas, keys, grid, "ts", span, "delta").select(*keys, "t", F.col("total").alias("value"))
 
 
-def rate(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes") -> DataFrame:
+def rate(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes", before=None) -> DataFrame:
     """Increase per second."""
     seconds = to_micros(span) / SECOND
-    return increase(samples, keys, grid, span).withColumn("value", F.col("value") / F.lit(seconds))
+    return increase(samples, keys, grid, span, before).withColumn("value", F.col("value") / F.lit(seconds))
 
 
 def growth_per_day(samples: DataFrame, keys: list[str], grid: Grid, span="24 hours") -> DataFrame:
     """Gauge change per day between the first and last sample in the trailing ``span``."""
-    at = F.struct("ts", "value")
-    out = _on_grid(
-        samples, keys, grid, "ts", span,
-        {"_a": F.min(at), "_b": F.max(at)}, {"_a": F.min("_a"), "_b": F.max("_b")},
-    )
-    seconds = (micros("_b.ts") - micros("_a.ts")) / F.lit(1e6)
-    value = F.when(seconds > 0, (F.col("_b.value") - F.col("_a.value")) / seconds * 86400)
-    return out.select(*keys, "t", value.alias("value"))
+    seen = _trailing(samples, keys, grid, "ts", span)
+    seconds = (micros("newest.ts") - micros("oldest.ts")) / F.lit(1e6)
+    value = F.when(seconds > 0, (F.col("newest.value") - F.col("oldest.value")) / seconds * 86400)
+    return seen.select(*keys, "t", value.alias("value"))
 
 
 _OPS = {
