@@ -8,7 +8,7 @@ sums and carried first and last samples; nothing is copied to the points it reac
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -48,11 +48,12 @@ class Grid:
         return F.timestamp_add("MICROSECOND", i * F.lit(to_micros(self.step)), ntz(self.start))
 
     def reach(self, ts: str, span) -> tuple[Column, Column]:
-        """First and last grid index t with ``t - span < ts <= t``."""
+        """First and last grid index t with ``t - span < ts <= t``; ``span`` may be a column of microseconds."""
         step = to_micros(self.step)
         offset = micros(ts) - micros(ntz(self.start))
         first = F.greatest(ceil_div(offset, step), F.lit(0))
-        last = F.least(ceil_div(offset + to_micros(span), step) - 1, F.lit(self.last).cast("bigint"))
+        wide = span if isinstance(span, Column) else to_micros(span)
+        last = F.least(ceil_div(offset + wide, step) - 1, F.lit(self.last).cast("bigint"))
         return first, last
 
     def touching(self, df: DataFrame, ts: str, span) -> DataFrame:
@@ -73,18 +74,22 @@ def series_key(labels: Column | str = "labels") -> Column:
     return F.array_sort(F.map_entries(labels))
 
 
-def _trailing(df: DataFrame, keys: list[str], grid: Grid, ts: str, span, total: str | None = None) -> DataFrame:
+def trailing_windows(
+    df: DataFrame, keys: list[str], grid: Grid, ts: str, span, total: str | None = None, longest=None
+) -> DataFrame:
     """What the window ``(t - span, t]`` holds at each grid time t: (keys.., t, total, oldest, newest).
 
     Rows first collapse into the cells between the times where some window begins or ends, of which a series has at most
     two per grid point. In order of cells, a window is a stretch of consecutive ones: its total is a difference of two running sums of one sequence (so a window
     of zeros is exactly zero), its newest row that of the last cell entered, its oldest that of the first cell not yet left. Those change only where a cell
     enters or leaves; each stretch of points between two changes unfolds once, into result rows. Nothing is copied to the points it reaches.
+
+    ``span`` may be a column of microseconds that depends on the keys; ``longest`` then bounds it.
     """
     first, last = grid.reach(ts, span)
     at = F.struct(ts, "value")
     cells = (
-        grid.touching(df, ts, span)
+        grid.touching(df, ts, longest or span)
         .withColumns({"_first": first, "_last": last})
         .where("_first <= _last")
         .groupBy(*keys, "_first", "_last")
@@ -124,7 +129,7 @@ def instant_vector(samples: DataFrame, keys: list[str], grid: Grid, lookback="5
 
     Result (keys.., t, value). At equal times the higher value wins.
     """
-    return _trailing(samples, keys, grid, "ts", lookback).select(*keys, "t", F.col("newest.value").alias("value"))
+    return trailing_windows(samples, keys, grid, "ts", lookback).select(*keys, "t", F.col("newest.value").alias("value"))
 
 
 def counter_deltas(samples: DataFrame, keys: list[str], since=None, before=None) -> DataFrame:
@@ -158,7 +163,7 @@ def increase(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes",
     """
     known = samples.where(F.col("ts") <= ntz(grid.end))
     deltas = counter_deltas(known, keys, grid.start - to_timedelta(span), before)
-    return _trailing(deltas, keys, grid, "ts", span, "delta").select(*keys, "t", F.col("total").alias("value"))
+    return trailing_windows(deltas, keys, grid, "ts", span, "delta").select(*keys, "t", F.col("total").alias("value"))
 
 
 def rate(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes", before=None) -> DataFrame:
@@ -169,7 +174,7 @@ def rate(samples: DataFrame, keys: list[str], grid: Grid, span="5 minutes", befo
 
 def growth_per_day(samples: DataFrame, keys: list[str], grid: Grid, span="24 hours") -> DataFrame:
     """Gauge change per day between the first and last sample in the trailing ``span``."""
-    seen = _trailing(samples, keys, grid, "ts", span)
+    seen = trailing_windows(samples, keys, grid, "ts", span)
     seconds = (micros("newest.ts") - micros("oldest.ts")) / F.lit(1e6)
     value = F.when(seconds > 0, (F.col("newest.value") - F.col("oldest.value")) / seconds * 86400)
     return seen.select(*keys, "t", value.alias("value"))
@@ -306,8 +311,10 @@ def down_targets(up: DataFrame, by: list[str], minimum: float = 1.0) -> DataFram
 
 @dataclass(frozen=True)
 class Kpi:
-    """A named number over whole metrics: ``instant``, ``rate``, ``ratio`` (a / b),
-    ``rate_ratio`` (rate a / (rate a + rate b)), ``share`` (a / (a + b)) or ``quantile``."""
+    """A named number over the series of one or two metrics: ``instant``, ``rate``, ``ratio`` (a / b),
+    ``rate_ratio`` (rate a / (rate a + rate b)), ``share`` (a / (a + b)) or ``quantile`` (``scale`` is the quantile).
+
+    ``where`` are labels that the series of ``a`` must have; a missing label counts as empty text."""
 
     name: str
     kind: str
@@ -315,81 +322,102 @@ class Kpi:
     b: str | None = None
     span: str = "5 minutes"
     scale: float = 1.0
+    where: dict[str, str] = field(default_factory=dict)
+
 
+_GATEWAY = {"envoy_http_conn_manager_prefix": "gateway"}
 
 # The report's key figures.
 KPIS = [
     Kpi("blocks_per_second", "rate", "blockscout_indexed_blocks_total"),
-    Kpi("blocks_per_minute", "rate", "blockscout_indexed_blocks_total", scale=60.0),
+    Kpi("blocks_per_minute", "rate", "blocks_indexed_total", scale=60.0),
     Kpi("indexing_lag", "instant", "blockscout_indexing_lag_blocks"),
+    Kpi("indexing_lag_seconds", "instant", "indexing_lag_seconds"),
     Kpi("pool_usage", "ratio", "blockscout_db_connections_active", "blockscout_db_connections_total"),
+    Kpi("connection_usage", "ratio", "pg_stat_activity_count", "pg_settings_max_connections"),
+    Kpi("connection_count", "instant", "pg_stat_database_numbackends"),
     Kpi("response_p95", "quantile", "http_request_duration_seconds_bucket", scale=0.95),
-    Kpi("response_p99", "quantile", "http_request_duration_seconds_bucket", scale=0.99),
     Kpi("request_rate", "rate", "http_requests_total"),
-    Kpi("error_rate", "rate", "http_requests_failed_total"),
     Kpi("commit_rate", "rate", "pg_stat_database_xact_commit"),
+    Kpi("transactions_per_second", "rate", "pg_stat_database_xact_commit", span="1 minute"),
     Kpi("db_cache_hit_ratio", "rate_ratio", "pg_stat_database_blks_hit", "pg_stat_database_blks_read"),
+    Kpi("db_cache_hit_share", "share", "pg_stat_database_blks_hit", "pg_stat_database_blks_read"),
+    Kpi("pg_replication_lag_seconds", "instant", "pg_replication_lag_seconds"),
     Kpi("cache_memory_use", "ratio", "redis_memory_used_bytes", "redis_memory_max_bytes"),
     Kpi("cache_commands_rate", "rate", "redis_commands_processed_total"),
     Kpi("cache_hit_ratio", "rate_ratio", "redis_keyspace_hits_total", "redis_keyspace_misses_total"),
+    Kpi("connected_clients", "instant", "redis_connected_clients"),
     Kpi("packet_forward_rate", "rate", "cilium_forward_count_total"),
     Kpi("packet_drop_rate", "rate", "cilium_drop_count_total"),
-    Kpi("policy_deny_rate", "rate", "policy_denied_total"),
-    Kpi("ready_endpoints", "instant", "endpoints_ready"),
-    Kpi("indexing_lag_seconds", "instant", "indexing_lag_seconds"),
-    Kpi("connection_count", "instant", "pg_stat_database_numbackends"),
-    Kpi("pg_replication_lag_seconds", "instant", "pg_replication_lag_seconds"),
-    Kpi("transactions_per_second", "rate", "pg_stat_database_xact_commit", span="1 minute"),
-    Kpi("db_cache_hit_share", "share", "pg_stat_database_blks_hit", "pg_stat_database_blks_read"),
-    Kpi("connected_clients", "instant", "redis_connected_clients"),
+    Kpi("policy_drop_rate", "rate", "cilium_drop_count_total", where={"reason": "Policy denied"}),
+    Kpi("policy_deny_rate", "rate", "cilium_policy_endpoint_enforcement_outcome", where={"verdict": "denied"}),
+    Kpi("datapath_error_rate", "rate", "cilium_datapath_errors_total"),
+    Kpi("ready_endpoints", "instant", "cilium_endpoint_state", where={"state": "ready"}),
     Kpi("map_pressure", "instant", "cilium_bpf_map_pressure"),
+    Kpi("gateway_request_rate", "rate", "envoy_http_downstream_rq_total", where=_GATEWAY),
+    Kpi("gateway_error_rate", "rate", "envoy_http_downstream_rq_xx", where={**_GATEWAY, "envoy_response_code_class": "5"}),
+    Kpi("gateway_p99", "quantile", "envoy_http_downstream_rq_time_bucket", scale=0.99),
+    Kpi("gateway_p95", "quantile", "envoy_http_downstream_rq_time_bucket", scale=0.95),
+    Kpi("gateway_connections", "instant", "envoy_http_downstream_cx_active"),
+    Kpi("gateway_endpoints", "instant", "cilium_gateway_endpoint_state"),
+    Kpi("gateway_config_updates_rate", "rate", "cilium_gateway_config_updates_total"),
+    Kpi("gateway_listeners_ready", "instant", "cilium_gateway_listener_ready"),
 ]
 
 
-def kpi_report(samples: DataFrame, at, kpis: list[Kpi] | None = None, lookback="5 minutes", span=None) -> DataFrame:
+def kpi_report(samples: DataFrame, at, kpis: list[Kpi] | None = None, lookback="5 minutes", span=None, before=None) -> DataFrame:
     """All key figures at one time: (kpi, value). Series of a metric are summed.
 
-    Gauges take one pass, counters one pass per span; the figures are then expressions
-    over one row of totals.
+    Gauges take one pass, counters one pass per span; the figures are then expressions over one row of sums, each over the
+    series that its labels select. ``before`` as in ``counter_deltas``.
     """
     kpis = kpis or KPIS
     grid = Grid.at(at)
     keyed = samples.withColumn("series", series_key())
-    totals = []
-    gauges = sorted({x for k in kpis if k.kind in ("instant", "ratio", "share") for x in (k.a, k.b) if x})
+
+    def picked(metric: str, where: dict[str, str]) -> Column:
+        conds = [F.coalesce(F.map_from_entries("series")[n], F.lit("")) == v for n, v in where.items()]
+        return reduce(lambda x, y: x & y, conds, F.col("metric") == metric)
+
+    def sums(vector: DataFrame, of: list[Kpi], factor: float) -> DataFrame:
+        """One row (kpi.a, kpi.b, ..) of the sums that the figures need."""
+        parts = [(f"{k.name}.{side}", picked(metric, k.where if side == "a" else {})) for k in of for side, metric in (("a", k.a), ("b", k.b)) if metric]
+        return vector.agg(*[(F.sum(F.when(cond, F.col("value"))) * factor).alias(name) for name, cond in parts])
+
+    rows = []
+    gauges = [k for k in kpis if k.kind in ("instant", "ratio", "share")]
     if gauges:
-        now = instant_vector(keyed.where(F.col("metric").isin(*gauges)), ["metric", "series"], grid, lookback)
-        totals.append(now.groupBy("metric").agg(F.sum("value").alias("v")).withColumn("kind", F.lit("i")))
+        names = sorted({x for k in gauges for x in (k.a, k.b) if x})
+        now = instant_vector(keyed.where(F.col("metric").isin(*names)), ["metric", "series"], grid, lookback)
+        rows.append(sums(now, gauges, 1.0))
     counted = [k for k in kpis if k.kind in ("rate", "rate_ratio", "quantile")]
     for s in sorted({span or k.span for k in counted}):
         here = [k for k in counted if (span or k.span) == s]
-        wanted = sorted({x for k in here for x in (k.a, k.b) if x})
+        names = sorted({x for k in here for x in (k.a, k.b) if x})
         # one ordered pass for all counters of a span; the result has a row per series
-        grown = cut(increase(keyed.where(F.col("metric").isin(*wanted)), ["metric", "series"], grid, s))
-        seconds = to_micros(s) / SECOND
-        per_metric = grown.groupBy("metric").agg((F.sum("value") / F.lit(seconds)).alias("v"))
-        totals.append(per_metric.withColumn("kind", F.lit(s)))
+        grown = cut(increase(keyed.where(F.col("metric").isin(*names)), ["metric", "series"], grid, s, before))
+        rates = [k for k in here if k.kind != "quantile"]
+        if rates:
+            rows.append(sums(grown, rates, SECOND / to_micros(s)))
         for k in here:
             if k.kind == "quantile":
                 le = F.map_from_entries("series")["le"]
                 bound = F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.try_cast("double"))
-                buckets = grown.where(F.col("metric") == k.a).select(bound.alias("le"), F.col("value").alias("count"))
-                value = histogram_quantile(k.scale, buckets)
-                totals.append(value.select(F.lit(k.name).alias("metric"), F.col("value").alias("v"), F.lit("q").alias("kind")))
-    stacked = reduce(DataFrame.unionByName, totals)
-
-    def total(metric, kind):
-        return F.max(F.when((F.col("metric") == metric) & (F.col("kind") == kind), F.col("v")))
+                buckets = grown.where(picked(k.a, k.where)).select(bound.alias("le"), F.col("value").alias("count"))
+                rows.append(histogram_quantile(k.scale, buckets).agg(F.max("value").alias(f"{k.name}.a")))
+    # each is one row
+    together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    row = together.agg(*[F.max(f"`{c}`").alias(c) for c in together.columns])
 
     def figure(k: Kpi) -> Column:
+        a = F.col(f"`{k.name}.a`")
         if k.kind == "quantile":
-            return total(k.name, "q")
-        kind = (span or k.span) if k.kind in ("rate", "rate_ratio") else "i"
-        a, b = total(k.a, kind), total(k.b, kind) if k.b else None
+            return a
         if k.kind in ("instant", "rate"):
             return a * k.scale
+        b = F.col(f"`{k.name}.b`")
         below = b if k.kind == "ratio" else a + b
         return F.when(below != 0, a / below)
 
-    row = stacked.agg(*[figure(k).cast("double").alias(k.name) for k in kpis])
-    return row.unpivot([], [k.name for k in kpis], "kpi", "value")
+    out = row.select(*[figure(k).cast("double").alias(k.name) for k in kpis])
+    return out.unpivot([], [k.name for k in kpis], "kpi", "value")

@@ -46,34 +46,42 @@ def states(spark, sf):
     return out.select("instance", "job", "t", "value", "state", "since")
 
 
-# Rule samples: each event is a sample of one rule metric, scaled to straddle its threshold.
+# Rule samples: each event is a sample of one rule metric, scaled to straddle its threshold. Two instances have three
+# sets of labels each: those the matchers look for, others (a second job, pod, database), and some that are missing.
+_N = len(al.METRICS)
 _RULE_VALUE = {
-    "up": "(event_id // 27) % 2", "redis_up": "(event_id // 27) % 2", "cnpg_pg_cluster_last_backup_succeeded": "(event_id // 27) % 2",
-    "kube_deployment_status_replicas_available": "(event_id // 27) % 3", "pg_database_size_bytes": "value * 1e10",
+    "up": f"(event_id // {_N}) % 2", "redis_up": f"(event_id // {_N}) % 2", "cnpg_pg_cluster_last_backup_succeeded": f"(event_id // {_N}) % 2",
+    "kube_deployment_status_replicas_available": f"(event_id // {_N}) % 3", "pg_database_size_bytes": "value * 1e10",
     "kubelet_volume_stats_capacity_bytes": "value * 1e10", "pg_stat_user_tables_last_autovacuum": "1704067200 + value * 20000",
     "cnpg_pg_cluster_last_backup_timestamp": "1704067200 + value * 20000", "pg_partman_maintenance_last_run_seconds_since_maintenance": "value * 100",
     "pg_partman_default_partition_rows_default_rows": "value * 200", "http_requests_per_second": "value * 20",
     "cpu_utilization": "value / 50", "response_seconds": "value / 50",
 }
+_LABELS = {
+    "job": ("'indexer-postgresql'", "'node-exporter'", "NULL"),
+    "pod": ("'indexer-backend-0'", "'indexer-backend-1'", "'indexer-frontend-0'"),
+    "deployment": ("'indexer-backend'", "'indexer-frontend'", "NULL"),
+    "datname": ("'blockscout'", "'postgres'", "'blockscout'"),
+    "schemaname": ("'public'", "'public'", "NULL"),
+    "relname": ("'blocks'", "'transactions'", "'my_logs'"),
+    "persistentvolumeclaim": ("'indexer-postgresql-1'", "'other-0'", "'indexer-postgresql-2'"),
+    "parent_table": ("'table_0'", "'table_1'", "NULL"),
+}
 
 
 def _rule_samples_sql(spark_side: bool) -> str:
-    n = len(al.METRICS)
     metric = "".join(f" WHEN {i} THEN '{name}'" for i, name in enumerate(al.METRICS))
     value = "".join(f" WHEN {al.METRICS.index(k)} THEN CAST({v} AS DOUBLE)" for k, v in _RULE_VALUE.items())
-    text = f"""SELECT CASE event_id % {n} {metric} END AS metric, CAST(user_id % 3 AS STRING) AS instance,
-      CASE user_id % 3 WHEN 0 THEN 'blocks' WHEN 1 THEN 'transactions' ELSE 'logs' END AS relname,
-      concat('table_', CAST(user_id % 3 AS STRING)) AS parent_table, ts,
-      CASE event_id % {n} {value} ELSE value END AS value FROM {{events}}"""
-    return text.replace("(event_id // 27)", "(event_id div 27)").replace("e10", "e10D") if spark_side else text
+    labels = "".join(f" CASE user_id % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END AS {n}," for n, (a, b, c) in _LABELS.items())
+    text = f"""SELECT CASE event_id % {_N} {metric} END AS metric, CAST(user_id // 3 % 2 AS STRING) AS instance, {labels}
+      user_id % 3 AS v, ts, CASE event_id % {_N} {value} ELSE value END AS value FROM {{events}}"""
+    return text.replace("//", "div").replace("e10", "e10D") if spark_side else text
 
 
 def rule_samples(spark, sf):
     s = sql_frame(spark, sf, _rule_samples_sql(True), "events")
-    names = ["instance", "relname", "parent_table"]
-    entries = [x for n in names for x in (F.lit(n), F.col(n))]
-    labels = F.create_map(*entries, F.lit("datname"), F.lit("chain"))
-    return s.select("metric", labels.alias("labels"), "ts", "value")
+    entries = [x for n in ("instance", *_LABELS) for x in (F.lit(n), F.col(n))]
+    return s.select("metric", F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull()).alias("labels"), "ts", "value")
 
 
 # The samples lie hours apart, so spans and durations are stretched alike.
@@ -81,50 +89,59 @@ STRETCH = 72
 
 
 def stretched(rules):
-    return [
-        replace(r, hold_for=r.hold_for * STRETCH, span="5 days" if r.span == "5 minutes" else r.span) for r in rules
-    ]
+    wide = lambda t: replace(t, span="5 days") if t.fn == "rate" else t
+    return [replace(r, hold_for=r.hold_for * STRETCH, terms=tuple(wide(t) for t in r.terms)) for r in rules]
 
 
+# A series is a metric with its labels, which the instance and v give.
 _R = "(" + _rule_samples_sql(False).format(events="events") + ")"
-_INST = f"""(SELECT k.metric, k.instance, g.t, s.value FROM (SELECT DISTINCT metric, instance FROM {_R} x) k CROSS JOIN {_GRID} g
-  ASOF JOIN {_R} s ON s.metric = k.metric AND s.instance = k.instance AND g.t >= s.ts
+_INST = f"""(SELECT k.metric, k.instance, k.v, g.t, s.value FROM (SELECT DISTINCT metric, instance, v FROM {_R} x) k CROSS JOIN {_GRID} g
+  ASOF JOIN {_R} s ON s.metric = k.metric AND s.instance = k.instance AND s.v = k.v AND g.t >= s.ts
   WHERE epoch_us(g.t) - epoch_us(s.ts) < 86400000000)"""
-_RATES = f"""(SELECT metric, instance, t, sum(d) / 432000 AS value FROM {_GRID} g JOIN (
-    SELECT metric, instance, ts, CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END AS d
-    FROM (SELECT *, lag(value) OVER (PARTITION BY metric, instance ORDER BY ts) AS p FROM {_R} s) x) d
-  ON d.ts <= g.t AND d.ts > g.t - INTERVAL 120 HOUR GROUP BY 1, 2, 3)"""
-_GROWTH = f"""(SELECT metric, instance, t, CASE WHEN max(ts) > min(ts) THEN (arg_max(value, ts) - arg_min(value, ts))
+_RATES = f"""(SELECT metric, instance, v, t, sum(d) / 432000 AS value FROM {_GRID} g JOIN (
+    SELECT metric, instance, v, ts, CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END AS d
+    FROM (SELECT *, lag(value) OVER (PARTITION BY metric, instance, v ORDER BY ts) AS p FROM {_R} s) x) d
+  ON d.ts <= g.t AND d.ts > g.t - INTERVAL 120 HOUR GROUP BY 1, 2, 3, 4)"""
+_GROWTH = f"""(SELECT metric, instance, v, t, CASE WHEN max(ts) > min(ts) THEN (arg_max(value, ts) - arg_min(value, ts))
     / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) * 86400 END AS value
-  FROM {_GRID} g JOIN {_R} s ON s.ts <= g.t AND s.ts > g.t - INTERVAL 24 HOUR GROUP BY 1, 2, 3)"""
+  FROM {_GRID} g JOIN {_R} s ON s.ts <= g.t AND s.ts > g.t - INTERVAL 24 HOUR GROUP BY 1, 2, 3, 4)"""
+_SETS = "(SELECT DISTINCT v, " + ", ".join(_LABELS) + f" FROM {_R} x)"
 
 
-def _one(metric, cond, source="inst", value="value"):
-    return f"SELECT instance, t, {value} AS value FROM {source} WHERE metric = '{metric}' AND {value} {cond}"
+def _one(metric, cond, source="inst", value="value", match="TRUE"):
+    return f"SELECT instance, v, t, {value} AS value, NULL AS claim FROM {source} JOIN sets USING (v) WHERE metric = '{metric}' AND {value} {cond} AND {match}"
 
 
-def _two(a, op, b, cond, source="inst"):
-    return f"SELECT instance, t, a.value {op} b.value AS value FROM {source} a JOIN {source} b USING (instance, t) WHERE a.metric = '{a}' AND b.metric = '{b}' AND a.value {op} b.value {cond}"
+def _two(a, op, b, cond, match="TRUE"):
+    return f"""SELECT instance, v, t, a.value {op} b.value AS value, NULL AS claim FROM inst a JOIN inst b USING (instance, v, t) JOIN sets USING (v)
+      WHERE a.metric = '{a}' AND b.metric = '{b}' AND a.value {op} b.value {cond} AND {match}"""
 
 
 def _avg(metric, cond, fn="avg"):
-    return f"SELECT NULL AS instance, t, {fn}(value) AS value FROM inst WHERE metric = '{metric}' GROUP BY t HAVING {fn}(value) {cond}"
+    return f"SELECT NULL AS instance, NULL AS v, t, {fn}(value) AS value, NULL AS claim FROM inst WHERE metric = '{metric}' GROUP BY t HAVING {fn}(value) {cond}"
 
 
 _AGE = "epoch_us(t) / 1e6 - value"
-_SHARE = """SELECT instance, t, a.value / (a.value + b.value) AS value FROM rates a JOIN rates b USING (instance, t)
+_POD = "regexp_full_match(coalesce(pod, ''), 'indexer-backend-.*')"
+_SHARE = """SELECT instance, v, t, a.value / (a.value + b.value) AS value, NULL AS claim FROM rates a JOIN rates b USING (instance, v, t)
   WHERE a.metric = 'redis_keyspace_hits_total' AND b.metric = 'redis_keyspace_misses_total' AND a.value / (a.value + b.value) < 0.7"""
+_STORAGE = """SELECT a.instance, a.v, a.t, a.value / b.value AS value, claim FROM inst a JOIN sets USING (v) JOIN (
+    SELECT instance, t, max(value) AS value, arg_max(persistentvolumeclaim, value) AS claim FROM inst JOIN sets USING (v)
+    WHERE metric = 'kubelet_volume_stats_capacity_bytes' AND regexp_full_match(coalesce(persistentvolumeclaim, ''), 'indexer-postgresql.*') GROUP BY 1, 2) b
+  USING (instance, t) WHERE a.metric = 'pg_database_size_bytes' AND datname = 'blockscout' AND a.value / b.value > 0.8"""
 _RULE_SQL = {
     "BlockchainIndexingLag": _two("latest_block_number", "-", "indexed_block_number", "> 100"),
-    "BackendPodsDown": _one("kube_deployment_status_replicas_available", "< 1"),
-    "BackendHighCPU": _one("container_cpu_usage_seconds_total", "> 0.8", "rates"),
-    "BackendHighMemory": _two("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes", "> 0.85"),
-    "PostgreSQLDown": _one("up", "= 0"),
+    "BackendPodsDown": _one("kube_deployment_status_replicas_available", "< 1", match="deployment = 'indexer-backend'"),
+    "BackendHighCPU": _one("container_cpu_usage_seconds_total", "> 0.8", "rates", match=_POD),
+    "BackendHighMemory": _two("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes", "> 0.85", _POD),
+    "PostgreSQLDown": _one("up", "= 0", match="job = 'indexer-postgresql'"),
     "PostgreSQLReplicationLag": _one("pg_replication_lag_seconds", "> 300"),
     "RedisDown": _one("redis_up", "= 0"),
-    "DatabaseGrowthRateHigh": _one("pg_database_size_bytes", "> 107374182400", "growth"),
-    "DatabaseStorageHigh": _two("pg_database_size_bytes", "/", "kubelet_volume_stats_capacity_bytes", "> 0.8"),
-    "DatabaseVacuumDelayed": _one("pg_stat_user_tables_last_autovacuum", "> 86400", value=_AGE),
+    "DatabaseGrowthRateHigh": _one("pg_database_size_bytes", "> 107374182400", "growth", match="datname = 'blockscout'"),
+    "DatabaseStorageHigh": _STORAGE,
+    "DatabaseVacuumDelayed": _one(
+        "pg_stat_user_tables_last_autovacuum", "> 86400", value=_AGE, match="datname = 'blockscout' AND schemaname = 'public' AND relname IN ('blocks', 'transactions', 'logs')"
+    ),
     "PartmanMaintenanceNotRunning": _avg("pg_partman_maintenance_last_run_seconds_since_maintenance", "> 7200", "max"),
     "PartmanDefaultPartitionDataAccumulating": _one("pg_partman_default_partition_rows_default_rows", "> 10000"),
     "PartmanLowPartitionCount": _one("pg_partman_partition_count", "< 30"),
@@ -136,60 +153,54 @@ _RULE_SQL = {
     "PostgreSQLBackupFailed": _one("cnpg_pg_cluster_last_backup_succeeded", "= 0"),
     "ScaleOnLag": _one("blockscout_indexing_lag_blocks", "> 100"),
     "ScaleOnCPU": _one("cpu_utilization", "> 0.8"),
-    "ScaleOnMemory": _two("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes", "> 0.85"),
+    "ScaleOnMemory": _two("container_memory_usage_bytes", "/", "container_spec_memory_limit_bytes", "> 0.85", _POD),
     "ScaleOnResponseTime": _one("response_seconds", "> 1"),
     "ScaleOnPodLag": _avg("indexing_lag_seconds", "> 30"),
     "ScaleOnPodRequests": _avg("http_requests_per_second", "> 1000"),
 }
 _FOR = {r.name: (r.hold_for * STRETCH).total_seconds() for r in al.RULES}
+_WITH = f"WITH inst AS {_INST}, rates AS {_RATES}, growth AS {_GROWTH}, sets AS {_SETS}"
 
 
 def _rules_sql(names) -> str:
+    """A volume that grows past another changes the alert's labels, so the claim is part of the series."""
     active = " UNION ALL ".join(f"SELECT '{n}' AS alertname, {_FOR[n]} AS f, * FROM ({_RULE_SQL[n]}) q" for n in names)
-    return f"""WITH inst AS {_INST}, rates AS {_RATES}, growth AS {_GROWTH}, active AS ({active})
-      SELECT alertname, instance, t, round(value, 4) AS value, state, since FROM {islands_sql('active', 'alertname, instance', 'f')} x"""
-
+    return f"""{_WITH}, active AS ({active})
+      SELECT alertname, instance, job, pod, coalesce(claim, persistentvolumeclaim) AS persistentvolumeclaim, t, round(value, 4) AS value, state, since
+      FROM {islands_sql('active', 'alertname, instance, v, claim', 'f')} x LEFT JOIN sets USING (v)"""
 
-def _shown(df):
-    # the instance label is shown whatever label carries the series
-    return df.withColumn("value", F.round("value", 4))
 
-
-def _instance():
-    labels = F.col("labels")
-    return F.coalesce(labels["instance"], F.substring_index(labels["parent_table"], "_", -1)).alias("instance")
+def _labels(*names):
+    return [F.col("labels")[n].alias(n) for n in names]
 
 
 @query("l03_run_rules", _rules_sql(_RULE_SQL))
 def all_rules(spark, sf):
     states = al.run_rules(rule_samples(spark, sf), stretched(al.RULES), grid(spark, sf), "24 hours")
-    return _shown(states.select("alertname", _instance(), "t", "value", "state", "since"))
+    return states.select("alertname", *_labels("instance", "job", "pod", "persistentvolumeclaim"), "t", F.round("value", 4).alias("value"), "state", "since")
 
 
 @query(
     "l01_evaluate_rule",
-    f"WITH inst AS {_INST}, rates AS {_RATES} SELECT instance, t, round(value, 6) AS value FROM ({_RULE_SQL['RedisCacheHitRatioLow']}) q",
+    f"{_WITH} SELECT instance, job, pod, t, round(value, 6) AS value FROM ({_RULE_SQL['RedisCacheHitRatioLow']}) q JOIN sets USING (v)",
 )
 def one_rule(spark, sf):
     rule = next(r for r in stretched(al.RULES) if r.name == "RedisCacheHitRatioLow")
-    signals = al.Signals(rule_samples(spark, sf), grid(spark, sf), "24 hours")
-    return al.evaluate_rule(signals, rule).withColumn("value", F.round("value", 6))
+    signals = al.Signals(rule_samples(spark, sf), grid(spark, sf), "24 hours", [rule])
+    return al.evaluate_rule(signals, rule).select(*_labels("instance", "job", "pod"), "t", F.round("value", 6).alias("value"))
 
 
 @query(
     "l02_firing_alerts",
-    f"""WITH inst AS {_INST}, active AS (SELECT * FROM ({_RULE_SQL['BackendHighMemory']}) q)
-        SELECT instance, t, state, since, 'warning' AS severity, 'backend' AS component, 'Backend high memory usage' AS summary,
+    f"""{_WITH}, active AS (SELECT * FROM ({_RULE_SQL['BackendHighMemory']}) q)
+        SELECT instance, pod, t, state, since, 'warning' AS severity, 'backend' AS component, 'Backend high memory usage' AS summary,
                concat('Backend memory usage is ', CASE WHEN value * 100 < 10000 THEN format('{{:.4g}}', value * 100) ELSE format('{{:.4g}}', value * 100) END, '%') AS description
-        FROM {islands_sql('active', 'instance', str(_FOR['BackendHighMemory']))} x WHERE state = 'firing'""",
+        FROM {islands_sql('active', 'instance, v', str(_FOR['BackendHighMemory']))} x JOIN sets USING (v) WHERE state = 'firing'""",
 )
 def firing(spark, sf):
     rule = next(r for r in stretched(al.RULES) if r.name == "BackendHighMemory")
-    signals = al.Signals(rule_samples(spark, sf), grid(spark, sf), "24 hours", al.METRICS)
-    found = al.firing_alerts(signals, rule).where("state = 'firing'")
-    return found.select(
-        F.col("labels")["instance"].alias("instance"), "t", "state", "since", "severity", "component", "summary", "description"
-    )
+    found = al.firing_alerts(al.Signals(rule_samples(spark, sf), grid(spark, sf), "24 hours", [rule])).where("state = 'firing'")
+    return found.select(*_labels("instance", "pod"), "t", "state", "since", "severity", "component", "summary", "description")
 
 
 _ROUTES = al.Route(

@@ -197,43 +197,61 @@ def down(spark, sf):
     return m.down_targets(up, ["job"], 0.5).withColumn("availability", F.round("availability", 6))
 
 
-# Key-figure samples: each event is a sample of one of the metrics the report reads.
+# Key-figure samples: each event is a sample of one of the metrics the report reads. Series of half the users have the labels
+# that the figures select, some have others, and some lack them.
 _KPI_METRICS = sorted({x for k in m.KPIS for x in (k.a, k.b) if x})
+_KPI_LABELS = {n: v for k in m.KPIS for n, v in k.where.items()}
 _KPI_SQL = (
     "SELECT CASE event_id % " + str(len(_KPI_METRICS))
     + "".join(f" WHEN {i} THEN '{n}'" for i, n in enumerate(_KPI_METRICS))
     + " END AS metric, CAST(user_id % 3 AS STRING) AS instance, "
-    "CASE user_id % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '1.0' WHEN 2 THEN '5.0' ELSE '+Inf' END AS le, ts, value FROM {events}"
+    + "".join(f"CASE user_id % 4 WHEN 2 THEN 'other' WHEN 3 THEN NULL ELSE '{v}' END AS {n}, " for n, v in _KPI_LABELS.items())
+    + "CASE user_id % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '1.0' WHEN 2 THEN '5.0' ELSE '+Inf' END AS le, ts, value FROM {events}"
 )
 _K = "(" + _KPI_SQL.format(events="events") + ")"
 
 
 def _kpi_sql() -> str:
-    inst = f"""(SELECT metric, sum(v) AS v FROM (SELECT metric, instance, le, arg_max(value, ts) AS v FROM {_K} k
-      WHERE ts <= {_NOW} AND ts > {_NOW} - INTERVAL 24 HOUR GROUP BY 1, 2, 3) x GROUP BY 1)"""
-    inc = f"""(SELECT metric, instance, le, sum(d) AS d FROM (SELECT metric, instance, le, ts,
+    some = ", ".join(_KPI_LABELS)  # le tells the sets of labels apart
+    inst = f"""(SELECT metric, {some}, arg_max(value, ts) AS v FROM {_K} k
+      WHERE ts <= {_NOW} AND ts > {_NOW} - INTERVAL 24 HOUR GROUP BY metric, instance, le, {some})"""
+    inc = f"""(SELECT metric, instance, le, {some}, sum(d) AS d FROM (SELECT metric, instance, le, {some}, ts,
         CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END AS d
         FROM (SELECT *, lag(value) OVER (PARTITION BY metric, instance, le ORDER BY ts) AS p FROM {_K} k) y) z
-      WHERE ts > {_NOW} - INTERVAL 120 HOUR GROUP BY 1, 2, 3)"""
-    rate = f"(SELECT metric, sum(d) / 432000 AS v FROM {inc} i GROUP BY 1)"
-    buckets = f"""(SELECT CASE WHEN le = '+Inf' THEN 'Infinity'::DOUBLE ELSE CAST(le AS DOUBLE) END AS le, d AS "count" FROM {inc} i
-      WHERE metric = 'http_request_duration_seconds_bucket')"""
+      WHERE ts > {_NOW} - INTERVAL 120 HOUR GROUP BY metric, instance, le, {some})"""
     def one(k):
-        pick = lambda t, n: f"(SELECT v FROM {t} t WHERE metric = '{n}')"
+        source, value = (inc, "sum(d) / 432000") if k.kind in ("rate", "rate_ratio") else (inst, "sum(v)")
+        match = " AND ".join(["TRUE", *(f"{n} = '{v}'" for n, v in k.where.items())])
+        a, b = f"(SELECT {value} FROM {source} t WHERE metric = '{k.a}' AND {match})", f"(SELECT {value} FROM {source} t WHERE metric = '{k.b}')"
         if k.kind == "quantile":
+            buckets = f"""(SELECT CASE WHEN le = '+Inf' THEN 'Infinity'::DOUBLE ELSE CAST(le AS DOUBLE) END AS le, d AS "count" FROM {inc} i WHERE metric = '{k.a}')"""
             return f"(SELECT value FROM {quantile_sql(k.scale, buckets, None)} q)"
-        source = rate if k.kind in ("rate", "rate_ratio") else inst
         if k.kind in ("rate", "instant"):
-            return f"{pick(source, k.a)} * {k.scale}"
-        below = pick(source, k.b) if k.kind == "ratio" else f"({pick(source, k.a)} + {pick(source, k.b)})"
-        return f"{pick(source, k.a)} / {below}"
+            return f"{a} * {k.scale}"
+        return f"{a} / {b if k.kind == 'ratio' else f'({a} + {b})'}"
     return " UNION ALL ".join(f"SELECT '{k.name}' AS kpi, round({one(k)}, 9) AS value" for k in m.KPIS)
 
 
 @query("l09_kpi_report", _kpi_sql())
 def kpis(spark, sf):
     s = sql_frame(spark, sf, _KPI_SQL, "events")
-    labels = F.create_map(F.lit("instance"), F.col("instance"), F.lit("le"), F.col("le"))
+    entries = [x for n in ("instance", "le", *_KPI_LABELS) for x in (F.lit(n), F.col(n))]
+    labels = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
     s = s.select("metric", labels.alias("labels"), "ts", "value")
     report = m.kpi_report(s, now_of(spark, sf, "events"), lookback="24 hours", span="120 hours")
     return report.withColumn("value", F.round("value", 9))
+
+
+# As w01_rate, with the value before the span looked for in two days only, so that the scan has a lower bound in time.
+_FROM = f"{_NOW} - INTERVAL 20 DAY - INTERVAL 10 HOUR"
+_NEAR = f"""(SELECT metric, instance, job, ts, CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END AS d
+  FROM (SELECT *, lag(value) OVER (PARTITION BY metric, instance, job ORDER BY ts) AS p FROM {_S} s WHERE ts > {_FROM} - INTERVAL 2 DAY) x)"""
+
+
+@query(
+    "w01_rate_recent",
+    f"""SELECT metric, instance, job, t, round(sum(d) / 36000, 9) AS value FROM {_GRID} g JOIN {_NEAR} d
+        ON d.ts <= g.t AND d.ts > g.t - INTERVAL 10 HOUR GROUP BY 1, 2, 3, 4""",
+)
+def recent_rates(spark, sf):
+    return m.rate(samples(spark, sf), KEYS, grid(spark, sf), "10 hours", before="2 days").withColumn("value", F.round("value", 9))

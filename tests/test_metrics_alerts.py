@@ -137,7 +137,8 @@ def test_notifications(spark):
 
 
 def test_rules_end_to_end(spark):
-    data = [("up", {"instance": "db-0"}, t(i), 1.0 if i < 3 or i > 6 else 0.0) for i in range(10)]
+    data = [("up", {"instance": "db-0", "job": "indexer-postgresql"}, t(i), 1.0 if i < 3 or i > 6 else 0.0) for i in range(10)]
+    data += [("up", {"instance": "db-0", **job}, t(i), 0.0) for i in range(10) for job in ({"job": "node-exporter"}, {})]  # others raise nothing
     s = spark.createDataFrame(data, "metric string, labels map<string,string>, ts timestamp_ntz, value double")
     out = al.run_rules(s, al.RULES, m.Grid.over(t(0), t(9), "1 minute"), "2 minutes")
     got = [(r["t"], r["state"], r["severity"], r["description"]) for r in out.orderBy("t").collect()]
@@ -183,3 +184,78 @@ def test_series_without_the_label_meet(spark):
     side = lambda v: spark.createDataFrame([(None, 1, v), ("x", 1, v)], "job string, t int, value double")
     got = m.vector_op(side(6.0), side(2.0), "/", ["job"]).collect()
     assert sorted((r["job"], r["value"]) for r in got) == [("", 3.0), ("x", 3.0)]
+
+
+SAMPLES = "metric string, labels map<string,string>, ts timestamp_ntz, value double"
+
+
+def test_alerts_keep_all_labels(spark):
+    pods = [{"instance": "n1", "pod": f"chain-backend-{i}"} for i in (0, 1)] + [{"instance": "n1", "pod": "chain-frontend-0"}, {"instance": "n1"}]
+    data = [(metric, labels, t(i), v) for i in range(8) for labels in pods for metric, v in (("container_memory_usage_bytes", 95.0), ("container_spec_memory_limit_bytes", 100.0))]
+    data += [("pg_database_size_bytes", {"instance": "n1", "datname": "blockscout"}, t(i), 90.0) for i in range(8)]
+    data += [("kubelet_volume_stats_capacity_bytes", {"instance": "n1", "persistentvolumeclaim": c}, t(i), v) for i in range(8) for c, v in (("chain-postgresql-1", 100.0), ("chain-postgresql-2", 60.0), ("other", 1e9))]
+    s = spark.createDataFrame(data, SAMPLES)
+    out = al.run_rules(s, al.rules("chain"), m.Grid.over(t(0), t(7), "1 minute"), "2 minutes")
+    got = out.where("t = timestamp_ntz'2024-01-01 00:07:00'").collect()
+    assert out.groupBy("alertname", "series", "t").count().where("count > 1").count() == 0
+    assert sorted((r["alertname"], r["labels"].get("pod"), r["state"]) for r in got) == [
+        ("BackendHighMemory", "chain-backend-0", "firing"), ("BackendHighMemory", "chain-backend-1", "firing"), ("DatabaseStorageHigh", None, "pending"),
+        ("ScaleOnMemory", "chain-backend-0", "firing"), ("ScaleOnMemory", "chain-backend-1", "firing"),
+    ]
+    storage = next(r for r in got if r["alertname"] == "DatabaseStorageHigh")
+    assert storage["value"] == pytest.approx(0.9) and storage["description"] == "Current: 90% PVC: chain-postgresql-1"
+
+
+def test_stalled_counter_is_exactly_zero(spark):
+    # large and uneven increases before the stall must leave no rest in the differences
+    data = [("blockscout_indexed_blocks_total", {"instance": "a"}, t(i), 1e15 + i * 0.1 if i < 20 else 1e15 + 2.0) for i in range(60)]
+    out = al.run_rules(spark.createDataFrame(data, SAMPLES), al.RULES, m.Grid.over(t(0), t(59), "30 seconds"), "2 minutes")
+    assert out.where("alertname = 'IndexerStalled' and state = 'firing'").agg(F.min("t")).first()[0] == t(35)
+
+
+def test_trailing_windows_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    points = [(rng.choice("ab"), rng.randint(0, 400) / 4, float(rng.randint(0, 30))) for _ in range(150)] + [("hot", i / 8, float(i % 50)) for i in range(800)]
+    s = spark.createDataFrame([(k, t(x), v) for k, x, v in points], "k string, ts timestamp_ntz, value double")
+    grid, span = m.Grid.over(t(10), t(90), "3 minutes"), 10
+    series_of = {}
+    for k, x, v in points:
+        at = series_of.setdefault(k, {})
+        at[x] = max(v, at.get(x, v))
+    inc, grow, now = {}, {}, {}
+    for k, at in series_of.items():
+        xs = sorted(at)
+        delta = {x: 0.0 if i == 0 else at[x] - at[xs[i - 1]] if at[x] >= at[xs[i - 1]] else at[x] for i, x in enumerate(xs)}
+        for g in range(10, 91, 3):
+            seen = [x for x in xs if g - span < x <= g]
+            if seen:
+                inc[k, t(g)], now[k, t(g)] = sum(delta[x] for x in seen), at[seen[-1]]
+                first = min(v for kk, x, v in points if kk == k and x == seen[0])
+                grow[k, t(g)] = (at[seen[-1]] - first) / (seen[-1] - seen[0]) * 1440 if len(seen) > 1 else None
+    for got, want in ((m.increase(s, ["k"], grid, "10 minutes"), inc), (m.growth_per_day(s, ["k"], grid, "10 minutes"), grow), (m.instant_vector(s, ["k"], grid, "10 minutes"), now)):
+        found = {(r["k"], r["t"]): r["value"] for r in got.collect()}
+        assert found.keys() == want.keys()
+        assert all(found[x] == want[x] or found[x] == pytest.approx(want[x]) for x in want)
+    bounded = m.increase(s, ["k"], grid, "10 minutes", before="5 minutes")
+    assert bounded.count() == len(inc)
+
+
+def test_bounded_look_back(spark, tmp_path):
+    s = series(spark, [(i, i) for i in range(100)])
+    s.write.parquet(str(tmp_path / "s"))
+    read = spark.read.parquet(str(tmp_path / "s"))
+    deltas = m.counter_deltas(read, ["k"], t(80), "5 minutes")
+    # the samples after the start, and the newest one before it
+    assert deltas.count() == 20 and deltas.agg(F.sum("delta")).first()[0] == 19
+    gap = m.counter_deltas(read.where(~F.col("value").between(60, 80)), ["k"], t(80), "5 minutes")
+    assert gap.count() == 19 and gap.agg(F.sum("delta")).first()[0] == 18  # the one 21 minutes before is not looked for
+
+
+def test_kpi_labels(spark):
+    data = [("cilium_endpoint_state", {"state": "ready", "node": n}, t(4), 3.0) for n in "ab"] + [("cilium_endpoint_state", {"state": "waiting"}, t(4), 9.0), ("cilium_endpoint_state", {"node": "c"}, t(4), 9.0)]
+    data += [("cilium_drop_count_total", {"reason": r}, t(i), float(i * v)) for i in (1, 4) for r, v in (("Policy denied", 10), ("Stale", 20))]
+    got = {r["kpi"]: r["value"] for r in m.kpi_report(spark.createDataFrame(data, SAMPLES), t(5)).collect()}
+    assert got["ready_endpoints"] == 6 and got["policy_drop_rate"] == pytest.approx(0.1) and got["packet_drop_rate"] == pytest.approx(0.3)
+    assert len(got) == len(m.KPIS) and got["gateway_p99"] is None
