@@ -1,5 +1,6 @@
 """Streams over several micro-batches give the batch result."""
 
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -136,23 +137,27 @@ def test_pending_join_matches_batch(spark, landed, data):
 
 
 def test_live_alerts_match_batch(spark):
-    flags = [True, True, True, False, True, True, None, None, None, None, True, True, True]
-    evals = [("s", t(i), f) for i, f in enumerate(flags) if f is not None] + [("other", t(60), False)]
-    path = scratch_path(spark, "t-evals")
-    for part in (evals[:4], evals[4:6], evals[6:]):
-        spark.createDataFrame(part, "series string, t timestamp, on boolean").coalesce(1).write.mode("append").parquet(path)
+    rng = random.Random(6)
+    evals = [(name, t(i), rng.random() < share) for name, share in (("a", 0.8), ("b", 0.5), ("c", 0.97)) for i in range(80) if rng.random() < 0.93]
+    evals += [("gone", t(i), True) for i in range(10)] + [("other", t(200), False)]
+    late = sorted(evals, key=lambda e: (e[1] + timedelta(minutes=rng.randint(0, 8)), rng.random()))  # out of order, inside the watermark
+    path, n = scratch_path(spark, "t-evals"), len(late) // 5
+    for i in range(0, len(late), n):
+        spark.createDataFrame(late[i : i + n], "series string, t timestamp, on boolean").coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
     before = alerts.use_rocksdb(spark)
     try:
         live = sinks.read_files(spark, path, "series string, t timestamp, on boolean", 1)
-        out = run(spark, alerts.stream_alerts(live, "series", "on", "2 minutes", "1 minute", "3 minutes", "1 minute"))
-        got = out.where("series = 's' AND state <> 'resolved'").select("t", "state").collect()
-        gone = [r["t"] for r in out.where("state = 'resolved'").orderBy("t").collect()]
+        out = run(spark, alerts.stream_alerts(live, "series", "on", "2 minutes", "1 minute", "3 minutes", "10 minutes")).where("series <> 'other'").collect()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set(
             "spark.sql.streaming.stateStore.providerClass", before
         )
-    batch = spark.createDataFrame(evals, "series string, t timestamp_ntz, on boolean").where("series = 's'")
-    want = al.alert_state(batch, ["series"], "on", 120, "1 minute").select("t", "state").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
-    assert t(15) in gone  # silent after minute 12, three minutes allowed
+    batch = spark.createDataFrame(evals, "series string, t timestamp_ntz, on boolean").where("series <> 'other'")
+    states = al.alert_state(batch, ["series"], "on", 120, "1 minute")
+    want = [tuple(r) for r in states.select("series", "t", "state", "since").collect()]
+    resolved = [(r["series"], r["resolved_at"]) for r in al.resolve(states, ["series"], "3 minutes").collect()]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r) for r in out if r["state"] != "resolved"), key=key) == sorted(want, key=key)
+    assert sorted((r["series"], r["t"]) for r in out if r["state"] == "resolved") == sorted(resolved)
+    assert len(resolved) > 5
