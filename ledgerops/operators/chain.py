@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from ledgerops.functions.scalars import hex_to_decimal
 from ledgerops.functions.times import as_datetime, ntz
 from ledgerops.operators.joins import resolve_signature
 from ledgerops.operators.ordered import OrderedRows, exact_quantiles, unfold
+from ledgerops.session import cut
 
 
 def missing_ranges(df: DataFrame, number: str, first: int, last: int) -> DataFrame:
@@ -139,16 +140,80 @@ def daily_stats(
     )
 
 
+_FIRST_SEEN, _STATS = "first_seen", "stats"
+
+
+def update_daily_stats(
+    txs: DataFrame, at: str, sender: str, receiver: str, value: str, path: str, first: date, last: date
+) -> None:
+    """Add the days ``first`` to ``last`` to the stored statistics below ``path``; only those days of ``txs`` are read.
+
+    Beside the statistics lies one row per address with the day it was first seen, in one folder per run. The addresses of the new days
+    are reduced to one row each and matched with the folders of the runs before; those without a match are appended. A run
+    that begins at the same day again replaces its folder, so a repeated run changes nothing. Days must be added in order: a run over days
+    that other runs have stored, or before them, is an error, as their new addresses would be wrong.
+    """
+    spark, kind = txs.sparkSession, dict(txs.dtypes)
+    lo = F.lit(first.isoformat()).cast("date")
+    # the bounds in time are literals, so that they reach the scan
+    new = txs.where((F.col(at) >= ntz(first.isoformat())) & (F.col(at) < ntz((last + timedelta(days=1)).isoformat())))
+    new = new.select(F.to_date(at).alias("day"), F.col(sender).alias("_s"), F.col(receiver).alias("_r"), F.col(value).alias("_v"))
+    seen_path, stats_path = f"{path}/{_FIRST_SEEN}", f"{path}/{_STATS}"
+    schemas = {
+        seen_path: f"address {kind[sender]}, day date, run date",
+        stats_path: f"day date, transactions bigint, senders bigint, amount {new.agg(F.sum('_v')).dtypes[0][1]}, new_addresses bigint, run date",
+    }
+    for table, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("run").parquet(table)
+    stored = spark.read.schema(schemas[stats_path]).parquet(stats_path)
+    if not stored.where((F.col("day") >= lo) & (F.col("run") != lo)).isEmpty():
+        raise ValueError(f"another run has stored days from {first} on")
+
+    def replace(rows: DataFrame, table: str) -> None:
+        rows = rows.withColumn("run", lo)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(table)
+
+    met = new.select("day", F.explode(F.array("_s", "_r")).alias("address")).where("address is not null")
+    met = met.groupBy("address").agg(F.min("day").alias("day"))
+    seen = spark.read.schema(schemas[seen_path]).parquet(seen_path).where(F.col("run") < lo)
+    # cut, as it is read twice
+    fresh = cut(met.join(seen.select("address"), "address", "left_anti"))
+    replace(fresh.select("address", "day"), seen_path)
+    counts = new.groupBy("day").agg(
+        F.count(F.lit(1)).alias("transactions"), F.count_distinct("_s").alias("senders"), F.sum("_v").alias("amount")
+    )
+    stats = counts.join(fresh.groupBy("day").agg(F.count(F.lit(1)).alias("new_addresses")), "day", "left")
+    replace(stats.withColumn("new_addresses", F.coalesce("new_addresses", F.lit(0).cast("bigint"))), stats_path)
+
+
+def stored_daily_stats(spark: SparkSession, path: str, days: int, as_of) -> DataFrame:
+    """The stored statistics of the last ``days`` days, as ``daily_stats`` gives them."""
+    last = as_datetime(as_of).date()
+    stats = spark.read.parquet(f"{path}/{_STATS}")
+    inside = F.col("day").between(F.lit((last - timedelta(days=days - 1)).isoformat()).cast("date"), F.lit(last.isoformat()).cast("date"))
+    return stats.where(inside).select("day", "transactions", "senders", "amount", "new_addresses")
+
+
+#: Block numbers are broadcast up to so many; beyond, the planner chooses.
+BROADCAST_BLOCKS = 100_000
+
+
 def fee_percentiles(
     txs: DataFrame, block: str, price: str, blocks: DataFrame, number: str, n: int, ps: dict[str, float]
 ) -> DataFrame:
     """Exact gas-price percentiles over the last ``n`` blocks: (speed, value).
 
-    ``n`` numbers are taken from the end of the chain, so the block side has ``n`` rows
-    and may be broadcast; prices are counted per value before they are ranked.
+    The least and greatest of the last ``n`` block numbers are found first (two numbers on the driver) and bound the scan of transactions. Only
+    where numbers are missing between them the rows are also matched with the blocks. Prices are counted per value before they are ranked.
     """
     newest = blocks.select(F.col(number).alias(block)).distinct().orderBy(F.col(block).desc()).limit(n)
-    recent = txs.join(F.broadcast(newest), block, "left_semi")
+    ends = newest.agg(F.min(block).alias("lo"), F.max(block).alias("hi"), F.count(block).alias("n")).first()
+    if ends["n"]:
+        recent = txs.where(F.col(block).between(ends["lo"], ends["hi"]))
+        if ends["hi"] - ends["lo"] + 1 != ends["n"]:
+            recent = recent.join(F.broadcast(newest) if n <= BROADCAST_BLOCKS else newest, block, "left_semi")
+    else:
+        recent = txs.limit(0)
     found = exact_quantiles(recent, price, sorted(set(ps.values())))
     speeds = F.array(*[F.struct(F.lit(s).alias("speed"), F.lit(float(p)).alias("p")) for s, p in ps.items()])
     named = found.select("value", "q", F.inline(speeds))

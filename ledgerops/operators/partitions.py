@@ -170,6 +170,79 @@ def migrate(df: DataFrame, path: str, control: str, calendar: Calendar, batch_ro
     return migration_plan([(calendar.parent, df, control)], calendar.interval, batch_rows)
 
 
+LEDGER = "_ledger"
+_LEDGER_SCHEMA = "seq bigint, batch bigint, p_day string, rows_moved bigint"
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The newest ledger row of each partition that has been moved."""
+    rows = spark.read.schema(_LEDGER_SCHEMA).option("ignoreMissingFiles", "true").parquet(path)
+    return rows.groupBy("p_day").agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")
+
+
+def migrate_in_batches(
+    df: DataFrame, path: str, control: str, calendar: Calendar, batch_rows: int = 50_000_000, stop_after: int | None = None
+) -> DataFrame:
+    """Move rows into their partitions one batch at a time until none is left, and return the progress log.
+
+    A batch is a run of whole partitions of about ``batch_rows`` rows; rows outside the calendar are the last one and go to the default partition.
+    Each batch replaces its partitions and then commits a ledger row per partition beside the data (``_ledger``, which table reads skip), with
+    the rows counted from what was written. A run that was stopped (``stop_after`` batches, or anyhow) goes on with the first partition the
+    ledger lacks; a batch whose commit is missing is written again. A partition whose source has gained rows since is moved again. A null control fails the job.
+    """
+    spark, width = df.sparkSession, to_micros(calendar.interval)
+    null = F.raise_error(F.lit(f"{control} is null"))
+    inside = with_partition(df, control, calendar.interval)
+    inside = inside.withColumn(DAY, F.when(F.col(control).isNull(), null).when(calendar.covers(control), F.col(DAY)))
+    # one count per partition: as many rows as the calendar has partitions
+    counts = inside.groupBy(DAY).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts.sort(key=lambda r: (r[DAY] is None, str(r[DAY])))
+    ledger = f"{path}/{LEDGER}"
+    spark.createDataFrame([], _LEDGER_SCHEMA).write.mode("append").parquet(ledger)
+    moved = {r["p_day"]: r for r in _ledger(spark, ledger).collect()}
+    batches: dict[int, list] = {}
+    before = 0
+    for r in counts:
+        key = None if r[DAY] is None else str(r[DAY])
+        batch = before // batch_rows if r[DAY] is not None else -1
+        if key not in moved or moved[key]["rows_moved"] != r["n"]:
+            batches.setdefault(batch, []).append(r[DAY])
+        before += r["n"]
+    outside = batches.pop(-1, None)
+    # rows outside the calendar come last, whatever number that is by now
+    order = [*sorted(batches.items()), *([(max(1, -(-before // batch_rows)), outside)] if outside is not None else [])]
+    seq = max([r["seq"] for r in moved.values()], default=0)
+    for batch, places in order if stop_after is None else order[:stop_after]:
+        if places == [None]:
+            rows = inside.where(F.col(DAY).isNull())
+        else:
+            lo, hi = as_datetime(str(min(places))), as_datetime(str(max(places))) + timedelta(microseconds=width)
+            rows = inside.where((F.col(control) >= ntz(lo)) & (F.col(control) < ntz(hi)) & F.col(DAY).isin(places))
+        rows = rows.hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY, control)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+        stored = spark.read.schema(rows.schema).parquet(path)
+        here = stored.where(F.col(DAY).isNull() if places == [None] else F.col(DAY).isin(places))
+        written = here.groupBy(DAY).agg(F.count(F.lit(1)).alias("rows_moved"))
+        seq += 1
+        entry = written.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(batch).cast("bigint").alias("batch"), F.col(DAY).cast("string").alias("p_day"), "rows_moved")
+        entry.coalesce(1).write.mode("append").parquet(ledger)
+    return migration_log(spark, path)
+
+
+def migration_log(spark: SparkSession, path: str) -> DataFrame:
+    """(batch_no, first_day, last_day, rows_moved, total_moved, log_line) of a table that ``migrate_in_batches`` writes, from its ledger."""
+    per_batch = _ledger(spark, f"{path}/{LEDGER}").groupBy("batch").agg(
+        F.min("p_day").alias("first_day"), F.max("p_day").alias("last_day"), F.sum("rows_moved").alias("rows_moved")
+    )
+    # one row per batch; the window runs over those
+    order = W.orderBy("batch")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    log = per_batch.select(
+        F.row_number().over(order).cast("bigint").alias("batch_no"), "first_day", "last_day", "rows_moved", F.sum("rows_moved").over(upto).alias("total_moved")
+    )
+    return log.withColumn("log_line", F.col("batch_no") % 10 == 0)
+
+
 def reconcile(src: DataFrame, dst: DataFrame, keys: list[str]) -> DataFrame:
     """One row: counts of both sides, difference, keyed difference, verdict.
 

@@ -11,6 +11,7 @@ from ledgerops.operators import chain
 from ledgerops.operators.ordered import exact_quantiles
 from ledgerops.plans.inputs import now_of, now_sql, sql_frame, view_sql
 from ledgerops.plans.registry import query
+from ledgerops.session import scratch_path
 from ledgerops.sources.tables import load_table
 
 _RANGES = """(SELECT p + 1 AS lo, n - 1 AS hi FROM (SELECT n, lag(n) OVER (ORDER BY n) AS p FROM (
@@ -101,14 +102,14 @@ def newest(spark, sf):
     return found.select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
 
 
-@query(
-    "a15_daily_stats",
-    f"""WITH t AS (SELECT CAST(inserted_at AS DATE) AS day, * FROM {view_sql('transactions')}),
+_DAILY = f"""WITH t AS (SELECT CAST(inserted_at AS DATE) AS day, * FROM {view_sql('transactions')}),
         seen AS (SELECT a, min(day) AS day FROM (SELECT from_address_hash AS a, day FROM t UNION ALL SELECT to_address_hash, day FROM t) x GROUP BY 1),
         fresh AS (SELECT day, count(*) AS n FROM seen GROUP BY 1)
         SELECT t.day, count(*) AS transactions, count(DISTINCT from_address_hash) AS senders, round(sum(value), 2) AS amount, coalesce(max(n), 0) AS new_addresses
-        FROM t LEFT JOIN fresh ON fresh.day = t.day WHERE t.day > CAST({now_sql('lineitem')} AS DATE) - 2490 GROUP BY 1""",
-)
+        FROM t LEFT JOIN fresh ON fresh.day = t.day WHERE t.day > CAST({now_sql('lineitem')} AS DATE) - 2490 GROUP BY 1"""
+
+
+@query("a15_daily_stats", _DAILY)
 def per_day(spark, sf):
     txs = load_table(spark, sf, "transactions")
     stats = chain.daily_stats(
@@ -117,6 +118,18 @@ def per_day(spark, sf):
     return stats.withColumn("amount", F.round("amount", 2))
 
 
+@query("a15_daily_stats_incremental", _DAILY)
+def per_day_added(spark, sf):
+    """All days but the last 30 in one run, then those in a second one that reads them alone."""
+    txs, now, path = load_table(spark, sf, "transactions"), now_of(spark, sf, "lineitem"), scratch_path(spark, "daily")
+    first = txs.agg(F.min("inserted_at")).first()[0].date()
+    cut_day, last = now.date() - timedelta(days=30), now.date()
+    columns = ("inserted_at", "from_address_hash", "to_address_hash", "value", path)
+    chain.update_daily_stats(txs, *columns, first, cut_day)
+    chain.update_daily_stats(txs, *columns, cut_day + timedelta(days=1), last)
+    return chain.stored_daily_stats(spark, path, 2490, now).withColumn("amount", F.round("amount", 2))
+
+
 @query(
     "a16_fee_percentiles",
     """WITH r AS (SELECT l_tax * 1000 AS p FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders ORDER BY 1 DESC LIMIT 200))

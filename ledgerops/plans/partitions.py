@@ -113,6 +113,27 @@ def migrated(spark, sf):
     )
 
 
+@query(
+    "r04_migrate_resumed",
+    f"""WITH d AS (SELECT CASE WHEN ts >= {now_sql('events')} - INTERVAL 20 DAY THEN CAST(ts AS DATE) END AS p_day, count(*) AS n FROM events GROUP BY 1),
+        c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY p_day NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+        b AS (SELECT CASE WHEN p_day IS NULL THEN 1000000 ELSE before // 100 END AS b, CAST(min(p_day) AS VARCHAR) AS first_day,
+                CAST(max(p_day) AS VARCHAR) AS last_day, CAST(sum(n) AS BIGINT) AS rows_moved FROM c GROUP BY 1)
+        SELECT row_number() OVER (ORDER BY b) AS batch_no, first_day, last_day, rows_moved, CAST(sum(rows_moved) OVER (ORDER BY b) AS BIGINT) AS total_moved,
+               row_number() OVER (ORDER BY b) % 10 = 0 AS log_line, rows_moved AS rows_stored FROM b""",
+)
+def resumed(spark, sf):
+    """A migration stopped after three batches and run again; what the log says next to what the table holds."""
+    now, path = now_of(spark, sf, "events"), scratch_path(spark, "batched")
+    cal = parts.partition_calendar("events", parts.cutoff(now, "20 days"), now)
+    events = load_table(spark, sf, "events")
+    parts.migrate_in_batches(events, path, "ts", cal, 100, stop_after=3)
+    log = parts.migrate_in_batches(events, path, "ts", cal, 100)
+    stored = spark.read.parquet(path).groupBy(F.col("p_day").cast("string").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col("d") >= F.col("first_day")) & (F.col("d") <= F.col("last_day")) | F.col("d").isNull() & F.col("first_day").isNull()
+    return log.join(F.broadcast(stored), inside).groupBy(*log.columns).agg(F.sum("n").alias("rows_stored"))
+
+
 @query(
     "r05_reconcile",
     """SELECT (SELECT count(*) FROM lineitem) AS source_rows, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS target_rows,

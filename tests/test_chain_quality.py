@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerops.operators import chain, filters, health, joins, logs, quality
+from ledgerops.session import scratch_path
 from tests.conftest import rows
 
 
@@ -181,3 +182,32 @@ def test_concurrency(spark, at):
     assert [r["open"] for r in logs.session_concurrency(log, "at", "n").orderBy("at").collect()] == [1, 1, 2]
     assert tuple(logs.peak_concurrency(log, "at", "n").first()) == (2, at("10:02"))
     assert at("10:00") + timedelta(minutes=2) == at("10:02")
+
+
+def test_daily_stats_added_day_by_day(spark):
+    import random
+    rng = random.Random(9)
+    start = datetime(2024, 3, 1)
+    data = [(start + timedelta(days=d, minutes=rng.randint(0, 1439)), f"a{rng.randint(0, 30 + 5 * d)}", rng.choice([None, f"a{rng.randint(0, 60)}"]), 1.5) for d in range(8) if d != 3 for _ in range(20)]
+    txs = spark.createDataFrame(data, "at timestamp_ntz, s string, r string, v double")
+    path = scratch_path(spark, "t-daily")
+    day = lambda d: date(2024, 3, 1 + d)
+    add = lambda a, b: chain.update_daily_stats(txs, "at", "s", "r", "v", path, day(a), day(b))
+    for a, b in ((0, 2), (3, 3), (4, 6), (4, 6), (7, 7)):
+        add(a, b)
+    want = chain.daily_stats(txs, "at", "s", "r", "v", 30, "2024-03-08 12:00:00")
+    assert rows(chain.stored_daily_stats(spark, path, 30, "2024-03-08 12:00:00")) == rows(want)
+    assert chain.stored_daily_stats(spark, path, 2, "2024-03-08 12:00:00").count() == 2
+    with pytest.raises(ValueError):
+        add(2, 4)
+
+
+def test_fee_scan_is_bounded(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS block", "id * 2.0D AS price").write.parquet(str(tmp_path / "t"))
+    txs = spark.read.parquet(str(tmp_path / "t"))
+    for step in (1, 3):  # without and with numbers missing
+        blocks = spark.range(0, 1000, step).withColumnRenamed("id", "number")
+        got = chain.fee_percentiles(txs, "block", "price", blocks, "number", 100, {"low": 0.0, "high": 1.0}).collect()
+        newest = sorted(range(0, 1000, step))[-100:]
+        assert {r["speed"]: r["value"] for r in got} == {"low": newest[0] * 2.0, "high": newest[-1] * 2.0}
+    assert chain.fee_percentiles(txs, "block", "price", blocks.limit(0), "number", 100, {"low": 0.0}).count() == 0

@@ -214,3 +214,25 @@ def test_retention_keeps_default_rows_with_and_without_folders(spark, tmp_path):
     ids = lambda x: sorted(r[0] for r in x.select("id").collect())
     assert ids(plain) == ids(with_folders) == ids(both)
     assert len(ids(plain)) == 72
+
+
+def test_migration_in_batches_resumes(spark, blocks, calendar):
+    path, whole = scratch_path(spark, "t-batches"), scratch_path(spark, "t-batches")
+    late = blocks.withColumn("inserted_at", F.when(F.col("number") % 1000 < 5, F.lit("1970-01-01").cast("timestamp_ntz")).otherwise(F.col("inserted_at")))
+    first = p.migrate_in_batches(late, path, "inserted_at", calendar, 2500, stop_after=2)
+    assert first.count() == 2 and spark.read.parquet(path).count() == first.agg(F.max("total_moved")).first()[0] < 7000
+    # a batch that wrote its rows but was lost before its commit: they are written again, not added
+    with_day = files.with_partition(late, "inserted_at").where(F.col("p_day") == F.lit(str(late.agg(F.max(F.to_date("inserted_at"))).first()[0])).cast("date"))
+    with_day.write.mode("append").partitionBy("p_day").parquet(path)
+    log = p.migrate_in_batches(late, path, "inserted_at", calendar, 2500)
+    want = p.migrate_in_batches(late, whole, "inserted_at", calendar, 2500)
+    assert rows(log) == rows(want) and log.agg(F.max("total_moved")).first()[0] == 7000
+    assert p.reconcile(late, spark.read.parquet(path), ["hash"]).first()["passed"]
+    assert spark.read.parquet(path).where("p_day is null").count() == late.where("inserted_at < timestamp_ntz'1971-01-01 00:00:00'").count() > 0
+    assert rows(p.migrate_in_batches(late, path, "inserted_at", calendar, 2500)) == rows(want)  # nothing is left
+    # rows that came since make their partition move again
+    more = late.unionByName(late.where("number = 4007").withColumn("hash", F.lit("new")).withColumn("number", F.lit(99_999).cast(dict(late.dtypes)["number"])))
+    p.migrate_in_batches(more, path, "inserted_at", calendar, 2500)
+    assert p.reconcile(more, spark.read.parquet(path), ["hash"]).first()["passed"]
+    with pytest.raises(PySparkException):
+        p.migrate_in_batches(blocks.withColumn("inserted_at", F.lit(None).cast("timestamp_ntz")), scratch_path(spark, "t-null"), "inserted_at", calendar)
