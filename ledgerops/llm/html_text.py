@@ -187,7 +187,11 @@ def _token(token: str, leaf: bool) -> np.ndarray:
 
 @lru_cache(maxsize=20_000)
 def _path(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    """Sum over the path, nearer elements counting more, and the leaf's own names."""
+    """Sum over the path, nearer elements counting more, and the leaf's own names.
+
+    Names that no training page has say nothing: class words of other makers are left out, and elements count as the plainest of their kind.
+    """
+    path = tuple((_PLAIN.get(e[0], e[0] if e[0] in _TAGS else "div"), *(n for n in e[1:] if n in _CLASSES)) for e in path)
     total, leaf = np.zeros(_PATH, np.float32), np.zeros(_LEAF, np.float32)
     for depth, names in enumerate(reversed(path)):
         for name in names:
@@ -330,12 +334,20 @@ _LABELS = {
 }
 
 
+_BOXES = "box block row col wrap inner section container wide clear page wrapper site layout"
+#: What training pages are made of. A heading below the third level counts as one of the third, other elements as a ``div``.
+_TAGS = frozenset("html body div nav header aside footer form section article main h1 h2 h3 ul ol li p blockquote table tbody tr td th pre dl dt dd figure figcaption".split())
+_PLAIN = {"h4": "h3", "h5": "h3", "h6": "h3", "thead": "tbody", "tfoot": "tbody", "menu": "ul", "dir": "ul", "listing": "pre", "plaintext": "pre", "xmp": "pre", "caption": "figcaption"}
+_CLASSES = frozenset(f".{w}" for w in _WORD.findall(" ".join([*_AREAS.values(), _MAIN, _BOXES])))
+
+
 class _Pages:
     """Random page layouts; every text carries its label in a data-y attribute, which the inputs do not show."""
 
     def __init__(self, seed: int):
         self.r = np.random.default_rng(seed)
         letters = list("etaoinshrdlucmfwypvbgkéñüöäçó")
+        self.naming = 1.0
         self.vocabulary = ["".join(self.r.choice(letters, self.r.integers(1, 11))) for _ in range(4000)]
 
     def pick(self, words: str) -> str:
@@ -351,7 +363,7 @@ class _Pages:
         return s
 
     def named(self, kind_words: str, tag: str = "div", p: float = 0.9) -> str:
-        if self.r.random() > p:
+        if self.r.random() > p * (self.naming if kind_words == _MAIN else max(self.naming, 0.75)):
             return f"<{tag}>" if self.r.random() < 0.5 else f'<{tag} class="{self.pick("box block row col wrap inner section container")}">'
         key = "class" if self.r.random() < 0.75 else "id"
         extra = f" {self.pick('box block row wide clear inner')}" if self.r.random() < 0.3 else ""
@@ -390,8 +402,12 @@ class _Pages:
         tag = self.pick("article article main section div div")
         opened = f"<{tag}>" if tag != "div" and r.random() < 0.6 else self.named(_MAIN, tag, 0.85)
         out = [re.sub(r"<(\w+)", r'<\1 data-y="1"', opened, count=1)]
-        if r.random() < 0.85:
+        if r.random() < 0.7:
             out.append(f"<h1>{self.text(r.integers(2, 14), dots=False)}</h1>")
+        nested = int(r.integers(1, 4)) if r.random() < 0.35 else 0
+        out.append("<div>" * nested)
+        form = str(r.choice(["p", "p", "p", "p", "p", "p", "p", "p", "td", "div", "section"]))  # what most paragraphs of this article are
+        out.append("<table>" if form == "td" else "")
         odd = r.random() < 0.15
         for k in range(int(r.integers(1, 5)) if r.random() < 0.3 else int(r.integers(3, 22))):
             n = int(r.integers(1, 6)) if r.random() < 0.25 else int(r.integers(8, 140))
@@ -404,20 +420,33 @@ class _Pages:
             if r.random() < 0.15:
                 body = f"<b>{body}<br>" if r.random() < 0.5 else f'{body} <a href="/y">{self.text(2, dots=False)}</a> {self.text(5)}'
             kind = r.random()
-            if kind < 0.72:
-                out.append(f"<p>{body}" + ("</p>" if r.random() < 0.85 else ""))
+            if form == "td":
+                out.append(f"<tr><td>{body}</td></tr>" if kind < 0.7 else f"<tr><th>{self.text(2, dots=False)}</th><td>{body}</td></tr>")
+                continue
+            if kind < 0.66:
+                out.append(f"<{form}>{body}" + (f"</{form}>" if form != "p" or r.random() < 0.85 else ""))
+            elif kind < 0.69:
+                out.append("<dl>" + "".join(f"<dt>{self.text(r.integers(1, 5), dots=False)}</dt><dd>{self.text(r.integers(3, 40))}</dd>" for _ in range(r.integers(1, 7))) + "</dl>")
+            elif kind < 0.71:
+                out.append(f"<pre>{body}</pre>")
+            elif kind < 0.73:
+                out.append(f"<figure><img>" + f"<figcaption>{self.text(r.integers(2, 20))}</figcaption></figure>")
             elif kind < 0.8:
                 out.append(f"<h2>{self.text(r.integers(1, 8), dots=False)}</h2>")
             elif kind < 0.87:
-                out.append("<ul>" + "".join(f"<li>{self.text(r.integers(2, 25))}</li>" for _ in range(r.integers(2, 6))) + "</ul>")
+                tag2 = "ul" if r.random() < 0.7 else "ol"
+                out.append(f"<{tag2}>" + "".join(f"<li>{self.text(r.integers(2, 25))}</li>" for _ in range(r.integers(2, 12 if r.random() < 0.3 else 6))) + f"</{tag2}>")
             elif kind < 0.91:
                 out.append(f"<blockquote>{body}</blockquote>")
             elif kind < 0.95:
                 out.append(f"<div>{body}</div>")
             else:
-                out.append(f"<table><tr><td>{self.text(2, dots=False)}</td><td>{self.text(3, dots=False)}</td></tr></table>")
+                head = f"<tr><th>{self.text(1, dots=False)}</th><th>{self.text(2, dots=False)}</th></tr>" if r.random() < 0.5 else ""
+                out.append(f"<table>{head}" + f"<tr><td>{self.text(2, dots=False)}</td><td>{self.text(3, dots=False)}</td></tr>" * int(r.integers(1, 4)) + "</table>")
             if r.random() < 0.06:
                 out.append(self.area(self.pick("advert advert share notice form sidebar")))
+        out.append("</table>" if form == "td" else "")
+        out.append("</div>" * nested)
         if r.random() < 0.15:
             out.append(self.area(self.pick("comments share")))
         out.append(f"</{tag}>")
@@ -425,6 +454,8 @@ class _Pages:
 
     def page(self) -> str:
         r = self.r
+        # most makers name their areas by other words, which count as none
+        self.naming = 0.1 if r.random() < 0.4 else 1.0
         before = [k for k, p in (("header", 0.5), ("menu", 0.85), ("notice", 0.3), ("advert", 0.45), ("form", 0.2), ("sidebar", 0.2)) if r.random() < p]
         after = [k for k, p in (("share", 0.2), ("comments", 0.35), ("sidebar", 0.35), ("advert", 0.25), ("form", 0.2), ("notice", 0.15), ("footer", 0.85)) if r.random() < p]
         if r.random() < 0.3:
@@ -436,7 +467,7 @@ class _Pages:
 
 
 @lru_cache(maxsize=4)
-def train(pages: int = 900, epochs: int = 10, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(pages: int = 1200, epochs: int = 10, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the network after ``epochs`` over ``pages`` generated layouts (Adam); the same on every run."""
     made = _Pages(seed)
     cut = [b for b in (blocks_of(made.page()) for _ in range(pages)) if b]

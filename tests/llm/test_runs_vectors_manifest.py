@@ -132,6 +132,8 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, cell):
     assert found.columns == ["vec_id", "n_links", "component_id", "kept"]
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute_links(rows)
     if cell == 40:
+        single = spark.createDataFrame([(i, [float(np.float32(a)) if a is not None else None for a in v] if v is not None else None) for i, v in rows if not v or v[0] not in (1e300, 1e-300)], "vec_id long, embedding array<float>")
+        assert sorted((tuple(r) for r in near_vectors.near_groups(single).collect()), key=str) == brute_links([tuple(r) for r in single.collect()])
         assert near_vectors.near_groups(df.limit(0)).collect() == []
 
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -207,6 +208,43 @@ def test_network_on_unseen_layouts():
     assert right / total > 0.97
 
 
+FORMS = {
+    "p": lambda ps: "".join(f"<p>{x}</p>" for x in ps), "div": lambda ps: "".join(f"<div>{x}</div>" for x in ps), "section": lambda ps: "".join(f"<section>{x}</section>" for x in ps),
+    "li": lambda ps: "<ul>" + "".join(f"<li>{x}</li>" for x in ps) + "</ul>", "td": lambda ps: "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in ps) + "</table>",
+    "dd": lambda ps: "<dl>" + "".join(f"<dt>{x[:9]}</dt><dd>{x}</dd>" for x in ps) + "</dl>", "pre": lambda ps: "".join(f"<pre>{x}</pre>" for x in ps),
+}
+WRAPPERS = ["<div>{}</div>", '<div class="mw-parser-output">{}</div>', '<div class="x9f">{}</div>', '<div class="css-1q2w3e">{}</div>', "<article>{}</article>", '<article><div class="mw-parser-output">{}</div></article>']
+
+
+def test_articles_of_unknown_layouts_are_kept():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    ps = [" ".join(word() for _ in range(rng.randint(30, 110))).capitalize() + "." for _ in range(12)]
+    nav = '<nav class="k1"><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul></nav>'
+    foot = '<footer class="z"><p>Copyright 2020 all rights reserved</p></footer>'
+    model, kept, noise = html_text.train(), [], 0
+    for wrapper in WRAPPERS:
+        for form in FORMS.values():
+            cut = html_text.blocks_of(f"<html><head><title>t</title></head><body>{nav}{wrapper.format(form(ps))}{foot}</body></html>")
+            texts = [b[0] for b, y in zip(cut, html_text.label([cut], model)[0]) if y]
+            kept.append(sum(x in texts for x in ps))
+            noise += any(x in ("Home", "About", "Contact") or "rights" in x for x in texts)
+    assert min(kept) >= 10 and sum(kept) >= 0.98 * 12 * len(kept)
+    assert noise <= 6
+
+
+def test_class_words_of_other_makers_say_nothing():
+    page = "<html><body><div class='{}'><h1>Title</h1><p>" + "some words of a text. " * 20 + "</p></div></body></html>"
+    seen = {html_text._inputs([html_text.blocks_of(page.format(c))])[0].tobytes() for c in ("mw-parser-output", "css-1q2w3e", "zzz", "")}
+    assert len(seen) == 1
+
+
+def test_repeated_token_starts_take_linear_time():
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    began = time.time()
+    assert secrets.spans_of("eyJ" * 700_000, rule) == [] and time.time() - began < 5
+
+
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
     monkeypatch.setattr(warc, "READ", 5_000)
