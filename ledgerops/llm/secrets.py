@@ -53,7 +53,8 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # a token starts where its characters start, and no repeat gives back: repeated "eyJ" takes linear time
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\n])*+\n)*+[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\s:/@]++:[^\s/@]{4,}+@"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{16,}", any_case=True),
