@@ -93,8 +93,8 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     starts = F.filter(F.sequence(F.lit(0), F.size("equal") - F.col("span")), lambda j: F.forall(F.slice("equal", j + 1, F.col("span")), lambda x: x))
     pairs = pairs.withColumn("starts", starts)
     # starts one after the other make one run of words
-    run_starts = F.filter("starts", lambda j: ~F.array_contains("starts", j - 1))
-    run_ends = F.filter("starts", lambda j: ~F.array_contains("starts", j + 1))
+    run_starts = F.filter("starts", lambda j, i: F.coalesce(F.get("starts", i - 1) != j - 1, F.lit(True)))
+    run_ends = F.filter("starts", lambda j, i: F.coalesce(F.get("starts", i + 1) != j + 1, F.lit(True)))
     runs = F.zip_with(run_starts, run_ends, lambda a, b: F.struct((a + F.col("shift")).alias("lo"), (b + F.col("shift") + F.col("span") - 1).alias("hi")))
     pairs = written(pairs.select("id", "text_hash", "item_ids", runs.alias("runs")), "spans").where(F.size("runs") > 0)
     places = pairs.select("id", "text_hash", F.explode("runs").alias("r")).distinct().select("id", "text_hash", F.explode(F.sequence("r.lo", "r.hi")).alias("place")).distinct()
