@@ -25,7 +25,7 @@ from ledgerops.llm.components import components
 from ledgerops.llm.tables import give_back, slices, written
 
 #: Blocks of a space, vectors of a cell's part (about), rows of the sample that cuts the cells, and the most cells of a block.
-BLOCKS, CELL, SAMPLE, MOST_CELLS = 4, 8192, 20_000, 4096
+BLOCKS, CELL, SAMPLE, MOST_CELLS = 4, 16_384, 20_000, 4096
 #: Rows that one matrix product compares with each other.
 _TILE = 2048
 _SEED = 12
@@ -49,20 +49,26 @@ def units(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Packed vectors of ``dims`` doubles each as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dims)
+def _matrix(column: pa.Array, dims: int, kind: str) -> np.ndarray:
+    """Packed vectors of ``dims`` numbers each as rows of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dims).astype(np.float64)
 
 
-def _packed(batches):
-    for piece in slices(batches, 4096, text=2):
-        column = piece.column(1).cast(pa.large_list(pa.float64()))
-        values, offsets = np.asarray(column.values.fill_null(np.nan)), np.asarray(column.offsets)
-        out = []
-        for i, there in enumerate(column.is_valid().to_pylist()):
-            x = values[offsets[i] : offsets[i + 1]]
-            out.append(np.ascontiguousarray(x + 0.0, dtype="<f8").tobytes() if there and len(x) and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, type=pa.binary())], names=["id", "vec"])
+def _packer(kind: str):
+    """Vectors as bytes, in single precision where the column has no more; null for those that link with nothing."""
+
+    def pack(batches):
+        for piece in slices(batches, 4096, text=2):
+            column = piece.column(1).cast(pa.large_list(pa.float64()))
+            values, offsets = np.asarray(column.values.fill_null(np.nan)), np.asarray(column.offsets)
+            out = []
+            for i, there in enumerate(column.is_valid().to_pylist()):
+                x = values[offsets[i] : offsets[i + 1]]
+                good = there and len(x) and np.isfinite(x).all() and x.any()
+                out.append(np.ascontiguousarray(x + 0.0, dtype=kind).tobytes() if good else None)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, type=pa.binary())], names=["id", "vec"])
+
+    return pack
 
 
 class Cells:
@@ -101,13 +107,13 @@ class Cells:
         return inside.argmax(axis=1), away
 
 
-def _counter(cells: dict[int, Cells]):
+def _counter(cells: dict[int, Cells], kind: str):
     def count(batches):
         total: dict[tuple[int, int, int], int] = {}
         for piece in slices(batches, 4096, text=1):
             dims = np.asarray(piece.column(2))
             for d in np.unique(dims).tolist():
-                turned = units(_matrix(piece.column(1).filter(pa.array(dims == d)), d)) @ cells[d].rotation
+                turned = units(_matrix(piece.column(1).filter(pa.array(dims == d)), d, kind)) @ cells[d].rotation
                 for b in range(len(cells[d].blocks)):
                     home, n = np.unique(cells[d].reach(turned, b)[0], return_counts=True)
                     for h, m in zip(home.tolist(), n.tolist()):
@@ -122,7 +128,7 @@ def _counter(cells: dict[int, Cells]):
 _SENT = "slot bigint, dims bigint, block bigint, home boolean, node bigint, n bigint, vec binary"
 
 
-def _sender(cells: dict[int, Cells], slots: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], budget: float):
+def _sender(cells: dict[int, Cells], slots: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], budget: float, kind: str):
     """Rows of (slot, dims, block, home, node, n, vec): each vector where it lives and where it visits."""
 
     def send(batches):
@@ -131,7 +137,7 @@ def _sender(cells: dict[int, Cells], slots: dict[tuple[int, int], tuple[np.ndarr
             for d in np.unique(dims).tolist():
                 own = piece.filter(pa.array(dims == d))
                 number = node[dims == d]
-                turned = units(_matrix(own.column(1), d)) @ cells[d].rotation
+                turned = units(_matrix(own.column(1), d, kind)) @ cells[d].rotation
                 for b, (lo, hi) in enumerate(bounds(d)):
                     first, parts = slots[d, b]
                     home, away = cells[d].reach(turned, b)
@@ -155,15 +161,15 @@ def _sender(cells: dict[int, Cells], slots: dict[tuple[int, int], tuple[np.ndarr
 class _Part:
     """The inhabitants of one part of a cell, past which visitors stream."""
 
-    def __init__(self, dims: int, block: int, cosine: float):
-        self.dims, self.block, self.cosine = dims, block, cosine
+    def __init__(self, dims: int, block: int, cosine: float, kind: str):
+        self.dims, self.block, self.cosine, self.kind = dims, block, cosine, kind
         self.turn = rotation(dims)
         self.blocks = bounds(dims)
         self.share = [(2 - 2 * cosine) * (hi - lo) / dims for lo, hi in self.blocks]
         self.pieces: list[tuple] = []
 
     def rows(self, vec: pa.Array, node: np.ndarray, n: np.ndarray) -> tuple:
-        unit = units(_matrix(vec, self.dims))
+        unit = units(_matrix(vec, self.dims, self.kind))
         turned = unit @ self.turn
         lo, hi = self.blocks[self.block]
         low = turned[:, lo:hi].astype(np.float32)
@@ -244,7 +250,7 @@ def _result(node: np.ndarray, links: np.ndarray, lead: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(x[some], type=pa.int64()) for x in (node, links, lead)], names=["node", "links", "lead"])
 
 
-def _joiner(cosine: float):
+def _joiner(cosine: float, kind: str):
     """Rows by slot, inhabitants first, to (node, links counted here, a node it is joined with)."""
 
     def join(batches):
@@ -273,7 +279,7 @@ def _joiner(cosine: float):
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
                 if of[lo] != slot:
                     yield from close()
-                    part, slot, open_ = _Part(piece.column(1)[lo].as_py(), piece.column(2)[lo].as_py(), cosine), of[lo], True
+                    part, slot, open_ = _Part(piece.column(1)[lo].as_py(), piece.column(2)[lo].as_py(), cosine, kind), of[lo], True
                     give_back()
                 rows = part.rows(piece.column(6).slice(lo, hi - lo), np.asarray(piece.column(4))[lo:hi], np.asarray(piece.column(5))[lo:hi])
                 if home[lo]:
@@ -301,10 +307,11 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)[id_col]
     raw = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.lit("").alias("t"))
-    packed = raw.mapInArrow(_packed, f"id {kind}, vec binary").withColumn("key", F.unhex(F.sha2("vec", 256)))
+    number, width = ("<f4", 4) if dict(vectors.dtypes)[vector_col] == "array<float>" else ("<f8", 8)
+    packed = raw.mapInArrow(_packer(number), f"id {kind}, vec binary").withColumn("key", F.unhex(F.sha2("vec", 256)))
     members = written(packed.select("id", "key"), "vector-members")
     classes = packed.where("vec is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", (F.octet_length("vec") / 8).cast("bigint")), "vector-classes")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", (F.octet_length("vec") / width).cast("bigint")), "vector-classes")
     nodes = classes.select("node", "vec", "dims", "n")
     # how many vectors of each length; a bounded sample of each cuts its cells
     sizes = {r["dims"]: r["count"] for r in nodes.groupBy("dims").count().collect()}
@@ -312,9 +319,9 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     for d, count in sizes.items():
         some = nodes.where(F.col("dims") == d).select("vec")
         some = some if count <= SAMPLE else some.sample(0.9 * SAMPLE / count, _SEED).limit(SAMPLE)
-        sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in some.collect()), dtype="<f8").reshape(-1, d)
+        sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in some.collect()), dtype=number).reshape(-1, d).astype(np.float64)
         cells[d] = Cells(sample, max(1, min(MOST_CELLS, len(sample), -(-count // CELL))))
-    counted = nodes.select(F.lit(0).alias("z"), "vec", "dims").mapInArrow(_counter(cells), "dims bigint, block bigint, cell bigint, n bigint")
+    counted = nodes.select(F.lit(0).alias("z"), "vec", "dims").mapInArrow(_counter(cells, number), "dims bigint, block bigint, cell bigint, n bigint")
     lived = {(r["dims"], r["block"], r["cell"]): r["n"] for r in counted.groupBy("dims", "block", "cell").agg(F.sum("n").alias("n")).collect()}
     slots, used = {}, 0
     for d in cells:
@@ -322,9 +329,9 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             parts = np.array([max(1, -(-lived.get((d, b, c), 0) // CELL)) for c in range(len(low))], dtype=np.int64)
             slots[d, b] = (used + np.cumsum(parts) - parts, parts)
             used += int(parts.sum())
-    sent = nodes.select(F.lit(0).alias("z"), "vec", "dims", "node", "n").mapInArrow(_sender(cells, slots, 2 - 2 * cosine), _SENT)
+    sent = nodes.select(F.lit(0).alias("z"), "vec", "dims", "node", "n").mapInArrow(_sender(cells, slots, 2 - 2 * cosine, number), _SENT)
     sent = sent.repartitionByRange(max(1, used), "slot").sortWithinPartitions("slot", F.desc("home"))
-    found = written(sent.mapInArrow(_joiner(cosine), _FOUND), "vector-links")
+    found = written(sent.mapInArrow(_joiner(cosine, number), _FOUND), "vector-links")
     reached = components(found.where("node <> lead"), "node", "lead").withColumnRenamed("node", "_node")
     known = classes.select("key", "node", "first", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     known = known.join(reached, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
