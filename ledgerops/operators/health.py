@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerops.functions.scalars import safe_ratio
 from ledgerops.functions.times import age_seconds, micros, ntz
 from ledgerops.operators.ordered import OrderedRows
 from ledgerops.session import cut
+from ledgerops.sources.files import stored_bytes
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -38,23 +42,44 @@ def indexing_progress(df: DataFrame, number: str, control: str, as_of, null_as_z
     )
 
 
+#: Settings under which a plain count of a Parquet table reads file footers only.
+_FOOTERS_ONLY = {"spark.sql.sources.useV1SourceList": "csv,json,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a stored Parquet table, added up from the footers of its files; no record is read."""
+    before = {k: spark.conf.get(k, None) for k in _FOOTERS_ONLY}
+    try:
+        for k, v in _FOOTERS_ONLY.items():
+            spark.conf.set(k, v)
+        return spark.read.parquet(path).agg(F.count(F.lit(1))).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Files, bytes, largest file and the rest, per stored table; read from file listings and footers."""
+    """Per stored Parquet table: (total_bytes, data_bytes, rest_bytes, largest_bytes, files, rows, table_name).
+
+    The data part is the files that a read of the table opens; the total is everything below its path, hidden files such as ledgers, markers and checksums
+    included; the rest is what lies between. Sizes come from the file listing, one row per file, and row counts from footers, one number per table.
+    """
     frames = []
     for name, path in paths.items():
-        files = (
-            spark.read.parquet(path)
-            .groupBy(F.col("_metadata.file_path").alias("file"))
-            .agg(F.max("_metadata.file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        rows = footer_rows(spark, path)
+        # without its content column this source only lists files
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+        sizes = files.agg(
+            F.coalesce(F.sum("length"), F.lit(0)).alias("data_bytes"),
+            F.coalesce(F.max("length"), F.lit(0)).alias("largest_bytes"),
+            F.count(F.lit(1)).alias("files"),
         )
+        total = F.greatest(F.lit(stored_bytes(spark, path)).cast("bigint"), F.col("data_bytes"))
         frames.append(
-            files.agg(
-                F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"),
-                F.coalesce(F.max("bytes"), F.lit(0)).alias("largest_bytes"),
-                F.coalesce(F.sum("bytes") - F.max("bytes"), F.lit(0)).alias("rest_bytes"),
-                F.count("file").alias("files"),
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            ).withColumn("table_name", F.lit(name))
+            sizes.select(
+                total.alias("total_bytes"), "data_bytes", (total - F.col("data_bytes")).alias("rest_bytes"), "largest_bytes", "files",
+                F.lit(rows).cast("bigint").alias("rows"), F.lit(name).alias("table_name"),
+            )
         )
     return _stack(frames)
 
@@ -138,19 +163,88 @@ def totals(blocks: DataFrame, txs: DataFrame, frm: str, to: str) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx: bool = False) -> DataFrame:
+def _ordered_number(df: DataFrame, c: str) -> Column:
+    """A double in the order of a column's values; texts count by their first six bytes."""
+    kind = df.schema[c].dataType
+    v = F.col(c)
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(v, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return micros(v.cast("timestamp_ntz")).cast("double")
+    return v.cast("double")
+
+
+def _edges(cuts: list[float]) -> tuple[list[float], list[float], list[float]]:
+    """Edges between the distinct values of equally spaced quantiles; per piece the share of rows below it, and in its middle.
+
+    A value that several quantiles share is frequent and gets a piece of its own.
+    """
+    last = len(cuts) - 1
+    edges, first, middle = [float("-inf")], [0.0], [0.0]
+    at = 0
+    while at <= last:
+        upto = at
+        while upto < last and cuts[upto + 1] == cuts[at]:
+            upto += 1
+        if upto > at:
+            edges.append(cuts[at])
+            first.append(at / last)
+            middle.append((at + upto) / 2 / last)
+        edges.append(math.nextafter(cuts[at], math.inf))
+        spread = (upto + min(upto + 1, last)) / 2 / last
+        first.append(spread)
+        middle.append(spread)
+        at = upto + 1
+    return [*edges, float("inf")], first, middle
+
+
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation over the rows that have both values; null where one of them never changes."""
+    both = F.when(x.isNotNull() & y.isNotNull(), x), F.when(x.isNotNull() & y.isNotNull(), y)
+    return F.try_divide(F.covar_pop(*both), F.stddev_pop(both[0]) * F.stddev_pop(both[1]))
+
+
+def _approximate_profile(df: DataFrame, cols: list[str], order_by: list[str], pieces: int) -> DataFrame:
+    """Counts and quantiles of all columns from mergeable sketches in one scan, then the correlation of their ranks in a second one.
+
+    Quantiles become ``pieces`` intervals, a few hundred numbers per column; a row's rank is that of its interval. The position is that of the first
+    column of ``order_by``; without one there is no correlation. Nothing is shuffled but sketches and sums.
+    """
+    names = list(dict.fromkeys([*cols, *order_by[:1]]))
+    numbers = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)], *[_ordered_number(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    shares = [i / pieces for i in range(pieces + 1)]
+    sketches = [F.percentile_approx(f"v{i}", shares, 20 * pieces).alias(f"q{i}") for i in range(len(names))]
+    found = numbers.agg(*[F.approx_count_distinct(f"c{i}", 0.01).alias(f"n{i}") for i in range(len(cols))], *(sketches if order_by else [])).first()
+    known = {}  # column number -> (edges, first, middle)
+    if order_by:
+        known = {i: _edges(found[f"q{i}"]) for i in range(len(names)) if found[f"q{i}"]}
+    place = names.index(order_by[0]) if order_by else None
+    out = {i: F.lit(None).cast("double") for i in range(len(cols))}
+    if place in known:
+        bins = Bucketizer(splitsArray=[e for e, _, _ in known.values()], inputCols=[f"v{i}" for i in known], outputCols=[f"b{i}" for i in known], handleInvalid="keep")
+        binned = bins.transform(numbers.select(*[f"v{i}" for i in known]))
+        # the bin of a null lies beyond the table and gives null, so its row does not count
+        rank = lambda i, table: F.get(F.lit(table).cast("array<double>"), F.col(f"b{i}").cast("int"))
+        pairs = {i: _correlation(rank(place, known[place][2]), rank(i, known[i][1])) for i in range(len(cols)) if i in known}
+        got = binned.agg(*[c.alias(f"r{i}") for i, c in pairs.items()]).first()
+        out |= {i: F.lit(None if r is None or math.isnan(r) else r).cast("double") for i, r in ((i, got[f"r{i}"]) for i in pairs)}
+    # one row per profiled column
+    rows = [F.struct(F.lit(c).alias("attname"), F.lit(found[f"n{i}"]).cast("bigint").alias("n_distinct"), out[i].alias("correlation")) for i, c in enumerate(cols)]
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+
+
+def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx: bool = False, pieces: int = 256) -> DataFrame:
     """Distinct count and row-order correlation per column, with the index-candidate flag.
 
     Correlation is Pearson's between a row's position in ``order_by`` order and the
     rank of its value; rows equal in ``order_by`` are placed by the profiled columns.
     Copies of a row collapse to one with a count. Both ranks are running counts; the
     sums of products need only per-value totals, so rows never meet their ranks again.
+    With ``approx`` counts and ranks are those of sketches, within about 1 and 100 / ``pieces`` per cent.
     """
     frames = []
     if approx:
-        counts = df.agg(*[F.approx_count_distinct(c).alias(f"_{i}") for i, c in enumerate(cols)])  # one scan
-        rows = [F.struct(F.lit(c).alias("attname"), F.col(f"_{i}").alias("n_distinct")) for i, c in enumerate(cols)]
-        frames.append(counts.select(F.inline(F.array(*rows))).withColumn("correlation", F.lit(None).cast("double")))
+        frames.append(_approximate_profile(df, cols, order_by, pieces))
     else:
         keep = list(dict.fromkeys([*order_by, *cols]))
         copies = df.groupBy(*keep).agg(F.count(F.lit(1)).alias("_n"))

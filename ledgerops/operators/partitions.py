@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerops.functions.scalars import duration_seconds, flag
 from ledgerops.functions.times import (
     age_seconds, as_datetime, from_micros, micros, ntz, to_micros, to_timedelta,
 )
 from ledgerops.operators.ordered import OrderedRows, unfold
-from ledgerops.sources.files import DAY, interval_start, with_partition, write_partitioned
+from ledgerops.session import cut
+from ledgerops.sources.files import DAY, committed, interval_start, remove_folder, with_partition, write_partitioned
 
 _EPOCH = datetime(1970, 1, 1)
 DEFAULT = "default"
@@ -342,14 +345,56 @@ def apply_retention(
     return df.where(keep)
 
 
-def drop_partitions(spark: SparkSession, table: str, as_of, retention) -> list[str]:
-    """Drop expired daily partitions of a catalog table: metadata and folders, no rewrite."""
-    edge = first_kept(as_of, retention).date().isoformat()
-    days = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    gone = sorted(d for d in days if d[:4].isdigit() and d < edge)
-    for d in gone:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({DAY} = DATE '{d}')")
-    return gone
+def _folder_times(spark: SparkSession, table: str) -> dict[datetime, str]:
+    """Start and folder value of each partition of a catalog table, the default one left out."""
+    values = [unquote(r[0].split("=", 1)[1]) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    return {datetime.fromisoformat(v): v for v in values if v[:4].isdigit()}
+
+
+def _partition_spec(at: datetime, kind: T.DataType) -> str:
+    if isinstance(kind, T.DateType):
+        return f"PARTITION ({DAY} = DATE '{at.date().isoformat()}')"
+    return f"PARTITION ({DAY} = TIMESTAMP_NTZ '{at.isoformat(sep=' ')}')"
+
+
+def _alter(spark: SparkSession, table: str, verb: str, times: list[datetime]) -> None:
+    """One statement that adds or drops all the given partitions."""
+    if times:
+        kind = spark.table(table).schema[DAY].dataType
+        between = " " if verb.startswith("ADD") else ", "
+        spark.sql(f"ALTER TABLE {table} {verb} {between.join(_partition_spec(at, kind) for at in sorted(times))}")
+
+
+def _forget(spark: SparkSession, table: str, times: list[datetime], keep_files: bool) -> None:
+    """Take partitions off a catalog table; their folders stay where ``keep_files`` is set, else they go too."""
+    if not times:
+        return
+    facts = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect() if r[0] in ("Type", "Location")}
+    if keep_files and facts["Type"] != "EXTERNAL":
+        raise ValueError(f"{table} is not external: dropping its partitions would delete the files that are to be kept")
+    folders = [f"{facts['Location']}/{DAY}={v}" for v in _stored_names(spark, table, times)]
+    _alter(spark, table, "DROP IF EXISTS", times)
+    if not keep_files and facts["Type"] == "EXTERNAL":
+        # the catalog forgets an external partition, but leaves its folder
+        for folder in folders:
+            remove_folder(spark, folder)
+
+
+def _stored_names(spark: SparkSession, table: str, times: list[datetime]) -> list[str]:
+    """Folder values as they are spelt on disk, where colons are escaped."""
+    values = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    return [v for v in values if v[:4].isdigit() and datetime.fromisoformat(unquote(v)) in set(times)]
+
+
+def drop_partitions(spark: SparkSession, table: str, as_of, retention, interval="1 day", keep_files: bool = False) -> list[str]:
+    """Drop the expired partitions of a catalog table in one statement, and return their folder values: metadata and folders, no rewrite.
+
+    With ``keep_files`` an external table forgets the partitions, and their folders stay.
+    """
+    edge = first_kept(as_of, retention, interval)
+    gone = {at: v for at, v in _folder_times(spark, table).items() if at < edge}
+    _forget(spark, table, list(gone), keep_files)
+    return [gone[at] for at in sorted(gone)]
 
 
 def retention_check(before: DataFrame, after: DataFrame, control: str, keys: list[str], as_of, retention) -> DataFrame:
@@ -392,19 +437,26 @@ def maintenance_age(config: DataFrame, as_of, limit_s: float = 7200, null_as_zer
 def maintained_partitions(config: DataFrame, partitions: DataFrame, as_of) -> DataFrame:
     """Every partition with what maintenance does to it: ``kept``, ``created`` or ``dropped``.
 
-    Where the configuration has ``automatic_maintenance``, parents without ``on`` keep their partitions as they are.
+    Where the configuration has ``automatic_maintenance``, parents without ``on`` keep their partitions as they are. Where it has
+    ``infinite_time_partitions`` and ``newest`` (time of the newest row), a parent whose flag is not set gets partitions ahead of its newest row, not of
+    ``as_of``, so that a table without new rows gets no new partitions; without a newest row it counts from ``as_of``.
     """
     now = ntz(as_of)
     if "automatic_maintenance" in config.columns:
         config = config.where("automatic_maintenance = 'on'")
+    at = micros(now)
+    ahead = at
+    if {"infinite_time_partitions", "newest"} <= set(config.columns):
+        idle = ~F.coalesce(F.col("infinite_time_partitions"), F.lit(False))
+        ahead = F.when(idle, F.least(at, F.coalesce(micros("newest"), at))).otherwise(at)
     cfg = config.select(
         "parent_table",
         (duration_seconds("partition_interval") * 1_000_000).alias("width"),
         "premake",
         (duration_seconds("retention") * 1_000_000).alias("keep"),
+        ahead.alias("ahead"),
     )
-    at = micros(now)
-    first = at - F.pmod(at, F.col("width"))
+    first = F.col("ahead") - F.pmod(F.col("ahead"), F.col("width"))
     wanted = cfg.select(
         "parent_table",
         "width",
@@ -446,49 +498,84 @@ def maintenance_report(config: DataFrame, partitions: DataFrame, default_rows: D
 def run_maintenance(spark: SparkSession, config: DataFrame, tables: dict[str, str], as_of) -> DataFrame:
     """Maintain catalog tables: premake and drop partitions, then report what changed.
 
-    ``tables`` maps the parent name to its catalog table, whose folders are days: intervals are whole days, others are an
-    error. One statement adds and one drops the folders of a parent; they are listed again afterwards, so running it twice
-    reports nothing more. Where ``automatic_maintenance`` is a column, parents without ``on`` are left alone.
+    ``tables`` maps the parent name to its catalog table, whose folders start at multiples of the parent's interval (dates for whole days, else times). One
+    statement adds and one drops the folders of a parent; they are listed again afterwards, so running it twice reports nothing more.
+    Columns of the configuration that are read where they are there: ``automatic_maintenance`` (parents without ``on`` are left alone),
+    ``retention_keep_table`` (expired partitions leave an external table, their files stay) and ``infinite_time_partitions`` (see ``maintained_partitions``).
     """
     config = config.where(F.col("parent_table").isin(*tables))
-    seconds = duration_seconds("partition_interval")
-    uneven = config.where(seconds.isNull() | (seconds * 1_000_000 % DAY_US != 0)).select("parent_table").first()
-    if uneven:
-        raise ValueError(f"{uneven[0]}: folders are days, so the interval must be whole days")
-
-    def folders() -> dict[str, set[str]]:
-        found = {p: (r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {t}").collect()) for p, t in tables.items()}
-        return {p: {d for d in days if d[:4].isdigit()} for p, days in found.items()}
-
-    before = folders()
-    lo = F.col("d").cast("timestamp_ntz")
-    present = spark.createDataFrame([(p, d) for p, days in before.items() for d in days], "parent_table string, d string")
-    present = present.join(config.select("parent_table", (seconds * 1_000_000).alias("width")), "parent_table").select(
+    width = duration_seconds("partition_interval") * 1_000_000
+    # one row per registered parent
+    cfg = {r["parent_table"]: r.asDict() for r in config.withColumn("width", width).collect()}
+    for parent, r in cfg.items():
+        daily = isinstance(spark.table(tables[parent]).schema[DAY].dataType, T.DateType)
+        if not r["width"] or (daily and r["width"] % DAY_US):
+            raise ValueError(f"{parent}: folders are days, so the interval must be whole days")
+
+    before = {p: _folder_times(spark, tables[p]) for p in cfg}
+    present = spark.createDataFrame([(p, at) for p, times in before.items() for at in times], "parent_table string, lo timestamp_ntz")
+    present = present.join(config.select("parent_table", width.alias("width")), "parent_table").select(
         "parent_table",
-        F.concat("parent_table", F.lit("_p"), F.replace("d", F.lit("-"), F.lit(""))).alias("partition_name"),
-        lo.alias("lo"),
-        from_micros(micros(lo) + F.col("width")).alias("hi"),
+        F.concat("parent_table", F.lit("_p"), F.date_format("lo", "yyyyMMdd_HHmmss")).alias("partition_name"),
+        "lo",
+        from_micros(micros("lo") + F.col("width")).alias("hi"),
     )
-    actions = maintained_partitions(config, present, as_of).where("action <> 'kept'")
-    todo: dict[tuple[str, str], list[str]] = {}
-    for r in actions.select("parent_table", F.to_date("lo").alias("d"), "action").collect():
-        todo.setdefault((r["parent_table"], r["action"]), []).append(f"PARTITION ({DAY} = DATE '{r['d']}')")
-    for (parent, action), days in todo.items():
-        verb, between = ("ADD IF NOT EXISTS", " ") if action == "created" else ("DROP IF EXISTS", ", ")
-        spark.sql(f"ALTER TABLE {tables[parent]} {verb} {between.join(days)}")
-    after = folders()
+    if "infinite_time_partitions" in config.columns:
+        # the newest folder with rows: a scan of the partition column alone
+        newest = [(p, spark.table(tables[p]).agg(F.max(F.col(DAY)).cast("timestamp_ntz")).first()[0]) for p in cfg]
+        config = config.join(spark.createDataFrame(newest, "parent_table string, newest timestamp_ntz"), "parent_table")
+    todo: dict[tuple[str, str], list[datetime]] = {}
+    for r in maintained_partitions(config, present, as_of).where("action <> 'kept'").select("parent_table", "lo", "action").collect():
+        todo.setdefault((r["parent_table"], r["action"]), []).append(r["lo"])
+    for (parent, action), times in todo.items():
+        if action == "created":
+            _alter(spark, tables[parent], "ADD IF NOT EXISTS", times)
+        else:
+            _forget(spark, tables[parent], times, bool(cfg[parent].get("retention_keep_table")))
+    after = {p: _folder_times(spark, tables[p]) for p in cfg}
     defaults = None
-    for parent, table in tables.items():
-        part = spark.table(table).where(F.col(DAY).isNull()).agg(F.count(F.lit(1)).alias("default_rows"))
+    for parent in cfg:
+        part = spark.table(tables[parent]).where(F.col(DAY).isNull()).agg(F.count(F.lit(1)).alias("default_rows"))
         part = part.select(F.lit(parent).alias("parent_table"), "default_rows")
         defaults = part if defaults is None else defaults.unionByName(part)
     done = spark.createDataFrame(
-        [(p, len(after[p] - before[p]), len(before[p] - after[p]), len(after[p])) for p in tables],
+        [(p, len(after[p].keys() - before[p].keys()), len(before[p].keys() - after[p].keys()), len(after[p])) for p in cfg],
         "parent_table string, created bigint, dropped bigint, partition_count bigint",
     )
-    return config.select("parent_table").join(done, "parent_table").join(defaults, "parent_table").select(
-        "parent_table", "created", "dropped", "partition_count", "default_rows"
-    )
+    if defaults is None:
+        return done.withColumn("default_rows", F.lit(0).cast("bigint"))
+    return done.join(defaults, "parent_table")
+
+
+def write_config(config: DataFrame, path: str) -> int:
+    """Store the configuration (a row per parent) as a new version at ``path``, and return its number; older versions stay."""
+    spark = config.sparkSession
+    version = 1 + max([int(n.split("-")[1]) for n in committed(spark, path) if n.startswith("version-")], default=0)
+    config.coalesce(1).write.mode("overwrite").parquet(f"{path}/version-{version:09d}")
+    return version
+
+
+def read_config(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest committed version of a stored configuration, or the given one."""
+    found = [n for n in committed(spark, path) if n.startswith("version-")]
+    if not found:
+        raise ValueError(f"no configuration is stored at {path}")
+    return spark.read.parquet(f"{path}/{found[-1] if version is None else f'version-{version:09d}'}")
+
+
+def maintain_registered(spark: SparkSession, path: str, tables: dict[str, str], as_of) -> DataFrame:
+    """``run_maintenance`` with the stored configuration, which then gets a version whose maintained parents have ``as_of`` as ``maintenance_last_run``.
+
+    A run that stops before that version is committed shows as overdue (``maintenance_age``); the next one changes no partition twice.
+    """
+    config = read_config(spark, path)
+    report = cut(run_maintenance(spark, config, tables, as_of))
+    ran = F.col("parent_table").isin(*tables)
+    if "automatic_maintenance" in config.columns:
+        ran = ran & (F.col("automatic_maintenance") == "on")
+    before = F.col("maintenance_last_run") if "maintenance_last_run" in config.columns else F.lit(None).cast("timestamp_ntz")
+    write_config(config.withColumn("maintenance_last_run", F.when(ran, ntz(as_of)).otherwise(before)), path)
+    return report
 
 
 def partition_sizes(df: DataFrame, limit: int | None = None) -> DataFrame:

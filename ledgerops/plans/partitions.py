@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from ledgerops.functions.times import ntz
+from ledgerops.functions.times import as_datetime, ntz
 from ledgerops.operators import filters
 from ledgerops.operators import partitions as parts
 from ledgerops.plans.inputs import (
@@ -301,6 +303,33 @@ def maintained_table(spark, sf):
     return parts.run_maintenance(spark, config, {"events": name}, now_of(spark, sf, "events"))
 
 
+@query(
+    "r14_maintenance_versions",
+    f"""WITH h AS (SELECT DISTINCT epoch_us(ts) // 43200000000 AS half FROM events), n AS (SELECT epoch_us({now_sql('events')}) AS now),
+        have AS (SELECT half FROM h, n WHERE (half + 1) * 43200000000 > now - 864000000000
+                 UNION SELECT now // 43200000000 + unnest(range(4)) FROM n)
+        SELECT 'events' AS parent_table, 0::BIGINT AS created_again, 3600.0::DOUBLE AS seconds_since_maintenance, false AS overdue, count(*) AS partition_count FROM have""",
+)
+def maintained_twice(spark, sf):
+    """Half-day folders, a stored configuration, two runs an hour apart, and the age of the last one an hour later."""
+    path = scratch_path(spark, "halves")
+    name, now = "halves_" + path.rsplit("-", 1)[1], now_of(spark, sf, "events")
+    rows = files.with_partition(load_table(spark, sf, "events"), "ts", "12 hours")
+    rows.hint("rebalance", F.col("p_day")).write.option("path", path).partitionBy("p_day").saveAsTable(name)
+    config = spark.createDataFrame(
+        [("events", "12 hours", 3, "10 days", "on", True, False)],
+        "parent_table string, partition_interval string, premake int, retention string, automatic_maintenance string, infinite_time_partitions boolean, retention_keep_table boolean",
+    )
+    store = scratch_path(spark, "config")
+    parts.write_config(config, store)
+    parts.maintain_registered(spark, store, {"events": name}, now)
+    again = parts.maintain_registered(spark, store, {"events": name}, now)
+    age = parts.maintenance_age(parts.read_config(spark, store), as_datetime(now) + timedelta(hours=1))
+    return age.join(again, "parent_table").select(
+        "parent_table", F.col("created").alias("created_again"), "seconds_since_maintenance", "overdue", "partition_count"
+    )
+
+
 @query(
     "r15_partition_sizes",
     """SELECT CAST(ts AS DATE) AS p_day, count(*) AS "rows", true AS has_bytes FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 10""",

@@ -14,6 +14,30 @@ from ledgerops.functions.times import as_datetime, from_micros, micros, ntz, to_
 DAY = "p_day"
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write has been committed (they hold ``_SUCCESS``), sorted; none where nothing is stored."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    done = [f.getPath() for f in fs.listStatus(target) if f.isDirectory()]
+    return sorted(d.getName() for d in done if fs.exists(jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a stored table, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of everything below ``path``, hidden files included."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength()
+
+
 def interval_start(control: Column | str, interval: str | timedelta = "1 day") -> Column:
     """Start of the interval a time falls in, counted from 1970-01-01."""
     width = to_micros(interval)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ledgerops.functions.times import to_micros
 
 
+#: Spark merges the sessions of a stream within each task, before the shuffle, where this is set.
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
@@ -43,7 +47,12 @@ def stream_sliding_rate(
 
 
 def stream_stalls(df: DataFrame, keys: list[str], gap: str, watermark: str | None, ts: str = "ts") -> DataFrame:
-    """Activity stretches that ended because nothing came for ``gap``: (keys.., since, last_seen, events)."""
+    """Activity stretches that ended because nothing came for ``gap``: (keys.., since, last_seen, events).
+
+    Sessions of a stream are merged in each task before they are shuffled, so a hot key sends a row per stretch and task, not one per event. The setting for
+    this changes no result; it is switched on in the session of ``df``.
+    """
+    df.sparkSession.conf.set(LOCAL_SESSIONS, "true")
     if watermark is not None:
         df = df.withWatermark(ts, _interval(watermark))
     sessions = df.groupBy(F.session_window(ts, _interval(gap)).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))

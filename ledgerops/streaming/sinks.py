@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerops.operators.ordered import unfold
 from ledgerops.operators.partitions import Calendar
-from ledgerops.sources.files import DAY, with_partition
+from ledgerops.sources.files import DAY, committed, remove_folder, with_partition
 
 BATCH = "batch_id"
 
@@ -94,14 +94,66 @@ def partitioned_sink(df: DataFrame, control: str, calendar: Calendar, path: str,
     return to_parquet(routed, path, checkpoint, [DAY])
 
 
+#: So many committed runs of partial sums are folded into one of the next level.
+FOLD = 8
+
+
+def _run(level: int, n: int) -> str:
+    """Folder of run ``n`` of a level: the sums of the batches from n * FOLD ** level on, FOLD ** level of them."""
+    return f"run-{level:02d}-{n:012d}"
+
+
+def _runs(spark: SparkSession, path: str) -> set[tuple[int, int]]:
+    names = [name.split("-") for name in committed(spark, path) if name.startswith("run-")]
+    return {(int(level), int(n)) for _, level, n in names}
+
+
+def _covered(run: tuple[int, int], runs: set[tuple[int, int]]) -> bool:
+    """Whether a run of a higher level holds the sums of this one."""
+    level, n = run
+    return any(up > level and n // FOLD ** (up - level) == m for up, m in runs)
+
+
+def _folded(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(DAY, *by).agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.max("highest").alias("highest"))
+
+
+def add_stats(partial: DataFrame, batch_id: int, path: str, by: list[str]) -> None:
+    """Add the partial sums of one micro-batch to the store at ``path``, and fold runs that are due.
+
+    The store is a log of runs, each written once and committed as a whole. When the last of ``FOLD`` runs of a level is there, they become one run of the
+    next level, so that n batches leave at most about 2 * FOLD runs a level and log(n) levels; the runs a fold replaced are deleted one fold later, when readers
+    have moved on. A repeated batch finds its run committed, or a run that holds it, and changes nothing; it only ends a fold that was stopped. Batch ids
+    count from 0 without gaps, as streams number them: a stream with a new checkpoint needs a new store.
+    """
+    spark = partial.sparkSession
+    runs = _runs(spark, path)
+    if (0, batch_id) not in runs and not _covered((0, batch_id), runs):
+        partial.sortWithinPartitions(DAY).write.mode("overwrite").parquet(f"{path}/{_run(0, batch_id)}")
+        runs.add((0, batch_id))
+    level, n = 0, batch_id
+    while n % FOLD == FOLD - 1:
+        parts = [(level, n - i) for i in range(FOLD)]
+        level, n = level + 1, n // FOLD
+        if (level, n) not in runs and not _covered((level, n), runs):
+            if not runs.issuperset(parts):
+                raise ValueError(f"{path} lacks batches of run {n} at level {level}: the store belongs to another stream")
+            stored = spark.read.schema(partial.schema).parquet(*[f"{path}/{_run(*r)}" for r in parts])
+            _folded(stored, by).select(*partial.columns).sortWithinPartitions(DAY).write.mode("overwrite").parquet(f"{path}/{_run(level, n)}")
+            runs.add((level, n))
+        for old in [r for r in runs if r[0] == level - 1 and r[1] // FOLD < n and _covered(r, runs)]:
+            remove_folder(spark, f"{path}/{_run(*old)}")
+            runs.remove(old)
+
+
 def refresh_stats(df: DataFrame, control: str, path: str, checkpoint: str, value: str, by: list[str]) -> StreamingQuery:
-    """Incremental daily statistics in their own store: partial sums per day and batch."""
+    """Incremental daily statistics in their own store: partial sums per batch, folded as ``add_stats`` says."""
 
     def add(rows: DataFrame, batch_id: int) -> None:
         partial = with_partition(rows, control).groupBy(DAY, *by).agg(
             F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"), F.max(value).alias("highest")
         )
-        _overwrite_batch(partial, batch_id, path)
+        add_stats(partial, batch_id, path, by)
 
     return (
         df.writeStream.foreachBatch(add)
@@ -112,7 +164,9 @@ def refresh_stats(df: DataFrame, control: str, path: str, checkpoint: str, value
 
 
 def read_stats(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
-    """Statistics per day from the partial sums of all batches."""
-    return spark.read.parquet(path).groupBy(DAY, *by).agg(
-        F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.max("highest").alias("highest")
-    )
+    """Statistics per day from the runs that no other run holds; an error where no batch has been stored."""
+    runs = _runs(spark, path)
+    live = sorted(r for r in runs if not _covered(r, runs))
+    if not live:
+        raise ValueError(f"no statistics are stored at {path}")
+    return _folded(spark.read.parquet(*[f"{path}/{_run(*r)}" for r in live]), by)

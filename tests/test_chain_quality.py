@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -211,3 +212,31 @@ def test_fee_scan_is_bounded(spark, tmp_path):
         newest = sorted(range(0, 1000, step))[-100:]
         assert {r["speed"]: r["value"] for r in got} == {"low": newest[0] * 2.0, "high": newest[-1] * 2.0}
     assert chain.fee_percentiles(txs, "block", "price", blocks.limit(0), "number", 100, {"low": 0.0}).count() == 0
+
+
+def test_table_sizes_against_the_file_system(spark):
+    path = scratch_path(spark, "t-sizes")
+    spark.range(1000, numPartitions=3).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(path)
+    spark.range(5).coalesce(1).write.parquet(f"{path}/_ledger")
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet") and "_ledger" not in d]
+    r = health.table_sizes(spark, {"t": path}).first()
+    assert (r["data_bytes"], r["largest_bytes"], r["files"], r["rows"]) == (sum(sizes), max(sizes), len(sizes), 1000)
+    assert r["rest_bytes"] == r["total_bytes"] - r["data_bytes"] > 0
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_sketched_profile(spark):
+    df = spark.range(20_000).select(
+        "id", (-F.col("id")).alias("down"), F.lit(7).alias("same"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("gaps"),
+        F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"), F.lit(None).cast("double").alias("none"),
+    )
+    cols = ["id", "down", "same", "gaps", "name", "none"]
+    near = {r["attname"]: r for r in health.column_profile(df, cols, ["id"], approx=True).collect()}
+    exact = {r["attname"]: r for r in health.column_profile(df, cols, ["id"]).collect()}
+    for c in cols:
+        assert near[c]["n_distinct"] == pytest.approx(exact[c]["n_distinct"], rel=0.05)
+        assert (near[c]["correlation"] is None) == (exact[c]["correlation"] is None), c
+        if exact[c]["correlation"] is not None:
+            assert near[c]["correlation"] == pytest.approx(exact[c]["correlation"], abs=0.02)
+    assert health.column_profile(df, ["id"], [], approx=True).first()["correlation"] is None
+    assert health.column_profile(df.limit(0), ["id"], ["id"], approx=True).first()["n_distinct"] == 0

@@ -236,3 +236,48 @@ def test_migration_in_batches_resumes(spark, blocks, calendar):
     assert p.reconcile(more, spark.read.parquet(path), ["hash"]).first()["passed"]
     with pytest.raises(PySparkException):
         p.migrate_in_batches(blocks.withColumn("inserted_at", F.lit(None).cast("timestamp_ntz")), scratch_path(spark, "t-null"), "inserted_at", calendar)
+
+
+CONFIG = "parent_table string, partition_interval string, premake int, retention string, automatic_maintenance string, retention_keep_table boolean, infinite_time_partitions boolean"
+
+
+def halves(spark, blocks, name):
+    path = scratch_path(spark, name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    files.with_partition(blocks, "inserted_at", "12 hours").write.option("path", path).partitionBy("p_day").saveAsTable(name)
+    return path
+
+
+def test_half_day_folders_are_maintained_and_the_run_is_stored(spark, blocks):
+    path, name, store = halves(spark, blocks, "t_halves"), "t_halves", scratch_path(spark, "t-config")
+    kept = blocks.where(F.col("inserted_at") >= p.ntz(p.first_kept(EVENING, "1 day", "12 hours"))).count()
+    p.write_config(spark.createDataFrame([("a", "12 hours", 3, "1 day", "on", False, True), ("off", "1 day", 1, "1 day", "off", False, True)], CONFIG), store)
+    first = p.maintain_registered(spark, store, {"a": name}, EVENING).first()
+    assert first["created"] > 0 and first["dropped"] > 0 and spark.table(name).count() == kept
+    assert spark.read.parquet(path).count() == kept  # the folders are gone as well
+    again = p.maintain_registered(spark, store, {"a": name}, EVENING).first()
+    assert (again["created"], again["dropped"], again["partition_count"]) == (0, 0, first["partition_count"])
+    ages = {r["parent_table"]: r for r in p.maintenance_age(p.read_config(spark, store), EVENING, null_as_zero=False).collect()}
+    assert ages["a"]["seconds_since_maintenance"] == 0 and ages["off"]["seconds_since_maintenance"] is None
+    assert "maintenance_last_run" not in p.read_config(spark, store, 1).columns  # older versions stay
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_kept_tables_leave_the_catalog_only(spark, blocks):
+    path, name = halves(spark, blocks, "t_kept"), "t_kept"
+    all_rows, config = spark.read.parquet(path).count(), spark.createDataFrame([("a", "12 hours", 0, "1 day", "on", True, True)], CONFIG)
+    assert p.run_maintenance(spark, config, {"a": name}, EVENING).first()["dropped"] > 0
+    assert spark.table(name).count() < all_rows == spark.read.parquet(path).count()
+    spark.sql(f"DROP TABLE {name}")
+    files.with_partition(blocks, "inserted_at", "12 hours").write.partitionBy("p_day").saveAsTable("t_managed")
+    with pytest.raises(ValueError, match="not external"):
+        p.run_maintenance(spark, config, {"a": "t_managed"}, EVENING)
+    spark.sql("DROP TABLE t_managed")
+
+
+def test_idle_parents_get_no_new_partitions(spark):
+    none = spark.createDataFrame([], "parent_table string, partition_name string, lo timestamp_ntz, hi timestamp_ntz")
+    config = spark.createDataFrame([("a", "1 day", 2, "90 days", False), ("b", "1 day", 2, "90 days", True)], "parent_table string, partition_interval string, premake int, retention string, infinite_time_partitions boolean")
+    config = config.withColumn("newest", F.lit("2025-01-01 05:00:00").cast("timestamp_ntz"))
+    last = {r["parent_table"]: r["hi"] for r in p.maintained_partitions(config, none, EVENING).groupBy("parent_table").agg(F.max("hi").alias("hi")).collect()}
+    assert last["a"] == datetime(2025, 1, 4) and last["b"] > datetime(2025, 3, 1)

@@ -161,3 +161,40 @@ def test_live_alerts_match_batch(spark):
     assert sorted((tuple(r) for r in out if r["state"] != "resolved"), key=key) == sorted(want, key=key)
     assert sorted((r["series"], r["t"]) for r in out if r["state"] == "resolved") == sorted(resolved)
     assert len(resolved) > 5
+
+
+def test_runs_are_folded_and_repeats_change_nothing(spark):
+    path, by = scratch_path(spark, "t-fold"), ["k"]
+
+    def add(i):
+        rows = [(datetime(2024, 1, 1 + i % 5).date(), "a", 2, float(i), float(i))]
+        sinks.add_stats(spark.createDataFrame(rows, "p_day date, k string, rows bigint, total double, highest double").coalesce(1), i, path, by)
+
+    want, before = lambda n: (2 * n, sum(map(float, range(n)))), sinks.FOLD
+    try:
+        sinks.FOLD = 3
+        for i in range(20):
+            add(i)
+            if i in (2, 8, 10):
+                add(i), add(max(0, i - 1))
+            got = sinks.read_stats(spark, path, by).agg(F.sum("rows"), F.sum("total")).first()
+            assert tuple(got) == want(i + 1)
+        assert len(sinks._runs(spark, path)) <= 2 * 3 * 3
+        assert sinks.read_stats(spark, path, by).count() == 5
+    finally:
+        sinks.FOLD = before
+    with pytest.raises(ValueError, match="no statistics"):
+        sinks.read_stats(spark, scratch_path(spark, "t-none"), by)
+
+
+def test_sessions_merge_before_the_shuffle(spark):
+    landed, out = scratch_path(spark, "t-hot"), scratch_path(spark, "t-hot-out")
+    hot = spark.range(20_000, numPartitions=4).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.col("id") % 100).alias("ts"))
+    late = hot.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(100_000)))
+    hot.unionByName(late).write.parquet(landed)
+    found = flows.stream_stalls(sinks.read_files(spark, landed, hot.schema), ["k"], "5 minutes", "1 hour")
+    query = sinks.to_parquet(found, out, scratch_path(spark, "t-state"))
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "MergingSessions" in plan[plan.index("Exchange hashpartitioning"):]  # below the shuffle, and above it
+    assert [tuple(r) for r in spark.read.parquet(out).select("events").collect()] == [(20_000,)]
