@@ -66,6 +66,80 @@ SQL_FUNCTIONS = {
     "json_field": ("v STRING, path STRING", "STRING", "get_json_object(v, path)"),
 }
 
+# Texts and numbers whose steps are functions of their own: each argument is computed once. Order matters, as later ones call earlier ones.
+_UNITS = ["", "k", "M", "G", "T", "P", "E", "Z", "Y"]
+_PARTS = ["m", "u", "n", "p", "f", "a", "z"]
+
+
+def _scaled_text(steps: list[tuple[float, float, str]], least: tuple[float, str]) -> str:
+    """Significant digits of v, scaled by the first step whose bound its size reaches."""
+    # dividing by a whole power keeps large values exact; small ones are multiplied
+    number = lambda f: f"v * {f!r}D" if f >= 1 else f"v / {round(1 / f)!r}e0D"
+    whens = " ".join(f"WHEN abs(v) >= {b!r}D THEN concat(significant({number(f)}), '{s}')" for b, f, s in steps)
+    return f"CASE {whens} ELSE concat(significant({number(least[0])}), '{least[1]}') END"
+
+
+_METRIC_STEPS = [(1000.0**i, 1000.0**-i, u) for i, u in reversed(list(enumerate(_UNITS)))] + [(1000.0**-i, 1000.0**i, u) for i, u in enumerate(_PARTS, start=1)]
+_WHOLE = "floor(abs(v))"
+_CLOCK = ", ".join(
+    f"CASE WHEN {_WHOLE} >= {width} THEN concat(CAST(floor({_WHOLE} / {width}) {wrap} AS BIGINT), '{unit}') END"
+    for unit, width, wrap in [("d", 86400, ""), ("h", 3600, "% 24"), ("m", 60, "% 60"), ("s", 1, "% 60")]
+)
+_DIGITS = "lower(regexp_replace(h, '^0[xX]', ''))"
+
+SQL_FUNCTIONS |= {
+    "decimal_digits": ("n DOUBLE, places DOUBLE", "STRING", r"regexp_replace(CAST(CAST(n / pow(10D, places) AS DECIMAL(20,7)) AS STRING), r'\.?0+$', '')"),
+    # the product p of size and f, with the error of its rounding from the halves of size
+    "nearest_of": (
+        "size DOUBLE, f DOUBLE, high DOUBLE, p DOUBLE", "DOUBLE",
+        "CASE WHEN p - floor(p) = 0.5D AND (high * f - p) + (size - high) * f > 0 THEN floor(p) + 1D"
+        " WHEN p - floor(p) = 0.5D AND (high * f - p) + (size - high) * f < 0 THEN CAST(floor(p) AS DOUBLE) ELSE rint(p) END",
+    ),
+    "nearest_scaled": ("size DOUBLE, f DOUBLE", "DOUBLE", "nearest_of(size, f, size * 134217729D - (size * 134217729D - size), size * f)"),
+    "exponent_from": ("size DOUBLE, e DOUBLE", "DOUBLE", "CASE WHEN pow(10D, e + 1) <= size THEN e + 1 WHEN pow(10D, e) > size THEN e - 1 ELSE e END"),
+    "scientific_text": (
+        "n DOUBLE, e DOUBLE", "STRING",
+        "concat(decimal_digits(CASE WHEN n >= 10000 THEN n / 10 ELSE n END, 3D), format_string('e%+03d', CAST(CASE WHEN n >= 10000 THEN e + 1 ELSE e END AS INT)))",
+    ),
+    "scientific_units": ("size DOUBLE, unit DOUBLE", "DOUBLE", "CASE WHEN size % unit = unit / 2 THEN floor(size / unit) + floor(size / unit) % 2 ELSE rint(size / unit) END"),
+    "significant_of": (
+        "size DOUBLE, e DOUBLE", "STRING",
+        "CASE WHEN e >= -4 AND e < 4 THEN decimal_digits(nearest_scaled(size, pow(10D, 3 - e)), 3 - e) ELSE scientific_text(scientific_units(size, pow(10D, e - 3)), e) END",
+    ),
+    "significant": (
+        "v DOUBLE", "STRING",
+        "CASE WHEN v = 0 THEN '0' ELSE concat(CASE WHEN v < 0 THEN '-' ELSE '' END, significant_of(abs(v), exponent_from(abs(v), CAST(floor(log10(abs(v))) AS DOUBLE)))) END",
+    ),
+    "humanize": ("v DOUBLE", "STRING", f"CASE WHEN v = 0 THEN '0' ELSE {_scaled_text(_METRIC_STEPS, (1e24, 'y'))} END"),
+    "humanize_percentage": ("v DOUBLE", "STRING", "concat(significant(v * 100D), '%')"),
+    "humanize_duration": (
+        "v DOUBLE", "STRING",
+        f"CASE WHEN v = 0 THEN '0s' WHEN {_WHOLE} >= 60 THEN concat(CASE WHEN v < 0 THEN '-' ELSE '' END, concat_ws(' ', {_CLOCK}))"
+        f" ELSE {_scaled_text([(1.0, 1.0, 's'), (1e-3, 1e3, 'ms'), (1e-6, 1e6, 'us')], (1e9, 'ns'))} END",
+    ),
+    "hex_digits": (
+        "h STRING", "STRING",
+        f"CASE WHEN {_DIGITS} RLIKE '^[0-9a-f]+$' THEN coalesce(nullif(ltrim('0', {_DIGITS}), ''), '0') END",
+    ),
+    "decimal_of_digits": (
+        "d STRING", "DECIMAL(38,0)",
+        "CASE WHEN length(d) <= 15 THEN CAST(CAST(conv(d, 16, 10) AS BIGINT) AS DECIMAL(38,0)) WHEN length(d) <= 32 THEN CAST(try_add(try_add("
+        f"try_multiply(CAST(conv(substring(lpad(d, 45, '0'), 1, 15), 16, 10) AS DECIMAL(38,0)), CAST('{2**120}' AS DECIMAL(38,0))), "
+        f"try_multiply(CAST(conv(substring(lpad(d, 45, '0'), 16, 15), 16, 10) AS DECIMAL(38,0)), CAST('{2**60}' AS DECIMAL(38,0)))), "
+        "CAST(conv(substring(lpad(d, 45, '0'), 31, 15), 16, 10) AS DECIMAL(38,0))) AS DECIMAL(38,0)) END",
+    ),
+    "hex_to_decimal": ("h STRING", "DECIMAL(38,0)", "decimal_of_digits(hex_digits(h))"),
+    "hex_to_long": ("h STRING", "BIGINT", "try_cast(hex_to_decimal(h) AS BIGINT)"),
+    "coin_text": (
+        "digits STRING, sign STRING", "DECIMAL(38,18)",
+        "CAST(concat(sign, substring(digits, 1, length(digits) - 18), '.', right(digits, 18)) AS DECIMAL(38,18))",
+    ),
+    "to_coin": (
+        "units DECIMAL(38,0)", "DECIMAL(38,18)",
+        "coin_text(lpad(CAST(abs(units) AS STRING), greatest(length(CAST(abs(units) AS STRING)), 19), '0'), CASE WHEN units < 0 THEN '-' ELSE '' END)",
+    ),
+}
+
 _LSN = SQL_FUNCTIONS["lsn_bytes"][2]
 SQL_FUNCTIONS["lsn_diff"] = (
     "a STRING, b STRING", "DECIMAL(20,0)",

@@ -13,7 +13,7 @@ from ledgerops.functions.times import UNIT_SECONDS
 __all__ = [
     "duration_seconds", "safe_ratio", "flag", "qualified", "md5_hash", "md5_bytes",
     "size_pretty", "humanize", "humanize_percentage", "humanize_duration", "significant",
-    "number_text", "render", "value_formats", "hex_to_number", "hex_to_decimal", "lsn_bytes", "lsn_diff",
+    "number_text", "render", "value_formats", "hex_to_number", "hex_to_decimal", "word_to_decimal", "lsn_bytes", "lsn_diff",
     "normalize_address", "to_coin", "parse_quantity", "parse_iso", "json_field",
 ]
 
@@ -259,6 +259,19 @@ def hex_to_decimal(col: Column | str) -> Column:
     return _let(_bare_hex(col), number)
 
 
+def word_to_decimal(word: Column) -> Column:
+    """A 32-byte word, 64 lower-case hex digits, as DECIMAL(38,0); null beyond 38 digits, and where it is no such word.
+
+    The places of the limbs are fixed, so plain substrings do; most numbers fit the lowest limb.
+    """
+    limb = lambda first, n: F.conv(F.substring(word, first, n), 16, 10).cast("decimal(38,0)")
+    zeros = lambda n: F.substring(word, 1, n) == "0" * n
+    scale = lambda bits: F.lit(str(2**bits)).cast("decimal(38,0)")
+    wide = F.try_add(F.try_add(F.try_multiply(limb(33, 2), scale(120)), F.try_multiply(limb(35, 15), scale(60))), limb(50, 15))
+    valid = (F.length(word) == 64) & (F.translate(word, "0123456789abcdef", "") == "")
+    return F.when(~valid, F.lit(None)).when(zeros(49), limb(50, 15)).when(zeros(32), wide.cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
 def hex_to_number(col: Column | str) -> Column:
     """Struct of the quantity as LONG, as DECIMAL(38,0), and the hex digits kept."""
     dec = hex_to_decimal(col)

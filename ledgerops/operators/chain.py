@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerops.functions.scalars import hex_to_decimal
+from ledgerops.functions.scalars import word_to_decimal
 from ledgerops.functions.times import as_datetime, ntz
 from ledgerops.operators.joins import resolve_signature
 from ledgerops.operators.ordered import OrderedRows, exact_quantiles, unfold
@@ -228,11 +228,11 @@ def _words(data: Column) -> Column:
 
 def _typed_word(word: Column, kind: str) -> Column:
     if kind == "uint256":
-        return hex_to_decimal(word)
+        return word_to_decimal(word)
     if kind == "address":
         return F.concat(F.lit("0x"), F.substring(word, 25, 40))
     if kind == "bool":
-        return hex_to_decimal(word) != 0
+        return word != "0" * 64
     return F.concat(F.lit("0x"), word)
 
 

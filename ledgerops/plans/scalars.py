@@ -242,6 +242,23 @@ def registered(spark, sf):
     )
 
 
+@query(
+    "y01_register_texts",
+    f"""SELECT event_id, {_SI} AS si, concat(format('{{:.4g}}', value / 500 * 100), '%') AS pct, {_HMS} AS duration,
+        CAST(event_id + 1 AS DECIMAL(38,0)) AS whole, event_id + 1 AS as_long, CAST((event_id + 1) / 8 AS DECIMAL(38,18)) AS coins
+        FROM (SELECT event_id, value, CASE event_id % 4 WHEN 0 THEN value * 1e7 WHEN 1 THEN value * 1e3 WHEN 2 THEN value
+              ELSE value / 1e5 END AS v, value * value * 10 AS d, CAST(floor(value * value * 10) AS BIGINT) AS s FROM events) q""",
+)
+def registered_texts(spark, sf):
+    register_functions(spark)
+    return spark.sql(
+        """SELECT event_id, humanize(CASE event_id % 4 WHEN 0 THEN value * 1e7D WHEN 1 THEN value * 1e3D WHEN 2 THEN value ELSE value / 1e5D END) AS si,
+           humanize_percentage(value / 500) AS pct, humanize_duration(value * value * 10) AS duration, hex_to_decimal(concat('0x', hex(event_id + 1))) AS whole,
+           hex_to_long(hex(event_id + 1)) AS as_long, to_coin(CAST(CAST(event_id + 1 AS DECIMAL(18,0)) * CAST(125000000000000000 AS DECIMAL(18,0)) AS DECIMAL(38,0))) AS coins FROM {events}""",
+        events=load_table(spark, sf, "events"),
+    )
+
+
 @query(
     "f01_recent",
     f"SELECT number, inserted_at FROM {view_sql('blocks')} WHERE inserted_at > {now_sql('orders')} - INTERVAL 90 DAY",

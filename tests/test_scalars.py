@@ -116,3 +116,25 @@ def test_sql_names_equal_columns(spark):
     by_column = df.select(fn.duration_seconds("d"), fn.parse_quantity("q"), fn.size_pretty("n"), fn.parse_iso("iso"), fn.lsn_diff("a", "b"), fn.md5_hash("d"), fn.qualified("d", "q"))
     by_name = df.selectExpr("duration_seconds(d)", "parse_quantity(q)", "size_pretty(n)", "parse_iso(iso)", "lsn_diff(a, b)", "md5_hash(d)", "qualified_name(d, q)")
     assert [tuple(r) for r in by_name.collect()] == [tuple(r) for r in by_column.collect()]
+
+
+def test_words_equal_hex_of_any_width(spark):
+    words = ["0" * 64, "0" * 63 + "1", "0" * 49 + "f" * 15, "0" * 48 + "f" * 16, "0" * 32 + "4b3b4ca85a86c47a098a223fffffffff", "0" * 32 + "f" * 32, "f" * 64, "1" + "0" * 63, "g" * 64, "12", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [tuple(r) for r in df.select(fn.word_to_decimal(F.col("w")), F.when(F.length("w") == 64, fn.hex_to_decimal("w"))).collect()]
+    assert all(a == b for a, b in got) and int(got[4][0]) == 10**38 - 1
+
+
+def test_sql_names_of_texts_and_quantities(spark):
+    register_functions(spark)
+    values = [0.0, 1.0, -1.0, 999.95, 1234567.0, 1.145, 0.00012345, 1e-5, 12345.0, 59.999, 60.0, 3661.0, 90061.5, -90061.5, 0.5, 0.0005, 3e-7, 4e-10, 2.5e15, 1e27, 7.0e-23, 99999.5, 0.1 + 0.2, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for name, make in [("significant", lambda c: fn.significant(F.col(c))), ("humanize", fn.humanize), ("humanize_percentage", fn.humanize_percentage), ("humanize_duration", fn.humanize_duration)]:
+        pairs = df.select("v", F.expr(f"{name}(v)").alias("a"), make("v").alias("b")).collect()
+        assert [r for r in pairs if r["a"] != r["b"]] == [], name
+    hexes = ["0x0", "0xFF", "ff", "0x", "zz", "0x" + "f" * 16, "7fffffffffffffff", "0x" + "f" * 31, "f" * 64, None]
+    df = spark.createDataFrame([(h,) for h in hexes], "h string")
+    pairs = df.select("h", F.expr("hex_to_decimal(h)").alias("a"), fn.hex_to_decimal("h").alias("b"), F.expr("hex_to_long(h)").alias("c"), fn.hex_to_number("h")["as_long"].alias("d")).collect()
+    assert [r for r in pairs if (r["a"], r["c"]) != (r["b"], r["d"])] == []
+    df = spark.sql("SELECT CAST(v AS DECIMAL(38,0)) v FROM VALUES ('0'), ('1'), ('-1'), ('1000000000000000000'), ('-12345678901234567890123'), (NULL) t(v)")
+    assert [r for r in df.select("v", F.expr("to_coin(v)").alias("a"), fn.to_coin("v").alias("b")).collect() if r["a"] != r["b"]] == []
