@@ -245,7 +245,7 @@ def registered(spark, sf):
 @query(
     "y01_register_texts",
     f"""SELECT event_id, {_SI} AS si, concat(format('{{:.4g}}', value / 500 * 100), '%') AS pct, {_HMS} AS duration,
-        CAST(event_id + 1 AS DECIMAL(38,0)) AS whole, event_id + 1 AS as_long, CAST((event_id + 1) / 8 AS DECIMAL(38,18)) AS coins
+        CAST(event_id + 1 AS DECIMAL(38,0)) AS whole, event_id + 1 AS as_long, CAST(concat((event_id + 1) // 8, '.', lpad(CAST((event_id + 1) % 8 * 125 AS VARCHAR), 3, '0')) AS DECIMAL(38,18)) AS coins
         FROM (SELECT event_id, value, CASE event_id % 4 WHEN 0 THEN value * 1e7 WHEN 1 THEN value * 1e3 WHEN 2 THEN value
               ELSE value / 1e5 END AS v, value * value * 10 AS d, CAST(floor(value * value * 10) AS BIGINT) AS s FROM events) q""",
 )
