@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed letter n-grams (1 to 3 code points, over words with one space around) are added up per language over all learnt rows, in map
-tasks first; the table of log-probabilities has one row per language and a fixed number of slots, and goes to every task. Texts are scored in batches
-of 256, as a dense array of counts times that table.
+tasks first; the table of log-probabilities has one row per language and a fixed number of slots, and goes to every task. Texts are scored in sparse
+batches: the table's rows for the distinct slots of each text, weighed by their counts and added up. Very long texts are scored whole; a text has at most
+as many distinct slots as the table has rows.
 """
 
 from __future__ import annotations
@@ -118,18 +119,44 @@ def train(learnt: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
+#: Entries (text and distinct slot) that are scored at once: so many rows of the table are gathered.
+ENTRIES = 1 << 16
+
+
+def _likelihoods(texts: list[str | None], table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each text in each language, and which texts have a letter.
+
+    A batch is sparse: distinct slots and their counts of one text after the other. Their rows of the table are gathered, weighed and added up per text.
+    """
+    likely, known = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), dtype=bool)
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def score() -> None:
+        if held:
+            starts = np.concatenate([[0], np.cumsum([len(s) for _, s, _ in held])[:-1]])
+            weighed = table[np.concatenate([s for _, s, _ in held])] * np.concatenate([c for _, _, c in held])[:, None].astype(np.float64)
+            likely[[i for i, _, _ in held]] = np.add.reduceat(weighed, starts, axis=0)
+            held.clear()
+
+    entries = 0
+    for i, text in enumerate(texts):
+        found = slots(text or "", bits)
+        if len(found):
+            known[i] = True
+            held.append((i, *np.unique(found, return_counts=True)))
+            entries += len(held[-1][1])
+            if entries >= ENTRIES:
+                score()
+                entries = 0
+    score()
+    return likely, known
+
+
 def _predict(languages: list[str], table: np.ndarray, bits: int):
     def run(batches):
         for piece in slices(batches, 256):
             texts = piece.column(1).to_pylist()
-            counts = np.zeros((len(texts), 1 << bits), dtype=np.float32)
-            known = np.zeros(len(texts), dtype=bool)
-            for i, text in enumerate(texts):
-                s = slots(text or "", bits)
-                if len(s):
-                    counts[i] = np.bincount(s, minlength=1 << bits)
-                    known[i] = True
-            likely = (counts @ table).astype(np.float64)
+            likely, known = _likelihoods(texts, table, bits)
             if languages:
                 best = likely.argmax(axis=1)
                 score = 1 / np.exp(likely - likely.max(axis=1, keepdims=True)).sum(axis=1)

@@ -7,6 +7,7 @@ import re
 import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from ledgerops.llm import html_text, langid, licenses, secrets, toxicity, warc
@@ -267,3 +268,21 @@ def test_archives_round_trip(spark, monkeypatch):
     assert texts[10] == "z" * (1 << 24)  # its size needs the highest byte
     assert texts[2] == same and texts[8] == "y" * 70_000 and texts[3] == ""
     assert warc.round_trip(pages.limit(0), scratch_path(spark, "warc-none")).count() == 0
+
+
+def test_sparse_scores_equal_dense_ones():
+    from ledgerops.llm import langid
+
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(1 << 6, 3))
+    texts = ["der Hund", None, "", "123 !?", "the dog " * 3000, "le chien", "a", "the dog"]
+    before = langid.ENTRIES
+    for entries in (1, 7, before):
+        langid.ENTRIES = entries
+        likely, known = langid._likelihoods(texts, table, 6)
+        for i, text in enumerate(texts):
+            found = langid.slots(text or "", 6)
+            assert known[i] == (len(found) > 0)
+            assert np.allclose(likely[i], sum((table[s] for s in found), np.zeros(3)), rtol=1e-9)
+    langid.ENTRIES = before
+    assert langid._likelihoods([], table, 6)[0].shape == (0, 3)
