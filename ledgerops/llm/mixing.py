@@ -16,6 +16,8 @@ from ledgerops.llm.tables import fresh, small, written
 WEIGHTS = (5, 2, 1)
 #: Most repeats of a source; blocks in the whole mix, about; output shards (a power of two); documents in one cell of a line.
 MOST, BLOCKS, SHARDS, CELL = 3, 4096, 16, 5000
+#: Words that a shard of the written mix should hold, about.
+SHARD_WORDS = 16_000_000
 _WHITE = "\\x20\\t\\n\\x0B\\f\\r"
 
 
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = written(targets(per_source.select("source", "source_size"), weights), "targets")
     n = per_source.agg(F.sum("n"), F.sum("source_size"), F.count("*")).first()
     cells = 1 + (n[0] or 0) // CELL
-    block = max(1.0, (n[1] or 0) / BLOCKS)
+    block = max(1.0, (n[1] or 0) / max(BLOCKS, 32 * shards))
 
     # places on the line: sums of cells of hash values first, then within each cell
     cell = F.pmod(F.shiftright("place", 20), F.lit(cells))
@@ -130,11 +132,19 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
 
 
+def shards_for(words: int) -> int:
+    """Shards for a mix of so many words: a power of two, ``SHARDS`` at least."""
+    return max(SHARDS, 1 << max(0, -(-words // SHARD_WORDS) - 1).bit_length())
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, with the same columns; rows are dealt by shard and ordered within it.
 
-    Of rows that are equal in id, text and source, one stands for all, and comes as often as the mix takes them together.
+    Of rows that are equal in id, text and source, one stands for all, and comes as often as the mix takes them together. Unless ``shards`` is given, their number
+    grows with the words (``shards_for``); each shard is one partition.
     """
+    if "shards" not in options:
+        options["shards"] = shards_for(docs.agg(F.sum(word_count(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0)
     rows, places = mix(docs, id_col, text_col, source_col, **options)
     # rows that are not taken count too: the mix may take some of several equal rows
     each = rows.select("row", "id", "source", "text_hash").join(places, "row", "left")
@@ -152,5 +162,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if not repeated.isEmpty():
         twice = docs.join(repeated.withColumnsRenamed(names), on)
         full = full.unionByName(twice.dropDuplicates([names["id"], names["source"], names["text_hash"]]))
-    out = full.withColumn(mark, F.explode(names["places"])).repartition(F.col(f"{mark}.shard")).sortWithinPartitions(f"{mark}.shard", f"{mark}.place")
+    out = full.withColumn(mark, F.explode(names["places"])).repartitionById(options["shards"], F.col(f"{mark}.shard")).sortWithinPartitions(f"{mark}.shard", f"{mark}.place")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

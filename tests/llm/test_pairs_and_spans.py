@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerops.llm import decontaminate, fingerprints, mixing, ngram_join
 from ledgerops.llm.components import components
@@ -215,3 +216,11 @@ def test_split_is_exact_and_disjoint(spark):
         assert own[0][0] == 0 and own[-1][1] == n and all(x[1] == y[0] for x, y in zip(own, own[1:]))
     per_shard = [sum(r["hi"] - r["lo"] for r in rows if r["shard"] == s) for s in range(8)]
     assert sum(per_shard) == 128 and max(per_shard) - min(per_shard) <= 1
+
+
+def test_shards_follow_the_words(spark):
+    assert [mixing.shards_for(n) for n in (0, 1, mixing.SHARDS * mixing.SHARD_WORDS, mixing.SHARDS * mixing.SHARD_WORDS + 1, 5 * 10**9)] == [16, 16, 16, 32, 512]
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"))
+    few, many = mixing.mixed(docs, shards=4), mixing.mixed(docs, shards=64)
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 64
+    assert sorted(r[0] for r in few.select("doc_id").collect()) == sorted(r[0] for r in many.select("doc_id").collect())
