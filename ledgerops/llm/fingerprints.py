@@ -1,12 +1,14 @@
 """Document fingerprints by one-permutation MinHash, in built-in functions only.
 
 Every shingle is hashed once. The top bits of a hash are its bin, and each bin keeps its least hash. An empty bin takes the value of another bin, which it chooses by hashes of its own
-number and the attempt alone, so two documents choose alike (optimal densification). The fingerprint is the low ``BITS`` bits of each bin, in hexadecimal.
+number and the attempt alone, so two documents choose alike (optimal densification). The fingerprint is the low ``BITS`` bits of each bin, packed into longs; results show them in hexadecimal.
 Likeness of two fingerprints is the share of equal bins, corrected for equality by chance.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,43 +22,62 @@ _BUCKET = 8 << 20
 _SHIFT = 64 - BIN_BITS
 _FILL = (1 << _SHIFT) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_EMPTY = "array<bigint>"
+#: Bins in one long of a packed fingerprint, and the lowest bit of each.
+_LANES = 64 // BITS
+_LANE_ENDS = sum(1 << BITS * i for i in range(_LANES))
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with a column ``out``: the fingerprint of the text, empty for texts without words and for null.
+def with_packed(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with a column ``out``: the fingerprint of the text as ``BINS`` / 8 longs, no longs for texts without words and for null.
 
     Shingles are ``WIDTH`` words of ASCII lower case; a shorter text is one shingle.
     """
-    names = [fresh(n, df.columns) for n in ("words", "hashes", "sorted", "least", "full")]
-    w, h, s, d, full = names
+    names = [fresh(n, df.columns) for n in ("words", "sorted", "least", "full", "dense")]
+    w, s, d, full, dense = names
     text = F.translate(F.col(f"`{text_col}`"), _UPPER, _LOWER)
     df = df.withColumn(w, F.coalesce(F.array_remove(F.split(text, "[\\x20\\t\\n\\x0B\\f\\r]+"), ""), F.array().cast("array<string>")))
     shingle = lambda i: F.xxhash64(*[F.get(F.col(w), i + j) for j in range(WIDTH)])
-    df = df.withColumn(
-        h, F.when(F.size(w) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), shingle)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast(_EMPTY))
-    )
-    # the greatest value of each bin stands for an empty bin, so that every bin is there
-    fill = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("long"), _SHIFT).bitwiseOR(F.lit(_FILL)))
-    df = df.withColumn(s, F.sort_array(F.concat(h, fill)))
-    bin_of = lambda x: F.shiftrightunsigned(x, _SHIFT)
-    first = F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(s), i - 1))))
+    whole, none = F.array(F.xxhash64(F.array_join(w, " "))), F.slice(F.array(F.lit(0).cast("long")), 1, 0)
+    hashes = F.when(F.size(w) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), shingle)).when(F.size(w) > 0, whole).otherwise(none)
+    # the greatest value of each bin stands for an empty bin, so that every bin is there; no array here may hold a null, so that plain longs are sorted
+    fill = F.array(*[F.lit((b << _SHIFT | _FILL) - (1 << 64 if b >= BINS // 2 else 0)).cast("long") for b in range(BINS)])
+    df = df.withColumn(s, F.sort_array(F.concat(hashes, fill)))
+    first = F.filter(s, lambda x, i: F.coalesce(F.get(F.col(s), i - 1) < x.bitwiseAND(F.lit(~_FILL)), F.lit(True)))
     df = df.withColumn(d, F.transform(first, lambda x: F.when(x.bitwiseAND(F.lit(_FILL)) != _FILL, x)))
-    df = df.withColumn(full, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(F.col(d), i).isNotNull()))
+    places = F.array(*[F.lit(i) for i in range(BINS)])
+    df = df.withColumn(full, F.filter(places, lambda i: F.get(F.col(d), i).isNotNull()))
     tries = lambda i: [F.get(F.col(d), F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(_ATTEMPTS)]
     # after so many attempts, the full bin that comes first in an order of the empty bin's own
     nearest = lambda i: F.array_min(F.transform(full, lambda j: F.xxhash64(i, F.lit(-1), j).bitwiseAND(F.lit(~(BINS - 1))).bitwiseOR(j.cast("long")))).bitwiseAND(F.lit(BINS - 1)).cast("int")
-    dense = F.transform(d, lambda x, i: F.coalesce(x, *tries(i), F.get(F.col(d), nearest(i))))
-    digits = F.transform(dense, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0"))
-    return df.withColumn(out, F.when(F.size(w) > 0, F.array_join(digits, "")).otherwise("")).drop(*names)
+    df = df.withColumn(dense, F.when(F.size(full) > 0, F.transform(d, lambda x, i: F.coalesce(x, *tries(i), F.get(F.col(d), nearest(i))))))
+    low = lambda k, j: F.shiftleft(F.get(F.col(dense), k + j).bitwiseAND(F.lit((1 << BITS) - 1)), 64 - BITS * (j + 1))
+    packed = F.transform(F.array(*[F.lit(k) for k in range(0, BINS, _LANES)]), lambda k: reduce(Column.bitwiseOR, [low(k, j) for j in range(_LANES)]))
+    return df.withColumn(out, F.when(F.size(w) > 0, packed).otherwise(none)).drop(*names)
+
+
+def as_text(packed: str) -> Column:
+    """A packed fingerprint in hexadecimal, bin by bin; empty for one without longs."""
+    return F.array_join(F.transform(packed, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+
+
+def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with a column ``out``: the fingerprint of the text as text, empty for texts without words and for null."""
+    return with_packed(df, text_col, out).withColumn(out, as_text(out))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity (0 to 1) from two fingerprints; two empty ones are alike, an empty one is unlike any other."""
-    width, chance = BITS // 4, 1 / (1 << BITS)
-    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(F.col(a), i * width + 1, F.lit(width)) == F.substring(F.col(b), i * width + 1, F.lit(width))))
-    estimate = F.greatest(F.lit(0.0), (equal / BINS - chance) / (1 - chance))
-    return F.when(F.col(a) == F.col(b), 1.0).when((F.col(a) == "") | (F.col(b) == ""), 0.0).otherwise(estimate)
+    """Estimated Jaccard similarity (0 to 1) from two packed fingerprints; two empty ones are alike, an empty one is unlike any other."""
+
+    def unlike(x: Column) -> Column:
+        """Lanes of a long that are not zero: the bits of a lane are folded into its lowest."""
+        for by in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        return F.bit_count(x.bitwiseAND(F.lit(_LANE_ENDS)))
+
+    chance = 1 / (1 << BITS)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: unlike(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    estimate = F.greatest(F.lit(0.0), ((BINS - differ) / BINS - chance) / (1 - chance))
+    return F.when(F.col(a) == F.col(b), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(estimate)
 
 
 def _buckets(rows: DataFrame) -> list[int]:
@@ -104,13 +125,13 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first. Null texts are empty. Rows that repeat an id follow each other by text; null ids come last. A single row follows itself.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = with_fingerprint(rows, "text", "fingerprint")
+    rows = with_packed(rows, "text", "fingerprint")
     rows = with_next(rows, "doc", {"text": "next_text", "fingerprint": "next_fingerprint"})
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))).drop("text", "next_text")
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint")
+    rows = with_packed(rows, "edited", "edited_fingerprint")
     return rows.select(
-        F.col("doc").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.col("doc").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text("fingerprint").alias("fingerprint"), as_text("edited_fingerprint").alias("edited_fingerprint"),
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
