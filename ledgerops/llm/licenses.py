@@ -12,8 +12,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 from math import ceil, floor
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,16 @@ def _gnu(name: str, version: str, program: str = "This program") -> str:
     )
 
 
+#: Whole texts kept beside this module.
+_WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0")
+
+
+def _licence_texts() -> list[tuple[str, str]]:
+    """Read as package data, so that they are found in a zip too; a missing one is an error."""
+    folder = resources.files("ledgerops.llm") / "licence_texts"
+    return [(f"{name}-text", (folder / f"{name}.txt").read_text(encoding="utf-8")) for name in _WHOLE]
+
+
 #: Whole notices as they stand at the top of files, and whole licence texts; the registered SQL has the list above only.
 MORE = [
     ("0BSD-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_AS_IS),
@@ -103,7 +113,7 @@ MORE = [
         "MPL-2.0-notice",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
-] + [(f"{p.stem}-text", p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+] + _licence_texts()
 THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
