@@ -91,9 +91,9 @@ def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
 
 
 def _told(rows: DataFrame, archives: int) -> DataFrame:
-    """``rows`` dealt to their archives, and of a page that is a revisit only that record."""
+    """``rows`` dealt to their archives, one task each, and of a page that is a revisit only that record."""
     same = Window.partitionBy("archive", "page_id", "digest")
-    return rows.repartition(archives, "archive").withColumn("_again", F.max("again").over(same)).where("again = _again").drop("_again")
+    return rows.repartitionById(archives, F.col("archive").cast("int")).withColumn("_again", F.max("again").over(same)).where("again = _again").drop("_again")
 
 
 def index(staged: tuple[DataFrame, int]) -> DataFrame:
