@@ -70,7 +70,7 @@ def _members(batches):
 
 
 def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, int]:
-    """(page_id, digest, url, again, member, archive) of every page as a response and of every revisit, and the number of archives.
+    """(page_id, digest, url, again, member) of every page as a response and of every revisit, and the number of archives.
 
     Members are not stored: ``index`` and ``write`` make them anew from ``pages``, which should be a stored table. Only ids and digests of revisits are.
     """
@@ -87,13 +87,17 @@ def stage(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     total = pages.agg(F.sum(F.octet_length(raw) + _HEAD_BYTES)).first()[0] or 0
     archives = 1 + total // ARCHIVE_BYTES
     members = texts.mapInArrow(_members, f"page_id {kind}, digest string, url string, again int, member binary")
-    return members.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives))), archives
+    return members, archives
 
 
 def _told(rows: DataFrame, archives: int) -> DataFrame:
-    """``rows`` dealt to their archives, one task each, and of a page that is a revisit only that record."""
-    same = Window.partitionBy("archive", "page_id", "digest")
-    return rows.repartitionById(archives, F.col("archive").cast("int")).withColumn("_again", F.max("again").over(same)).where("again = _again").drop("_again")
+    """``rows`` dealt to their archives, and of a page that is a revisit only that record.
+
+    An archive is a partition by id and digest, so a task has one archive; equal partitionings give equal numbers in both passes.
+    """
+    same = Window.partitionBy("page_id", "digest")
+    rows = rows.repartition(archives, "page_id", "digest").withColumn("_again", F.max("again").over(same)).where("again = _again").drop("_again")
+    return rows.withColumn("archive", F.spark_partition_id().cast("long"))
 
 
 def index(staged: tuple[DataFrame, int]) -> DataFrame:
@@ -102,7 +106,7 @@ def index(staged: tuple[DataFrame, int]) -> DataFrame:
     Only lengths are shuffled and summed, no texts. Rows that tie in the order have equal records, so either order gives the same offsets.
     """
     rows, archives = staged
-    rows = _told(rows.select("archive", *_ORDER, "again", (F.octet_length("member") + len(_END)).cast("long").alias("length")), archives)
+    rows = _told(rows.select(*_ORDER, "again", (F.octet_length("member") + len(_END)).cast("long").alias("length")), archives)
     before = Window.partitionBy("archive").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
     return written(rows.select("archive", offset.alias("offset"), "length", "url", "digest", "page_id"), "warc-index")
