@@ -224,3 +224,22 @@ def test_shards_follow_the_words(spark):
     few, many = mixing.mixed(docs, shards=4), mixing.mixed(docs, shards=64)
     assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 64
     assert sorted(r[0] for r in few.select("doc_id").collect()) == sorted(r[0] for r in many.select("doc_id").collect())
+
+
+def test_shared_sentence_grows_in_proportion(spark, monkeypatch):
+    sentence = " ".join(f"s{i}" for i in range(20))
+    items = [(i, f"q{i} {sentence} r{i}") for i in range(30)]
+    rows = [(i, f"a{i} b{i} {sentence} c{i}") for i in range(40)] + [(40, "nothing of the kind"), (0, f"a0 b0 {sentence} c0"), (41, None)]
+    sizes, plain = {}, decontaminate.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "written", counted)
+    docs, bench = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((rows, "doc_id"), (items, "item_id")))
+    got = sorted(tuple(x) for x in decontaminate.contamination(docs, bench).collect())
+    assert got == sorted((i, *_plain_contamination(t, items)) for i, t in rows)
+    # a row per place where a shared window begins, not per document and item
+    assert sizes["shared"] <= 41 * 11 and sizes["hits"] == 40
