@@ -23,9 +23,10 @@ def _cases(key: str, table: dict, kind: str) -> str:
 
 
 def _size_text() -> str:
-    scaled = {unit: f"CAST(round(size / {1024.0**i!r}D) AS BIGINT)" for i, unit in enumerate(["kB", "MB", "GB", "TB", "PB"], start=1)}
-    steps = " ".join(f"WHEN abs({n}) < 10240 THEN concat({n}, ' {unit}')" for unit, n in list(scaled.items())[:-1])
-    return f"CASE WHEN abs(size) < 10240 THEN concat(size, ' bytes') {steps} ELSE concat({scaled['PB']}, ' PB') END"
+    scaled = {unit: f"round(size / {1024.0**i!r}D)" for i, unit in enumerate(["kB", "MB", "GB", "TB", "PB"], start=1)}
+    text = {unit: f"concat(CAST({n} AS DECIMAL(38,0)), ' {unit}')" for unit, n in scaled.items()}
+    steps = " ".join(f"WHEN abs({n}) < 10240 THEN {text[unit]}" for unit, n in list(scaled.items())[:-1])
+    return f"CASE WHEN abs(size) < 10240 THEN concat(size, ' bytes') {steps} ELSE {text['PB']} END"
 
 
 # name -> (parameters, result type, body); SQL functions inline into the caller's plan.
@@ -49,7 +50,7 @@ SQL_FUNCTIONS = {
     ),
     "qualified_name": ("s STRING, t STRING", "STRING", "concat(s, '.', t)"),
     "md5_hash": ("v STRING", "STRING", "md5(v)"),
-    "size_pretty": ("size BIGINT", "STRING", _size_text()),
+    "size_pretty": ("size DECIMAL(38,0)", "STRING", _size_text()),
     "duration_seconds": (
         "v STRING", "BIGINT",
         r"CASE WHEN lower(trim(v)) RLIKE r'^([0-9]+\s*[a-z]+\s*)+$' THEN aggregate("

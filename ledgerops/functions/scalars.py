@@ -71,13 +71,13 @@ def md5_bytes(col: Column | str) -> Column:
 
 
 def size_pretty(col: Column | str) -> Column:
-    """Bytes as text in the largest unit that keeps the number below 10240."""
-    size = _col(col).cast("bigint")
+    """Bytes as text in the largest unit that keeps the number below 10240; up to 38 digits."""
+    size = _col(col).cast("decimal(38,0)")
     units = ["kB", "MB", "GB", "TB", "PB"]
     out = F.when(F.abs(size) < 10240, F.concat(size.cast("string"), F.lit(" bytes")))
     for i, unit in enumerate(units, start=1):
-        scaled = F.round(size / F.lit(float(1024**i))).cast("bigint")
-        text = F.concat(scaled.cast("string"), F.lit(f" {unit}"))
+        scaled = F.round(size / F.lit(float(1024**i)))
+        text = F.concat(scaled.cast("decimal(38,0)").cast("string"), F.lit(f" {unit}"))
         out = out.otherwise(text) if unit == units[-1] else out.when(F.abs(scaled) < 10240, text)
     return out
 

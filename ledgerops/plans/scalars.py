@@ -106,7 +106,9 @@ _PRETTY = """CASE WHEN b < 10240 THEN concat(b, ' bytes')
     f"SELECT k, {_PRETTY} AS size FROM (SELECT o_orderkey AS k, CAST(o_orderkey AS BIGINT) * o_custkey * o_custkey * 1000 AS b FROM orders) q",
 )
 def sizes(spark, sf):
-    b = F.col("o_orderkey") * F.col("o_custkey") * F.col("o_custkey") * 1000
+    # four factors of large tables leave the range of a long
+    order, customer = (F.col(c).cast("decimal(20,0)") for c in ("o_orderkey", "o_custkey"))
+    b = order * customer * customer * 1000
     return load_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), fn.size_pretty(b).alias("size"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerops import functions as fn
 from ledgerops.functions.register import register_functions
+from ledgerops.plans import QUERIES
 
 
 def one(spark, value, make, kind="string"):
@@ -30,6 +31,26 @@ def test_size_pretty(spark, size, want):
     assert one(spark, size, fn.size_pretty, "bigint") == want
 
 
+@pytest.mark.parametrize(
+    "size,want",
+    [(2**63, "8192 PB"), (-(2**63) - 1, "-8192 PB"), (10**24, "888178420 PB"), (10**38 - 1, "88817841970012520000000 PB"), (10239, "10239 bytes"), (None, None)],
+)
+def test_size_pretty_beyond_longs(spark, size, want):
+    register_functions(spark)
+    df = spark.createDataFrame([(None if size is None else Decimal(size),)], "v decimal(38,0)")
+    assert tuple(df.select(fn.size_pretty("v"), F.expr("size_pretty(v)")).first()) == (want, want)
+
+
+def test_sizes_of_large_keys(spark, tmp_path):
+    keys = [(0, 0), (1, 3), (149_999, 14_999), (8_999_999, 899_999), (53_999_999, 5_399_999), (None, 7)]
+    spark.createDataFrame(keys, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["k"]: r["size"] for r in QUERIES["x10_size_pretty"](spark, str(tmp_path)).collect()}
+    assert got[0] == "0 bytes" and got[1] == "9000 bytes" and got[None] is None
+    for order, customer in keys[2:5]:
+        b = order * customer * customer * 1000
+        assert got[order] == f"{(2 * b + 2**50) // 2**51} PB"
+
+
 @pytest.mark.parametrize(
     "v,want",
     [(0.0, "0"), (1234.0, "1.234k"), (1.5e6, "1.5M"), (15.625, "15.62"), (0.012, "12m"), (999.96, "1000"), (-2500.0, "-2.5k"), (1e24, "1Y")],
