@@ -129,21 +129,37 @@ def sessions_per_client(log: DataFrame, client: str, change: str) -> DataFrame:
     )
 
 
-def session_concurrency(log: DataFrame, at: str, change: str, by: list[str] | None = None) -> DataFrame:
-    """Open sessions over time: (by.., at, open). Changes at one time collapse to one row."""
+_BLOCK = 10_000
+
+
+def _repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its count says; a frequent row is dealt in blocks, so no task makes all of its copies."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("bigint"), times, F.lit(_BLOCK).cast("bigint"))))
+    # a stated number of partitions stays: by the few bytes of its rows the planner would merge them
+    dealt = blocks.repartition(parts, *df.columns, "_first")
+    last = F.least(F.col("_first") + (_BLOCK - 1), F.col(times))
+    return dealt.withColumn("_copy", F.explode(F.sequence("_first", last))).select(*df.columns)
+
+
+def session_concurrency(log: DataFrame, at: str, change: str, by: list[str] | None = None, every: bool = False) -> DataFrame:
+    """Open sessions over time: (by.., at, open). Changes at one time collapse to one row; with ``every`` each keeps a row.
+
+    Changes without a time count last.
+    """
     by = by or []
-    net = log.where(F.col(change) != 0).groupBy(*by, at).agg(F.sum(change).cast("bigint").alias("net"))
-    return OrderedRows.of(net, by, [at]).running_sum(open=F.col("net")).rows.select(*by, at, "open")
+    changes = log.where(F.col(change) != 0).groupBy(*by, F.col(at).isNull().alias("_untimed"), at)
+    net = changes.agg(F.sum(change).cast("bigint").alias("net"), F.count(F.lit(1)).alias("_n"))
+    found = OrderedRows.of(net, by, ["_untimed", at]).running_sum(open=F.col("net")).rows.select(*by, at, "open", "_n")
+    return (_repeated(found, "_n") if every else found).select(*by, at, "open")
 
 
 def peak_concurrency(log: DataFrame, at: str, change: str, by: list[str] | None = None) -> DataFrame:
-    """Highest number of open sessions and when it was first reached."""
+    """Highest number of open sessions and the first of the known times with the most."""
     open_ = session_concurrency(log, at, change, by)
-    best = F.max_by(F.struct("open", at), F.struct(F.col("open"), -_epoch(at)))
     grouped = open_.groupBy(*by) if by else open_.groupBy()
-    return grouped.agg(best.alias("_b")).select(
-        *(by or []), F.col("_b.open").alias("peak"), F.col(f"_b.{at}").alias("peak_at")
-    )
+    first = F.max_by(at, F.when(F.col(at).isNotNull(), F.struct(F.col("open"), -_epoch(at))))
+    return grouped.agg(F.max("open").alias("peak"), first.alias("peak_at"))
 
 
 def _epoch(at: str) -> Column:

@@ -1,10 +1,12 @@
 import os
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerops.operators import chain, filters, health, joins, logs, quality
+from ledgerops.plans import ORACLES, QUERIES
 from ledgerops.session import scratch_path
 from tests.conftest import rows
 
@@ -185,6 +187,25 @@ def test_concurrency(spark, at):
     assert at("10:00") + timedelta(minutes=2) == at("10:02")
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_concurrency_equals_its_sql_with_equal_and_missing_times(spark, tmp_path, at, copies):
+    times = [at("10:00"), at("10:01"), at("10:01"), at("10:02"), None, at("10:02"), None, at("10:03")]
+    kinds = ["signup", "signup", "error", "signup", "signup", "view", "error", "error"]
+    data = [(n, t, n % 2, k) for n, (t, k) in enumerate(zip(times, kinds, strict=True))] * copies
+    spark.createDataFrame(data, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("a20_session_concurrency", "a20_peak_by_client"):
+        want = duck.sql(ORACLES[name]).fetchall()
+        assert sorted(map(str, (tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()))) == sorted(map(str, want)), name
+
+
+def test_concurrency_of_one_frequent_time(spark, at):
+    log = spark.range(25_000).select(F.lit(at("10:00")).alias("at"), F.lit(1).alias("n"))
+    got = logs.session_concurrency(log, "at", "n", every=True)
+    assert got.where("open = 25000").count() == got.count() == 25_000
+
+
 def test_daily_stats_added_day_by_day(spark):
     import random
     rng = random.Random(9)
