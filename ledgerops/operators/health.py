@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerops.functions.scalars import safe_ratio
 from ledgerops.functions.times import age_seconds, micros, ntz
-from ledgerops.operators.ordered import OrderedRows
-from ledgerops.session import cut
+from ledgerops.operators.ordered import OrderedRows, positions
 from ledgerops.sources.files import stored_bytes
 
 
@@ -168,7 +167,8 @@ def _ordered_number(df: DataFrame, c: str) -> Column:
     kind = df.schema[c].dataType
     v = F.col(c)
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(v, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        head = F.substring(v.cast("binary"), 1, 6)
+        return F.conv(F.concat(F.lit("0"), F.hex(head)), 16, 10).cast("bigint") * F.pow(F.lit(256.0), F.lit(6) - F.length(head))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return micros(v.cast("timestamp_ntz")).cast("double")
     return v.cast("double")
@@ -238,40 +238,35 @@ def column_profile(df: DataFrame, cols: list[str], order_by: list[str], approx:
 
     Correlation is Pearson's between a row's position in ``order_by`` order and the
     rank of its value; rows equal in ``order_by`` are placed by the profiled columns.
-    Copies of a row collapse to one with a count. Both ranks are running counts; the
-    sums of products need only per-value totals, so rows never meet their ranks again.
+    Copies of a row are placed in any order, which changes no sum. Both ranks are running counts;
+    the sums of products need only per-value totals, so rows never meet their ranks again.
     With ``approx`` counts and ranks are those of sketches, within about 1 and 100 / ``pieces`` per cent.
     """
     frames = []
     if approx:
         frames.append(_approximate_profile(df, cols, order_by, pieces))
     else:
-        keep = list(dict.fromkeys([*order_by, *cols]))
-        copies = df.groupBy(*keep).agg(F.count(F.lit(1)).alias("_n"))
         # positions are written once; every column then reads only itself and its position
-        placed = cut(OrderedRows.of(copies, [], keep).running_sum(_upto=F.col("_n")).rows)
-        total = float(placed.agg(F.sum("_n")).first()[0] or 1)
+        placed = positions(df, list(dict.fromkeys([*order_by, *cols])), "_pos", list(dict.fromkeys(cols)))
+        total = float(placed.count() or 1)
         middle = (total + 1) / 2  # ranks are centred and scaled, so sums of squares keep their digits
-        many = F.col("_n").cast("double")
-        place = (F.col("_upto") - (many - 1) / 2 - middle) / total  # mean place of a row's copies
-        spread = many * (many * many - 1) / 12 / total**2  # of equally spaced copies around it
-        for c in cols:
-            per_value = placed.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(
-                F.sum("_n").alias("n"), F.sum(many * place).alias("x"), F.sum(many * place * place + spread).alias("xx")
-            )
+        place = (F.col("_pos") - middle) / total
+        # squares of places matter as a total only, so they take no part in the shuffles by value
+        squares = placed.agg(*[F.sum(F.when(F.col(c).isNotNull(), place * place)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        for i, c in enumerate(cols):
+            per_value = placed.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(place).alias("x"))
             ranked = OrderedRows.of(per_value, [], ["v"]).running_sum(_upto=F.col("n")).rows
             rank = (F.col("_upto") - F.col("n") + 1 - middle) / total
             s = ranked.agg(
                 F.count(F.lit(1)).alias("n_distinct"),
                 F.sum("n").cast("double").alias("n"),
                 F.sum("x").alias("x"),
-                F.sum("xx").alias("xx"),
                 F.sum(rank * F.col("n")).alias("y"),
                 F.sum(rank * rank * F.col("n")).alias("yy"),
                 F.sum(rank * F.col("x")).alias("xy"),
             )
             rows, x, y = F.col("n"), F.col("x"), F.col("y")
-            var = (F.col("xx") - x * x / rows) * (F.col("yy") - y * y / rows)
+            var = (F.lit(squares[f"s{i}"]).cast("double") - x * x / rows) * (F.col("yy") - y * y / rows)
             corr = F.when((F.col("n_distinct") > 1) & (var > 0), (F.col("xy") - x * y / rows) / F.sqrt(var))
             frames.append(s.select(F.lit(c).alias("attname"), "n_distinct", corr.alias("correlation")))
     return _stack(frames).withColumn(

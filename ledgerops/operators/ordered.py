@@ -179,6 +179,25 @@ class OrderedRows:
         )
 
 
+def positions(df: DataFrame, order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) and ``name``, each row's place in ``order`` from 1; equal rows are placed in any order.
+
+    One shuffle: sorted runs number their rows as they are written, and the rows of earlier runs are added from one small row per run.
+    Equal rows are told apart by the task that read them, so a frequent row needs no task of its own.
+    """
+    spread = [*order, "_tie"]
+    tied = df.withColumn("_tie", F.spark_partition_id())
+    runs = tied.repartitionByRange(*spread).sortWithinPartitions(*spread)
+    # the number holds the task in its upper 31 bits and the row within the task in its lower 33
+    numbered = cut(runs.select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at")))
+    run, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = numbered.groupBy(run.alias(RUN)).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy(F.lit(0)).orderBy(RUN).rowsBetween(W.unboundedPreceding, -1)  # one row per run
+    starts = cut(sizes.select(RUN, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")))
+    placed = numbered.withColumn(RUN, run).join(F.broadcast(starts), RUN)
+    return placed.select(*(keep or df.columns), (F.col("_before") + row + 1).alias(name))
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact interpolated quantiles, one row per group and q: (by.., q, value).
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerops.operators import chain, filters, health, joins, logs, quality
+from ledgerops.operators.ordered import positions
 from ledgerops.plans import ORACLES, QUERIES
-from ledgerops.session import scratch_path
+from ledgerops.session import scratch_path, shared_dir
 from tests.conftest import rows
 
 
@@ -143,6 +144,51 @@ def test_profile_constant_column(spark):
     assert got["c"]["correlation"] is None and not got["c"]["candidate"] and got["d"]["candidate"]
 
 
+@pytest.mark.parametrize("rows_", [0, 1, 4000])
+def test_profile_equals_sql_and_writes_wide_rows_once(spark, rows_):
+    n = F.col("id")
+    df = spark.range(0, rows_, 1, 5).select(
+        (n % 7).alias("a"), (n * 37 % 50).alias("b"), F.when(n % 3 > 0, n % 11).alias("gaps"), F.concat(F.lit("k"), (n % 13).cast("string")).alias("text"),
+        F.lit(5).alias("same"), F.lit("x" * 20).alias("wide"),
+    ).where(n % 400 < 300)
+    order, cols = ["a", "wide", "b"], ["b", "gaps", "text", "same", "a"]
+    folder, before = shared_dir(spark), set(os.listdir(shared_dir(spark)))
+    got = {r["attname"]: r for r in health.column_profile(df, cols, order).collect()}
+    written = [spark.read.parquet(os.path.join(folder, f)) for f in set(os.listdir(folder)) - before]
+    assert not [t.columns for t in written if "wide" in t.columns]  # columns of the order alone are not written
+    assert sum(set(cols) <= set(t.columns) for t in written) == 1
+    duck = duckdb.connect()
+    duck.register("t", df.toArrow())
+    for c in cols:
+        keys = ", ".join(f"{k} NULLS FIRST" for k in dict.fromkeys([*order, *cols]))
+        want = duck.sql(f"""SELECT count(DISTINCT v), corr(pos, rk) FROM (SELECT v, pos, CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v NULLS LAST) END AS rk
+            FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {keys}) AS pos FROM t) p) q""").fetchall()[0]
+        flat = want[1] is None or want[1] != want[1]
+        assert got[c]["n_distinct"] == want[0] and got[c]["correlation"] == (None if flat else pytest.approx(want[1], abs=1e-9)), c
+
+
+def test_positions_deal_a_frequent_row_to_several_tasks(spark):
+    df = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("v"), F.lit("p").alias("p"))
+    folder, before = shared_dir(spark), set(os.listdir(shared_dir(spark)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = positions(df, ["v"], "at", ["v"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = [spark.read.parquet(os.path.join(folder, f)) for f in set(os.listdir(folder)) - before]
+    files = [t.where("v = 7").select(F.input_file_name()).distinct().count() for t in written if "v" in t.columns]
+    got = placed.orderBy("at").collect()
+    assert placed.columns == ["v", "at"] and [r["at"] for r in got] == list(range(1, 40_001))
+    assert [r["v"] for r in got] == sorted(r["v"] for r in got) and files[0] > 1
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "abcdef", "abcdefgh", "\u00e9", "\U0001f600x", "\x00", None])
+def test_number_of_a_text_is_that_of_its_first_six_bytes(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    want = None if text is None else float(int.from_bytes(text.encode()[:6].ljust(6, b"\0"), "big"))
+    assert df.select(health._ordered_number(df, "t")).first()[0] == want
+
+
 def test_filters(spark):
     logs_ = spark.createDataFrame([("c", "t1", "x", None), ("c", "t2", "x", "y")], "address_hash string, transaction_hash string, first_topic string, second_topic string")
     assert filters.filter_logs(logs_, "c", None, ["x", "y"]).count() == 1 and filters.filter_logs(logs_).count() == 2
